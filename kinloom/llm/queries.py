@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from kinloom.llm import decontaminate
+from kinloom.llm import decontaminate, packing, secrets
 
-QUERIES = {
-    "op1_decontaminate": decontaminate.op1_decontaminate,
-}
+MODULES = (decontaminate, secrets, packing)
 
-SQL = {**decontaminate.SQL}
+QUERIES = {name: run for module in MODULES for name, run in vars(module).items() if name.startswith("op") and name[2].isdigit()}
+
+SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
