@@ -17,9 +17,10 @@ Null text: empty. An empty text is one piece that holds only the end id. Repeate
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -33,58 +34,213 @@ from kinloom.session import shelve
 CAPACITY = 2048
 PART_ROWS = 100_000
 MAX_ROUNDS = 4
-#: Encoded words that a worker keeps; beyond that it starts anew. Longer words are not kept.
-CACHE, CACHE_CHARS = 150_000, 64
+#: Encoded words that a worker keeps; beyond that it starts anew.
+CACHE = 1_000_000
+#: Words that are encoded at once.
+BULK = 20_000
+
+
+class Merges:
+    """Byte-pair merges of many words at once.
+
+    All words take their best merge (lowest rank, then leftmost) in the same vectorised step; words that have no merge
+    left go. Ranks are looked up in a table addressed by a multiplicative hash, with a second one for collisions.
+    """
+
+    NONE = np.int64(1 << 40)
+    BITS = 20
+
+    def __init__(self, vocabulary: dict[str, int], merges: list, byte_chars: dict[int, str], end: str) -> None:
+        self.first = np.array([vocabulary[byte_chars[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocabulary[byte_chars[b] + end] for b in range(256)], np.int64)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        self.keys = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in pairs] + [-1], np.int64)
+        self.made = np.array([vocabulary[a + b] for a, b in pairs] + [-1], np.int64)
+        self.tables, left = [], np.arange(len(pairs))
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93):
+            slots = np.full(1 << self.BITS, len(pairs), np.int32)
+            at = self._slot(self.keys[left], factor)
+            slots[at[::-1]] = left[::-1]
+            self.tables.append((factor, slots))
+            left = left[slots[at] != left]
+        if len(left):
+            raise ValueError("the merges do not fit three hash tables")
+
+    def _slot(self, keys: np.ndarray, factor: int) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(factor)) >> np.uint64(64 - self.BITS)
+
+    def _rank(self, keys: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or the number of merges."""
+        none = len(self.keys) - 1
+        factor, slots = self.tables[0]
+        out = slots[self._slot(keys, factor)].astype(np.int64)
+        for factor, slots in self.tables[1:]:
+            miss = np.flatnonzero((self.keys[out] != keys) & (out != none))
+            if not len(miss):
+                break
+            out[miss] = slots[self._slot(keys[miss], factor)]
+        out[self.keys[out] != keys] = none
+        return out
+
+    def apply(self, raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and for each id the word it is of. ``raw``: bytes of all words; ``begin``: where each begins."""
+        symbols = self.first[raw]
+        ends = np.append(begin[1:], len(raw)) - 1
+        symbols[ends] = self.last[raw[ends]]
+        owner = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(raw))))
+        none, done = len(self.keys) - 1, []
+        while len(symbols):
+            begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            rank = np.full(len(symbols), none, np.int64)
+            rank[:-1] = self._rank(symbols[:-1] << 20 | symbols[1:])
+            rank[begin[1:] - 1] = none
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(symbols)), begin)
+            merging = best >> 32 < none
+            keep = np.repeat(merging, np.diff(np.append(begin, len(symbols))))
+            if not merging.all():  # words that are finished leave
+                done.append((owner[~keep], symbols[~keep]))
+            at = best[merging] & 0xFFFFFFFF
+            symbols[at] = self.made[best[merging] >> 32]
+            keep[at + 1] = False
+            symbols, owner = symbols[keep], owner[keep]
+        if not done:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        owner = np.concatenate([o for o, _ in done])
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate([x for _, x in done])[order].astype(np.uint32), owner[order]
+
+
+def byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself where it is printable,
+    else the next free one from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+#: Of bytes: 1 a letter (A-Z, a-z, or a part of a letter that is encoded as C3 and a byte), 2 a digit, 3 a mark, 0 any
+#: other. Words without 0 are plain: their pre-tokens are runs of letters, single digits and runs of marks, and lower
+#: case is all that the vocabulary's normaliser does to them. The apostrophe (contractions), "<" (special tokens) and
+#: all else are left to the tokenizer itself.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[[0x27, 0x3C]] = 0
+_CLASS[0x30:0x3A] = 2
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0x80:0xC0] = _CLASS[0xC3] = 1
+_CLASS[[0x97, 0xB7]] = 0  # the signs of multiplication and division
+_LOWER = common.LOWER.copy()
+_LOWER[0x80:0x9F] += 32  # the second byte of the capitals from U+00C0 to U+00DE
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All of the ranges start, start + 1, ... start + size - 1, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class Encoder:
-    """Ids of whole texts, from ids of their words, which are kept as bytes of little-endian 32-bit numbers.
+    """Ids of whole texts, from the ids of their words.
 
-    The vocabulary drops white space before it splits, so no token crosses a space or a line break and a text's ids
-    are those of its words in order.
+    The vocabulary drops white space before it splits, so no token crosses white space and a text's ids are those of
+    its words in order. Words are told apart by 64-bit hashes of their bytes. Plain ones are merged in bulk, all
+    others go through the tokenizer itself; the ids of up to ``CACHE`` words are kept between calls.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, spec: str) -> None:
+        """``spec``: the text of a tokenizer file."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, words: list[str]) -> Iterable[bytes]:
-        for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(x.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        words, known = text.replace("\n", " ").split(" "), self.known
-        missing = {w for w in words if w not in known}
-        if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = set(words)
-            fresh = list(missing)
-            known.update(zip(fresh, self._ids(fresh)))
-        out = b"".join([known[w] for w in words])
-        for w in [w for w in missing if len(w) > CACHE_CHARS]:
-            del known[w]
-        return out
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_str(spec)
+        model = json.loads(spec)["model"]
+        self.merges = Merges(model["vocab"], model["merges"], byte_chars(), model["end_of_word_suffix"])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = np.zeros(0, np.uint64)  # sorted hashes
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of their ids
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, flat: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Add words that are not known yet, ``hashes`` sorted."""
+        odd = np.concatenate([[0], np.cumsum(_CLASS[flat] == 0)])
+        plain = odd[end] == odd[begin]
+        sizes = np.zeros(len(hashes), np.int64)
+        parts, owners = [], []
+        for some in np.array_split(np.flatnonzero(plain), plain.sum() // BULK + 1):
+            if len(some):
+                lengths = end[some] - begin[some]
+                raw = flat[ragged(begin[some], lengths)]
+                kind, word = _CLASS[raw], np.repeat(some, lengths)
+                cut = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2) | (word[1:] != word[:-1])]))
+                ids, owner = self.merges.apply(_LOWER[raw], cut)
+                parts.append(ids)
+                owners.append(word[cut][owner])
+        rest = np.flatnonzero(~plain)
+        for i in range(0, len(rest), BULK):
+            some = rest[i : i + BULK].tolist()
+            texts = [flat[begin[w] : end[w]].tobytes().decode() for w in some]
+            for w, x in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                parts.append(np.array(x.ids, np.uint32))
+                owners.append(np.full(len(x.ids), w))
+        if parts:
+            owner = np.concatenate(owners)
+            order = np.argsort(owner, kind="stable")
+            sizes += np.bincount(owner, minlength=len(hashes))
+            at = len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.concatenate([self.ids, np.concatenate(parts)[order]])
+        else:
+            at = sizes
+        words = np.concatenate([self.words, hashes])
+        order = np.argsort(words, kind="stable")
+        self.words, self.at, self.size = words[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.words, hashes)
+        at[at == len(self.words)] = 0
+        return at
+
+    def encode(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        begin, end, owner = common.word_spans(flat, starts, common.SPACED)
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(len(starts) - 1, np.int64)
+        hashes, first, which = np.unique(common.span_hashes(flat, begin, end), return_index=True, return_inverse=True)
+        if len(self.words) > CACHE:
+            self._forget()
+        new = self.words[self._find(hashes)] != hashes if len(self.words) else np.ones(len(hashes), bool)
+        if new.any():
+            self._learn(flat, hashes[new], begin[first[new]], end[first[new]])
+        known = self._find(hashes)[which]
+        sizes = self.size[known]
+        counts = np.bincount(owner, weights=sizes, minlength=len(starts) - 1).astype(np.int64)
+        return self.ids[ragged(self.at[known], sizes)], counts
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id") -> DataFrame:
     """One row for each piece: ``id_col``, piece, start, length, ids_crc32."""
     schema = "row_id long, piece int, start long, length long, ids_crc32 long"
+    with open(tokenizer_path, encoding="utf-8") as file:  # read by the driver: executors need not have it
+        spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def make():
-        encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder(spec.value), np.array([end_id], "<u4").tobytes()
 
         def step(batch: pa.RecordBatch):
+            flat, starts = common.text_bytes(batch.column("text"))
+            for i, j in common.chunks(starts, 2 * common.CHUNK):
+                ids, counts = encoder.encode(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+                yield cut(batch.column("row_id").slice(i, j - i).to_pylist(), ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist())
+
+        def cut(names: list, ids: bytes, ends: list[int]) -> pa.RecordBatch:
             rows: list[tuple] = []
-            for row, text in zip(batch.column("row_id").to_pylist(), batch.column("text")):
-                ids = encoder.encode(text.as_py() or "") + end
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+            for row, begin, stop in zip(names, [0, *ends], ends):
+                own = ids[begin:stop] + end
+                for i, at in enumerate(range(0, len(own), 4 * capacity)):
+                    part = own[at : at + 4 * capacity]
                     rows.append((row, i, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "piece", "start", "length", "ids_crc32"])
+            return pa.RecordBatch.from_arrays(columns, names=["row_id", "piece", "start", "length", "ids_crc32"])
 
         return step
 
@@ -166,7 +322,7 @@ def _round(rows: DataFrame, n_parts: int, turn: int, capacity: int) -> DataFrame
 def pack(found: DataFrame, *, capacity: int = CAPACITY, part_rows: int = PART_ROWS, max_rounds: int = MAX_ROUNDS, id_col: str = "doc_id") -> DataFrame:
     """``found`` (of ``pieces``) with sequence_id and offset."""
     columns = ["row_id", "piece", "start", "length", "ids_crc32"]
-    cut = shelve(found.withColumnRenamed(id_col, "row_id").select(*columns), "pieces")
+    cut = shelve(found.select(F.col(id_col).cast("long").alias("row_id"), F.col("piece").cast("int"), *columns[2:]), "pieces")
     full = cut.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, kept = cut.where(F.col("length") < capacity), [full]
     n = rest.count()
