@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinloom.llm import decontaminate, packing, secrets
+from kinloom.llm import chat, decontaminate, packing, repetition, secrets
 
-MODULES = (decontaminate, secrets, packing)
+MODULES = (decontaminate, secrets, chat, packing, repetition)
 
 QUERIES = {name: run for module in MODULES for name, run in vars(module).items() if name.startswith("op") and name[2].isdigit()}
 
