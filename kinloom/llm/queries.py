@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinloom.llm import chat, decontaminate, packing, repetition, secrets
+from kinloom.llm import chat, decontaminate, language, packing, repetition, secrets, token_counts
 
-MODULES = (decontaminate, secrets, chat, packing, repetition)
+MODULES = (decontaminate, secrets, language, chat, token_counts, packing, repetition)
 
 QUERIES = {name: run for module in MODULES for name, run in vars(module).items() if name.startswith("op") and name[2].isdigit()}
 
