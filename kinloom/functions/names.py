@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions import tables, text
@@ -108,50 +108,52 @@ def surname_char(token: Column | str) -> Column:
     return text.lookup(F.lower(text.col(token)), tables.HK_SURNAMES)
 
 
-def _latin(raw: Column) -> dict[str, Column]:
-    comma = F.instr(raw, ",")
-    main = F.when(comma > 0, F.substring(raw, F.lit(1), comma - 1)).otherwise(raw)
-    alias = F.when(comma > 0, F.substring(raw, comma + 1, F.char_length(raw))).otherwise(F.lit(""))
-    titles, rest, suffixes = _stripped(text.words(F.translate(main, ".-", "  ")))
-    n = F.size(rest)
-    surname_first = is_hk_surname(F.try_element_at(rest, F.lit(1))) | (n == 1)
-    family = F.when(n == 0, F.lit(None).cast("string")).when(surname_first, F.try_element_at(rest, F.lit(1))).otherwise(F.try_element_at(rest, F.lit(-1)))
-    given = F.when(n < 2, _none()).when(surname_first, _slice(rest, F.lit(2), n - 1)).otherwise(_slice(rest, F.lit(1), n - 1))
-    return {
-        "title": F.when(F.size(titles) > 0, F.try_element_at(titles, F.lit(1))), "family": family,
-        "given": F.concat(given, text.words(F.translate(alias, ".", " "))),
-        "suffix": F.when(F.size(suffixes) > 0, F.try_element_at(suffixes, F.lit(-1))), "prefix": F.lit(None).cast("string"), "honorific": F.lit(None).cast("string"),
-    }
-
-
-def _cjk(raw: Column, language: Column) -> dict[str, Column]:
-    prefix, honorific, rest = _cjk_parts(raw, language)
-    name = text.without_space(rest)
-    compound = compound_surname(rest)
-    chinese = language == "chinese"
-    surname = F.coalesce(compound, F.substring(name, 1, 1))
-    family = F.when(chinese & prefix.isNull() & (name != ""), surname)
-    given = F.when(prefix.isNotNull(), name).otherwise(F.substring(name, F.char_length(surname) + 1, F.char_length(name)))
-    return {
-        "title": F.lit(None).cast("string"), "family": family,
-        "given": F.when(~chinese | (name == ""), text.chars(name)).when(given == "", _none()).otherwise(F.array(given)),
-        "suffix": F.lit(None).cast("string"), "prefix": prefix, "honorific": honorific,
-    }
-
-
-def parse_components(raw: Column | str) -> Column:
-    """Typed parts of a name of any script: struct of raw, language, title, family, given, suffix, prefix, honorific.
+def with_components(rows: DataFrame, name: str = "name") -> DataFrame:
+    """``rows`` with the typed parts of a name of any script: language, title, family, given, suffix, prefix, honorific.
 
     A name with a comma is a main part and an alias, whose words follow the given names. A first word that is a Hong
     Kong surname is the family name, else the last word is. A Chinese name is a surname (perhaps compound) and one
     given name; a Japanese or Korean name is given as its characters.
+
+    The steps are columns of their own, so that each expression is planned and computed once.
     """
-    raw = text.col(raw)
-    language = text.detect_language(raw)
-    latin, cjk = _latin(raw), _cjk(raw, language)
-    known = language != "unknown"
-    parts = [F.when(known, cjk[p]).otherwise(latin[p]).alias(p) for p in ("title", "family", "given", "suffix", "prefix", "honorific")]
-    return F.struct(raw.alias("raw"), F.when(known, language).otherwise("latin").alias("language"), *parts)
+    c, none = F.col, F.lit(None).cast("string")
+    raw = F.coalesce(c(name), F.lit(""))
+    comma = F.instr(raw, ",")
+    rows = rows.withColumns({
+        "_language": text.detect_language(raw), "_trimmed": F.regexp_replace(raw, "^\\s+|\\s+$", ""),
+        "_main": text.words(F.translate(F.when(comma > 0, F.substring(raw, F.lit(1), comma - 1)).otherwise(raw), ".-", "  ")),
+        "_alias": text.words(F.translate(F.when(comma > 0, F.substring(raw, comma + 1, F.char_length(raw))).otherwise(F.lit("")), ".", " ")),
+    })
+    # Latin: titles, rest, suffixes
+    rows = rows.withColumn("_head", _leading(c("_main"), tables.SALUTATIONS))
+    rows = rows.withColumn("_body", _slice(c("_main"), c("_head") + 1, F.size("_main") - c("_head")))
+    rows = rows.withColumn("_tail", _trailing(c("_body"), tables.SUFFIXES))
+    rows = rows.withColumn("_words", _slice(c("_body"), F.lit(1), F.size("_body") - c("_tail")))
+    rows = rows.withColumn("_first", (F.size("_words") == 1) | F.coalesce(is_hk_surname(F.get(c("_words"), F.lit(0))), F.lit(False)))
+    # CJK: prefix, honorific, surname, rest
+    start = F.substring("_trimmed", 1, 1)
+    chinese = c("_language") == "chinese"
+    rows = rows.withColumn("_prefix", F.when(chinese & start.isin(*tables.CHINESE_PREFIXES) & (F.char_length("_trimmed") > 1), start))
+    rows = rows.withColumn("_rest", F.when(c("_prefix").isNull(), c("_trimmed")).otherwise(F.expr("substring(_trimmed, 2)")))
+    own = F.when(c("_language") == "japanese", _ending(c("_rest"), tables.JAPANESE_HONORIFICS)).when(c("_language") == "korean", _ending(c("_rest"), tables.KOREAN_HONORIFICS))
+    rows = rows.withColumn("_honorific", F.coalesce(_ending(c("_rest"), tables.SHARED_HONORIFICS), own))
+    rows = rows.withColumn("_cut", _cut(c("_rest"), c("_honorific")))
+    rows = rows.withColumns({"_name": text.without_space(c("_cut")), "_compound": compound_surname(c("_cut"))})
+    rows = rows.withColumn("_surname", F.coalesce("_compound", F.substring("_name", 1, 1)))
+    rows = rows.withColumn("_given", F.when(c("_prefix").isNotNull(), c("_name")).otherwise(F.expr("substring(_name, char_length(_surname) + 1)")))
+    # the parts
+    latin, n = c("_language") == "unknown", F.size("_words")
+    family = F.when(latin, F.when(c("_first"), F.get(c("_words"), F.lit(0))).otherwise(F.try_element_at("_words", F.lit(-1)))).when(chinese & c("_prefix").isNull() & (c("_name") != ""), c("_surname"))
+    names_left = F.when(n < 2, _none()).when(c("_first"), _slice(c("_words"), F.lit(2), n - 1)).otherwise(_slice(c("_words"), F.lit(1), n - 1))
+    given = F.when(latin, F.concat(names_left, c("_alias"))).when(~chinese | (c("_name") == ""), text.chars("_name")).when(c("_given") == "", _none()).otherwise(F.array("_given"))
+    rows = rows.withColumns({
+        "language": F.when(latin, "latin").otherwise(c("_language")),
+        "title": F.when(latin & (c("_head") > 0), F.get(c("_main"), F.lit(0))), "family": family, "given": given,
+        "suffix": F.when(latin & (c("_tail") > 0), F.try_element_at("_body", F.lit(-1))),
+        "prefix": F.when(latin, none).otherwise(c("_prefix")), "honorific": F.when(latin, none).otherwise(c("_honorific")),
+    })
+    return rows.drop("_language", "_trimmed", "_main", "_alias", "_head", "_body", "_tail", "_words", "_first", "_prefix", "_rest", "_honorific", "_cut", "_name", "_compound", "_surname", "_given")
 
 
 def synonym_groups(token: Column | str) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import kernels, names, text
@@ -25,11 +25,13 @@ NAME_MATCH = f"struct<core_score:double,title_boost:double,suffix_boost:double,s
 
 def pairwise(function: Callable, kind: str) -> Callable[[Column, Column], Column]:
     """A column of ``function(a, b)`` for two string columns; null where either is null."""
-    kept = lru_cache(KEPT)(function)
+    state: dict[str, Callable] = {}
 
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else kept(x, y) for x, y in zip(a, b)], dtype=object if kind != "double" else float)
+        if "f" not in state:  # made in the worker: a cache does not travel
+            state["f"] = lru_cache(KEPT)(function)
+        return pd.Series([None if x is None or y is None else state["f"](x, y) for x, y in zip(a, b)], dtype=object if kind != "double" else float)
 
     return run
 
@@ -77,20 +79,31 @@ def signals(dictionaries: Dictionaries, strategy: str = "max", p: float | None =
 
 def name_match(dictionaries: Dictionaries, use_synonyms: bool = True, penalty: float = 0.02) -> Callable[[Column, Column], Column]:
     """JSON of the component-level comparison of two names given as JSON of their parts."""
-    comparer = kernels.Comparer(dictionaries)
-    parts = lru_cache(KEPT)(lambda a, b: json.dumps(comparer.names(json.loads(a), json.loads(b), use_synonyms, penalty), ensure_ascii=False))
+    state: dict[str, Callable] = {}
+
+    def make() -> Callable:
+        comparer = kernels.Comparer(dictionaries)
+        return lru_cache(KEPT)(lambda a, b: json.dumps(comparer.names(json.loads(a), json.loads(b), use_synonyms, penalty), ensure_ascii=False))
 
     @F.pandas_udf("string")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else parts(x, y) for x, y in zip(a, b)], dtype=object)
+        if "f" not in state:
+            state["f"] = make()
+        return pd.Series([None if x is None or y is None else state["f"](x, y) for x, y in zip(a, b)], dtype=object)
 
     return run
 
 
-def compare_names(dictionaries: Dictionaries, a: Column, b: Column, use_synonyms: bool = True, penalty: float = 0.02) -> Column:
-    """Struct of scores and components of two raw names; parsing is native, scoring is not."""
-    found = name_match(dictionaries, use_synonyms, penalty)(F.to_json(names.parse_components(a)), F.to_json(names.parse_components(b)))
-    return F.from_json(found, NAME_MATCH)
+PARTS = ("family", "given", "title", "suffix", "prefix", "honorific")
+
+
+def compare_names(rows: DataFrame, dictionaries: Dictionaries, a: str, b: str, out: str, use_synonyms: bool = True, penalty: float = 0.02) -> DataFrame:
+    """``rows`` with a struct of scores and components of two raw names; parsing is native, scoring is not."""
+    keep = rows.columns
+    for c in (a, b):
+        rows = names.with_components(rows, c).withColumn(f"_{c}_parts", F.to_json(F.struct(*PARTS))).drop("language", *PARTS)
+    found = name_match(dictionaries, use_synonyms, penalty)(F.col(f"_{a}_parts"), F.col(f"_{b}_parts"))
+    return rows.withColumn(out, F.from_json(found, NAME_MATCH)).select(*keep, out)
 
 
 def compare_addresses(a: Column, b: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from kinloom.operators import rules
 
 CONDITIONS = [
-    "family_exact", "family_st", "family_romanization", "family_match", "given_exact", "given_st", "given_romanization", "given_partial",
-    "given_jw > 0.95", "given_jw > 0.9", "given_jw > 0.85", "given_jw > 0.8", "given_signal", "phone_match", "email_match", "dob_match",
+    "family_exact && given_exact", "family_exact && given_st", "family_st && given_st", "family_st", "family_exact", "given_exact", "given_st",
+    "family_romanization && given_romanization", "family_romanization", "given_romanization", "family_match && phone_match",
+    "family_match && email_match", "family_exact && phone_match", "given_jw > 0.85", "given_jw > 0.9", "given_partial",
 ]
 ROUNDS, STRICT_ROUNDS, STRICT, LOOSE, LEAST = 30, 3, 0.95, 0.80, 5
 
@@ -91,7 +92,7 @@ def _holds(condition: str, bit: dict):
     """Truth of a condition over the rows of feature counts."""
     if condition in bit:
         return bit[condition]
-    a, b = condition.split(" && ")
+    a, b = next((x, y) for x, y in combinations(CONDITIONS, 2) if f"{x} && {y}" == condition)
     return (bit[a] & bit[b]) & (not condition.startswith("given_jw >"))
 
 

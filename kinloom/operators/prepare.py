@@ -17,28 +17,18 @@ def readings(dictionaries: Dictionaries) -> dict[str, str]:
     return {c: strip_tone(r[0]).lower() for c, r in dictionaries.jyutping.items()}
 
 
-def romanised(family: Column, given: Column, to_traditional: Mapping[str, str], jyutping: Mapping[str, str]) -> Column:
-    """Syllables of a name in one spelling for all scripts: Jyutping of characters, lower-case Latin words."""
-
-    def syllables(word: Column) -> Column:
-        cjk = F.filter(text.chars(text.mapped(word, to_traditional)), lambda c: text.contains_cjk(c))
-        return F.filter(F.transform(cjk, lambda c: text.lookup(c, jyutping)), lambda x: x.isNotNull())
-
-    listed = lambda x: F.filter(F.array(x), lambda y: y.isNotNull())
-    surname = names.surname_char(family)
-    latin = F.when(surname.isNotNull(), listed(text.lookup(surname, jyutping))).otherwise(listed(F.lower(family)))
-    first = F.when(text.contains_cjk(F.substring(family, 1, 1)), syllables(family)).otherwise(latin)
-    rest = F.flatten(F.transform(given, lambda g: F.when(text.contains_cjk(g), syllables(g)).otherwise(F.array(F.lower(g)))))
-    none = F.array().cast("array<string>")
-    return F.array_join(F.concat(F.coalesce(first, none), F.coalesce(rest, none)), " ")
+def syllables(word: Column, to_traditional: Mapping[str, str], jyutping: Mapping[str, str]) -> Column:
+    """Toneless Jyutping of the CJK characters of a word; those without a reading are left out."""
+    spelled = F.transform(text.chars(text.mapped(word, to_traditional)), lambda c: text.lookup(c, jyutping))
+    return F.array_compact(spelled)
 
 
 def surname_key(family: Column, to_traditional: Mapping[str, str], jyutping: Mapping[str, str]) -> Column:
     """Upper-case Jyutping of the surname where it is known, else its first character (upper case for a surname of
     Hong Kong, lower case for another Latin one); empty without a family name."""
-    first = F.substring(family, 1, 1)
+    first, family_name = F.substring(family, 1, 1), F.lower(family)
     by_char = F.upper(text.lookup(text.mapped(first, to_traditional), jyutping))
-    by_name = F.upper(text.lookup(names.surname_char(family), jyutping))
+    by_name = F.upper(text.lookup(family_name, {r: jyutping[c] for r, c in tables.HK_SURNAMES.items() if c in jyutping}))
     key = F.when(text.contains_cjk(first), F.coalesce(by_char, first)).when(names.is_hk_surname(family), F.coalesce(by_name, F.upper(first))).otherwise(F.lower(first))
     return F.coalesce(key, F.lit(""))
 
@@ -57,16 +47,24 @@ def prepare(records: DataFrame, dictionaries: Dictionaries) -> DataFrame:
         value = F.nullif(F.col(f).cast("string"), F.lit("")) if f in records.columns else F.lit(None).cast("string")
         records = records.withColumn(f, value)
     keep = [c for c in ("idx", "record_id", "source", "person_id", "name", *FIELDS) if c in records.columns]
-    parsed = records.select(*keep, names.parse_components(F.coalesce("name", F.lit(""))).alias("c")).select(*keep, "c.language", "c.title", "c.family", "c.given", "c.suffix", "c.prefix", "c.honorific")
+    rows = names.with_components(records.select(*keep))
     simple, full, jyutping = dictionaries.to_simplified, dictionaries.to_traditional, readings(dictionaries)
-    family, given, source = F.col("family"), F.col("given"), F.col("source")
-    raw = F.coalesce("name", F.lit(""))
-    joined = F.concat(F.coalesce(family, F.lit("")), F.array_join(given, ""))
-    return parsed.select(
-        "*", text.normalise(raw).alias("key_exact"), text.normalise(text.mapped(raw, simple)).alias("key_s_t"),
-        text.normalise(text.mapped(joined, simple)).alias("key_stripped"), romanised(family, given, full, jyutping).alias("key_romanized"),
-        surname_key(family, full, jyutping).alias("surname_key"), richness(F.col("language"), given, source).alias("richness"),
-    )
+    family, given, none = F.col("family"), F.col("given"), F.array().cast("array<string>")
+    by_name = {r: jyutping.get(c, "") for r, c in tables.HK_SURNAMES.items()}
+    rows = rows.withColumns({
+        "_raw": F.coalesce("name", F.lit("")), "_joined": F.concat(F.coalesce(family, F.lit("")), F.array_join(given, "")),
+        "_spelled": text.lookup(F.lower(family), by_name), "_cjk": text.contains_cjk(F.substring(family, 1, 1)),
+    })
+    # the romanised name: Jyutping of characters, lower-case Latin words
+    known = F.when(F.col("_spelled").isNull(), F.array(F.lower(family))).otherwise(F.filter(F.array("_spelled"), lambda x: x != ""))
+    first = F.when(family.isNull(), none).when(F.col("_cjk"), syllables(family, full, jyutping)).otherwise(known)
+    rest = F.flatten(F.transform(given, lambda g: F.when(text.contains_cjk(g), syllables(g, full, jyutping)).when(g != "", F.array(F.lower(g))).otherwise(none)))
+    rows = rows.withColumns({
+        "key_exact": text.normalise("_raw"), "key_s_t": text.normalise(text.mapped("_raw", simple)),
+        "key_stripped": text.normalise(text.mapped("_joined", simple)), "key_romanized": F.array_join(F.concat(first, rest), " "),
+        "surname_key": surname_key(family, full, jyutping), "richness": richness(F.col("language"), given, F.col("source")),
+    })
+    return rows.drop("_raw", "_joined", "_spelled", "_cjk")
 
 
 __all__ = ["prepare", "readings", "richness", "romanised", "surname_key", "tables"]

@@ -2,6 +2,350 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinloom.functions import names, tables, text, udfs
+from kinloom.functions.dictionaries import Dictionaries, from_icu
+from kinloom.operators import blocking, components, induce, matching, metrics, nodes, rules, seeds, survivorship
+from kinloom.operators.prepare import prepare
+from kinloom.plans.resolve import collision_pool, resolve
+from kinloom.session import shelve
+from kinloom.sources import population, results
+
 FLAGSHIP = "match_summary"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return population.records(spark, sf_dir)
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare(_records(spark, sf_dir), _dictionaries(spark))
+
+
+def _dictionaries(spark: SparkSession) -> Dictionaries:
+    return from_icu(spark)
+
+
+# Queries without a shuffle beyond their own aggregation ------------------------------------------------------------
+
+
+def records(spark, sf_dir):
+    return _records(spark, sf_dir)
+
+
+def script_profile(spark, sf_dir):
+    return _records(spark, sf_dir).groupBy("source", text.detect_script("name").alias("script")).agg(F.count("*").alias("n"))
+
+
+def language_profile(spark, sf_dir):
+    return _records(spark, sf_dir).groupBy(text.detect_language("name").alias("language")).agg(F.count("*").alias("n"), F.sum(text.contains_cjk("name").cast("int")).alias("with_cjk"))
+
+
+def ngram_counts(spark, sf_dir):
+    grams = _records(spark, sf_dir).where(text.contains_cjk("name")).select(F.explode(text.cjk_ngrams("name", 2)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def document_ngrams(spark, sf_dir):
+    """The n-gram similarity of each document's language tag and source, and how long the texts are without space."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("lang", text.ngram_similarity("lang", "source").alias("s"), F.char_length(text.without_space("text")).alias("n"))
+    return rows.groupBy("lang").agg(F.sum("s").alias("similarity"), F.sum("n").alias("chars"))
+
+
+def normalised_names(spark, sf_dir):
+    return _records(spark, sf_dir).select("record_id", text.normalise("name").alias("normal"))
+
+
+def name_tokens_latin(spark, sf_dir):
+    """Titles and suffixes added to the Latin names and stripped again."""
+    rows = _records(spark, sf_dir).where(~text.contains_cjk("name"))
+    raw = F.concat(F.when(F.col("idx") % 3 == 0, "Dr. Prof. ").otherwise(""), F.col("name"), F.when(F.col("idx") % 2 == 0, " Jr. MBA").otherwise(""))
+    return rows.select("record_id", names.parse_name(raw).alias("p")).select("record_id", "p.stripped", "p.normalized", F.size("p.tokens").alias("n_tokens"), F.array_join("p.salutations_removed", ",").alias("titles"), F.array_join("p.suffixes_removed", ",").alias("suffixes"))
+
+
+def _components(spark, sf_dir, latin: bool):
+    rows = _records(spark, sf_dir).where(~text.contains_cjk("name") if latin else text.contains_cjk("name"))
+    rows = names.with_components(rows.select("record_id", "name"))
+    return rows.select("record_id", "language", "family", F.array_join("given", "/").alias("given"), F.coalesce("honorific", F.lit("")).alias("honorific"))
+
+
+def components_latin(spark, sf_dir):
+    return _components(spark, sf_dir, True)
+
+
+def components_cjk(spark, sf_dir):
+    return _components(spark, sf_dir, False)
+
+
+def cjk_name_stripped(spark, sf_dir):
+    rows = _records(spark, sf_dir).where(text.contains_cjk("name")).select("record_id", names.parse_cjk_name("name").alias("p"))
+    return rows.select("record_id", "p.stripped", F.size("p.chars").alias("n_chars"))
+
+
+def hk_surnames(spark, sf_dir):
+    first = F.get(text.words("name"), F.lit(0))
+    rows = _records(spark, sf_dir).where("source = 'billing'").select(first.alias("token"))
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.max(names.is_hk_surname("token")).alias("known"), F.max(names.surname_char("token")).alias("char"))
+
+
+def synonym_pairs(spark, sf_dir):
+    e = spark.createDataFrame([(x,) for x in population.ENGLISH], "a string")
+    pairs = e.join(e.withColumnRenamed("a", "b"), F.expr("a < b"))
+    return pairs.where(names.are_synonyms("a", "b"))
+
+
+def jw_token_pairs(spark, sf_dir):
+    """Jaro-Winkler of distinct Latin words that share their first letter."""
+    word = _records(spark, sf_dir).where("source IN ('billing', 'english')").select(F.explode(text.words(F.lower(F.translate("name", ",", " ")))).alias("a")).distinct()
+    pairs = word.join(word.withColumnRenamed("a", "b"), F.expr("left(a, 1) = left(b, 1) AND a < b"))
+    return pairs.select("a", "b", F.round(udfs.jaro_winkler(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+_ADDRESS = {
+    "flat": "CASE WHEN {k} % 7 <> 0 THEN concat('F', CAST({k} % 4 AS STRING)) END", "floor": "CASE WHEN {k} % 6 <> 0 THEN CAST({k} % 5 AS STRING) END",
+    "block": "CASE WHEN {k} % 5 <> 0 THEN concat('B', CAST({k} % 2 AS STRING)) END", "building": "CASE WHEN {k} % 4 <> 0 THEN concat('T', CAST({k} % 3 AS STRING)) END",
+    "estate": "CASE WHEN {k} % 3 <> 0 THEN concat('E', CAST({k} % 2 AS STRING)) END", "district": "CASE WHEN {k} % 9 <> 0 THEN concat('D', CAST({k} % 2 AS STRING)) END",
+    "ogcio_ref": "CASE WHEN {k} % 13 = 0 THEN CAST({k} % 2 AS STRING) END",
+}
+
+
+def address_scores(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("k"))
+    a, b = (F.struct(*(F.expr(e.format(k=k)).alias(f) for f, e in _ADDRESS.items())) for k in ("k", "(3 * k + 1)"))
+    return c.select("k", F.round(text.address_similarity(a, b), 6).alias("score"))
+
+
+def st_normalized_names(spark, sf_dir):
+    simple = _dictionaries(spark).to_simplified
+    return _records(spark, sf_dir).groupBy(text.mapped("name", simple).alias("simplified")).agg(F.count("*").alias("n"))
+
+
+def surname_keys(spark, sf_dir):
+    return _prepared(spark, sf_dir).groupBy("surname_key").agg(F.count("*").alias("n"), F.sum("richness").alias("richness"))
+
+
+def name_keys(spark, sf_dir):
+    return _prepared(spark, sf_dir).select("record_id", "key_exact", "key_s_t", "key_stripped", "key_romanized")
+
+
+def richness(spark, sf_dir):
+    return _prepared(spark, sf_dir).select("record_id", "richness")
+
+
+def phone_nodes(spark, sf_dir):
+    """Corroboration of each billing record with the CRM record of the person whose number is 5 higher or the same."""
+    r = _records(spark, sf_dir)
+    a = r.where("source = 'billing'").select(F.col("person_id").alias("p"), F.col("phone").alias("a_phone"), F.col("district").alias("a_district"))
+    b = r.where("source = 'crm'").select(F.explode(F.array(F.col("person_id"), F.col("person_id") + 5)).alias("p"), F.col("person_id").alias("q"), F.col("phone").alias("b_phone"), F.col("district").alias("b_district"))
+    same = F.coalesce(F.lower("a_district") == F.lower("b_district"), F.lit(False))
+    rows = a.join(b, "p").select("p", "q", nodes.phone_match(F.col("a_phone"), F.col("b_phone")).alias("phone"), same.alias("district"))
+    return rows.groupBy("phone", "district").agg(F.count("*").alias("n"))
+
+
+# Grouping and blocking ---------------------------------------------------------------------------------------------
+
+
+def _seeded(spark, sf_dir):
+    prepared = shelve(_prepared(spark, sf_dir), "prepared")
+    return prepared, shelve(seeds.seed_members(prepared), "members")
+
+
+def phase1_pass_counts(spark, sf_dir):
+    return _seeded(spark, sf_dir)[1].groupBy("pass").agg(F.count("*").alias("records"), F.count_distinct("cluster_id").alias("clusters"))
+
+
+def seed_clusters(spark, sf_dir):
+    prepared, members = _seeded(spark, sf_dir)
+    return seeds.clusters(members, prepared)
+
+
+def seed_membership(spark, sf_dir):
+    prepared, members = _seeded(spark, sf_dir)
+    return results.membership(members, seeds.clusters(members, prepared), prepared)
+
+
+def cluster_sizes(spark, sf_dir):
+    return metrics.size_histogram(_seeded(spark, sf_dir)[1])
+
+
+def unconsumed(spark, sf_dir):
+    prepared, members = _seeded(spark, sf_dir)
+    return prepared.join(members.select("idx"), "idx", "left_anti").select("record_id", "surname_key")
+
+
+def block_sizes(spark, sf_dir):
+    rows = blocking.blocks(_prepared(spark, sf_dir), blocking.composite_keys())
+    return rows.groupBy("block").agg(F.count("*").alias("n"))
+
+
+def block_statistics(spark, sf_dir):
+    return blocking.block_statistics(_prepared(spark, sf_dir).select(F.explode(blocking.composite_keys()).alias("block")))
+
+
+def candidate_pairs(spark, sf_dir):
+    rows = blocking.blocks(_prepared(spark, sf_dir), blocking.composite_keys())
+    return blocking.candidate_pairs(rows).select("a_idx", "b_idx")
+
+
+def first_char_blocks(spark, sf_dir):
+    rows = blocking.blocks(_records(spark, sf_dir), blocking.first_char_key(), most=None)
+    return rows.groupBy("block").agg(F.count("*").alias("n"))
+
+
+def cluster_candidates(spark, sf_dir):
+    prepared, members = _seeded(spark, sf_dir)
+    left = prepared.join(members.select("idx"), "idx", "left_anti")
+    return matching.cluster_candidates(left, seeds.clusters(members, prepared), prepared).select("a_idx", "b_idx", "cluster_id")
+
+
+# Rules -------------------------------------------------------------------------------------------------------------
+
+
+def _person_pairs(prepared: DataFrame) -> DataFrame:
+    """Pairs of records of one person and of neighbours: billing against CRM of the same or the next person."""
+    a = nodes.side(prepared.where("source <> 'crm'"), "a", ("person_id",))
+    b = nodes.side(prepared.where("source = 'crm'"), "b", ("person_id",)).withColumn("a_person_id", F.explode(F.array(F.col("b_person_id"), F.col("b_person_id") + 1)))
+    return a.join(b, "a_person_id")
+
+
+def rule_decisions_native(spark, sf_dir):
+    """R1 and the corroboration features, without any Python."""
+    found = nodes.native_nodes(_person_pairs(_prepared(spark, sf_dir)))
+    r1 = F.col("family_exact") & F.col("given_exact")
+    return found.groupBy(r1.alias("r1"), "family_exact", "phone_match", "district_match").agg(F.count("*").alias("n"))
+
+
+def rule_decisions(spark, sf_dir):
+    found = matching.evaluate(_person_pairs(_prepared(spark, sf_dir)), _dictionaries(spark))
+    return found.select("a_record_id", "b_record_id", "confidence", "rule", "score", "classification", "family_romanization", "given_romanization", F.round("given_jw", 6).alias("given_jw"))
+
+
+JSON_RULES = [
+    {"condition": "family_exact && given_exact", "confidence": "definite"},
+    {"condition": "family_match && phone_match && !given_exact", "confidence": "high"},
+    {"condition": "family_match && given_jw > 0.85", "confidence": "medium"},
+    {"condition": "phone_match && given_bigram_jaccard >= 0.5", "confidence": "review"},
+]
+
+
+def json_rule_decisions(spark, sf_dir):
+    found = matching.evaluate(_person_pairs(_prepared(spark, sf_dir)), _dictionaries(spark), JSON_RULES)
+    return found.groupBy("rule", "confidence", "classification").agg(F.count("*").alias("n"))
+
+
+def name_signals(spark, sf_dir):
+    rows = _records(spark, sf_dir).select("name", "source", "person_id").where("source IN ('crm', 'legacy')")
+    a, b = rows.where("source = 'crm'").select("person_id", F.replace("name", F.lit("先生"), F.lit("")).alias("a")), rows.where("source = 'legacy'").select("person_id", F.col("name").alias("b"))
+    pairs = a.join(b, "person_id").select("a", "b").distinct()
+    found = pairs.select("a", "b", udfs.signals(_dictionaries(spark))(F.col("a"), F.col("b")).alias("s"))
+    return found.select("a", "b", "s.*")
+
+
+def name_comparisons(spark, sf_dir):
+    rows = _records(spark, sf_dir).select("name", "source", "person_id")
+    a, b = rows.where("source = 'billing'").select("person_id", F.col("name").alias("a")), rows.where("source = 'english'").select("person_id", F.col("name").alias("b"))
+    pairs = a.join(b, "person_id").select("a", "b").distinct()
+    found = udfs.compare_names(pairs, _dictionaries(spark), "a", "b", "m")
+    return found.select("a", "b", "m.core_score", "m.combined", "m.synonym_applied", "m.explanation")
+
+
+# The whole ---------------------------------------------------------------------------------------------------------
+
+
+def match_summary(spark, sf_dir):
+    return resolve(_records(spark, sf_dir)).matches.groupBy("phase", "rule", "classification").agg(F.count("*").alias("n"))
+
+
+def matches(spark, sf_dir):
+    return resolve(_records(spark, sf_dir)).matches
+
+
+def precision_by_phase(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return metrics.precision_by_phase(metrics.with_truth(resolve(r).matches, r))
+
+
+def confusion_counts(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    found = resolve(r).matches.where("classification = 'match'").select(*metrics.pair("left_id", "right_id"))
+    return metrics.confusion(found, metrics.truth_pairs(r))
+
+
+def match_export(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return results.export_rows(metrics.with_truth(resolve(r).matches, r))
+
+
+def entity_states(spark, sf_dir):
+    return resolve(_records(spark, sf_dir)).states().groupBy("state").agg(F.count("*").alias("n"))
+
+
+def collision_routing(spark, sf_dir):
+    return collision_pool(_prepared(spark, sf_dir)).groupBy("sharing", "trusted").agg(F.count("*").alias("n"))
+
+
+def truth_pairs(spark, sf_dir):
+    return metrics.truth_pairs(_records(spark, sf_dir))
+
+
+def top_surnames(spark, sf_dir):
+    return metrics.top(_prepared(spark, sf_dir), "surname_key")
+
+
+def _edges(spark, sf_dir):
+    """A graph on the keys of orders: each order links to another one, some form chains."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("bigint").alias("k"))
+    return o.where("k % 3 <> 0").select(F.col("k").alias("a"), (F.col("k") - F.col("k") % 64 + (F.col("k") * 7) % 64).alias("b"))
+
+
+def connected_components(spark, sf_dir):
+    return components.connected_components(_edges(spark, sf_dir))
+
+
+def _golden_members(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return r.select(F.col("person_id").alias("cluster_id"), F.col("idx").alias("position"), "record_id", "source", "name", "district", "phone")
+
+
+def golden_most_complete(spark, sf_dir):
+    return survivorship.golden_records(_golden_members(spark, sf_dir), ["name", "district", "phone"], survivorship.MostComplete())
+
+
+def golden_trusted_source(spark, sf_dir):
+    rule = survivorship.MostTrustedSource(("legacy", "billing", "crm"))
+    return survivorship.golden_records(_golden_members(spark, sf_dir), ["name", "district", "phone"], rule, {"name": survivorship.MostComplete()})
+
+
+def _labelled(spark, sf_dir):
+    found = nodes.all_nodes(_person_pairs(_prepared(spark, sf_dir)), _dictionaries(spark))
+    return found.withColumn("is_match", F.col("a_person_id") == F.col("b_person_id"))
+
+
+def rule_support(spark, sf_dir):
+    return induce.support(_labelled(spark, sf_dir))
+
+
+def induced_rules(spark, sf_dir):
+    found = induce.induce(shelve(_labelled(spark, sf_dir), "labelled"))
+    rows = [(i, r["condition"], r["confidence"], float(r["precision"]), float(r["recall"]), r["true_positives"], r["false_positives"]) for i, r in enumerate(found)]
+    return spark.createDataFrame(rows, "turn int, condition string, confidence string, precision double, recall double, true_positives long, false_positives long")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        records, script_profile, language_profile, ngram_counts, document_ngrams, normalised_names, name_tokens_latin, components_latin, components_cjk,
+        cjk_name_stripped, hk_surnames, synonym_pairs, jw_token_pairs, address_scores, st_normalized_names, surname_keys, name_keys, richness, phone_nodes,
+        phase1_pass_counts, seed_clusters, seed_membership, cluster_sizes, unconsumed, block_sizes, block_statistics, candidate_pairs, first_char_blocks,
+        cluster_candidates, rule_decisions_native, rule_decisions, json_rule_decisions, name_signals, name_comparisons, match_summary, matches,
+        precision_by_phase, confusion_counts, match_export, entity_states, collision_routing, truth_pairs, top_surnames, connected_components,
+        golden_most_complete, golden_trusted_source, rule_support, induced_rules,
+    )
+}
+
+from kinloom.plans.oracle import SQL  # noqa: E402  the SQL twins are long and live in a module of their own
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "rules", "tables"]
