@@ -21,7 +21,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare(_records(spark, sf_dir), _dictionaries(spark))
+    """Written before use: filters on derived columns would else be pushed through, and copied into, their definitions."""
+    return shelve(prepare(_records(spark, sf_dir), _dictionaries(spark)), "prepared")
 
 
 def _dictionaries(spark: SparkSession) -> Dictionaries:
@@ -149,7 +150,7 @@ def phone_nodes(spark, sf_dir):
 
 
 def _seeded(spark, sf_dir):
-    prepared = shelve(_prepared(spark, sf_dir), "prepared")
+    prepared = _prepared(spark, sf_dir)
     return prepared, shelve(seeds.seed_members(prepared), "members")
 
 
@@ -346,6 +347,8 @@ QUERIES = {
     )
 }
 
-from kinloom.plans.oracle import SQL  # noqa: E402  the SQL twins are long and live in a module of their own
+from kinloom.plans import oracle  # noqa: E402  the SQL twins read the definitions above
+
+SQL = oracle.build()
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL", "rules", "tables"]
