@@ -12,6 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinloom.functions import kernels, names, text
 from kinloom.functions.dictionaries import Dictionaries
@@ -23,23 +24,24 @@ PAIR = "struct<component:string,left_value:string,right_value:string,score:doubl
 NAME_MATCH = f"struct<core_score:double,title_boost:double,suffix_boost:double,synonym_applied:boolean,combined:double,components:array<{PAIR}>,explanation:string>"
 
 
-def pairwise(function: Callable, kind: str) -> Callable[[Column, Column], Column]:
+def pairwise(function: Callable, kind: T.DataType) -> Callable[[Column, Column], Column]:
     """A column of ``function(a, b)`` for two string columns; null where either is null."""
     state: dict[str, Callable] = {}
+    number = isinstance(kind, T.DoubleType)
 
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         if "f" not in state:  # made in the worker: a cache does not travel
             state["f"] = lru_cache(KEPT)(function)
-        return pd.Series([None if x is None or y is None else state["f"](x, y) for x, y in zip(a, b)], dtype=object if kind != "double" else float)
+        return pd.Series([None if x is None or y is None else state["f"](x, y) for x, y in zip(a, b)], dtype=float if number else object)
 
     return run
 
 
-jaro_winkler = pairwise(lambda a, b: kernels.jaro_winkler(a, b), "double")
-jaro_winkler_plain = pairwise(lambda a, b: kernels.jaro_winkler(kernels.plain(a), kernels.plain(b)), "double")
-lcs = pairwise(lambda a, b: float(kernels.lcs_length(a, b)), "double")
-romanisation = pairwise(lambda a, b: kernels.romanisation_similarity(a, b), "double")
+jaro_winkler = pairwise(lambda a, b: kernels.jaro_winkler(a, b), T.DoubleType())
+jaro_winkler_plain = pairwise(lambda a, b: kernels.jaro_winkler(kernels.plain(a), kernels.plain(b)), T.DoubleType())
+lcs = pairwise(lambda a, b: float(kernels.lcs_length(a, b)), T.DoubleType())
+romanisation = pairwise(lambda a, b: kernels.romanisation_similarity(a, b), T.DoubleType())
 
 
 def name_nodes(dictionaries: Dictionaries) -> Callable[..., Column]:
