@@ -18,8 +18,9 @@ fewer words the whole sequence is its one shingle. Two sets link when ``den * in
    the partner's size. They meet in buckets of (hot token of the plain prefix, size class).
 6. Buckets with the same members are one. In each, all members are verified against one pivot: linear work, and a
    family of near copies becomes one component at once. Only buckets that still hold several components go on: there
-   all pairs of different components are verified. A pair inside one component needs no verification. No pair that
-   could join two components is left out, so components are exact; there is no cap on partners.
+   the members outside the largest component are compared with all others, in blocks. A pair inside one component
+   needs no verification. No pair that could join two components is left out, so components are exact; there is no
+   cap on partners.
 
 Null or empty text, or no words: an empty set, linked with nothing, its own component. Rows that repeat an id are one
 node of the graph. A null id is never another document's component.
@@ -43,6 +44,8 @@ MAX_HOT = 1 << 18
 TASK_HOT = 20_000
 MAX_IDS = 2_000_000
 SIZE_STEP = np.log(1.1)
+#: Members of a bucket that a task compares queries with at once.
+BLOCK = 1024
 
 
 def need(n):
@@ -203,38 +206,118 @@ def hot_buckets(index: DataFrame) -> DataFrame:
     return rows.join(best, ["token", "class"]).select(F.xxhash64("token", "class").alias("bucket"), "id", "pivot", "first")
 
 
-def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link, by their whole sets."""
+def signatures(texts: DataFrame) -> DataFrame:
+    """id, n and a parity bitmap of each set: four to eight bits a token, addressed by the tokens' low bits."""
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            flat, starts = common.text_bytes(batch.column("text"))
+            for i, j in common.chunks(starts):
+                tokens, cuts = shingles(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+                maps = []
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    size = 1 << max(6, (4 * (b - a)).bit_length())
+                    place = (tokens[a:b] & np.uint64(size - 1)).astype(np.int64)
+                    maps.append(np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(cuts)), pa.array(maps, pa.binary())], names=["id", "n", "map"])
+
+        return step
+
+    return common.per_batch(texts, "id long, n long, map binary", make)
+
+
+def may_link(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """Whether sets of n and m tokens can link, by their sizes and bitmaps; the longer bitmap is folded."""
+    if DEN * min(n, m) < NUM * max(n, m):
+        return False
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    long, short = 8 * len(a), 8 * len(b)
+    if long < short:
+        x, y, long, short = y, x, short, long
+    while long > short:
+        long //= 2
+        x = (x >> long) ^ (x & ((1 << long) - 1))
+    return (n + m - (x ^ y).bit_count()) // 2 >= both(n, m)
+
+
+def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that sizes and bitmaps do not rule out. The bitmaps bound the overlap from above, so no
+    link is lost; they are a small part of the texts."""
+    side = lambda c: marks.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}"))
+    found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = found.join(side("a"), "a").join(side("b"), "b")
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            columns = (batch.column(c).to_pylist() for c in ("n_a", "map_a", "n_b", "map_b"))
+            at = pa.array([i for i, row in enumerate(zip(*columns)) if may_link(*row)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+
+        return step
+
+    return common.per_batch(found, "a long, b long", make)
+
+
+def crossing(rows: DataFrame, marks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of a bucket that have different labels and that sizes and bitmaps do not rule out.
+
+    ``rows``: bucket, id, label. In each bucket the commonest label needs no comparison within itself: the others are
+    the queries, compared with all members. Members are dealt over blocks of about ``block``, each query visits all
+    blocks of its bucket; a task holds one block and streams the queries. Pairs that are ruled out are never rows.
+    """
+    by_label = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels"))
+    mixed = mixed.where("labels > 1").select("bucket", "main", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    rows = rows.join(mixed, "bucket")
+    members = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "label")
+    queries = rows.where("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "label")
+    dealt = members.union(queries).join(marks, "id").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
+
+    def run(batches):
+        place, held = None, []
+        for batch in batches:
+            a, b = [], []
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "block", "role", "id", "label", "n", "map"))
+            for bucket, number, role, i, label, n, bits in zip(*columns):
+                if (bucket, number) != place:
+                    place, held = (bucket, number), []
+                if not role:
+                    held.append((i, label, n, bits))
+                    continue
+                for other, its_label, m, its_bits in held:
+                    if its_label != label and may_link(n, bits, m, its_bits):
+                        a.append(min(i, other))
+                        b.append(max(i, other))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def links(close: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``close`` (pairs a, b) that link, by their whole sets."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
     def make():
         def step(batch: pa.RecordBatch):
             names = batch.column("a").to_numpy()
-            new = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))  # the pivot's text comes in runs
-            of = np.searchsorted(new, np.arange(len(names)), side="right") - 1
-            ta, ca = shingles(*common.text_bytes(batch.column("text_a").take(pa.array(new))))
             keep = np.zeros(len(names), bool)
             flat, starts = common.text_bytes(batch.column("text_b"))
             for i, j in common.chunks(starts):
+                first = np.flatnonzero(np.concatenate([[True], names[i + 1 : j] != names[i : j - 1]])) + i  # runs of one a
+                of = np.searchsorted(first, np.arange(i, j), side="right") - 1
+                ta, ca = shingles(*common.text_bytes(batch.column("text_a").take(pa.array(first))))
                 tb, cb = shingles(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-                for r in range(i, j):
-                    x, y = ta[ca[of[r]] : ca[of[r] + 1]], tb[cb[r - i] : cb[r - i + 1]]
-                    shared = len(x) + len(y) - len(np.union1d(x, y))
-                    keep[r] = shared > 0 and DEN * shared >= NUM * (len(x) + len(y) - shared)
+                for r in range(j - i):
+                    x, y = ta[ca[of[r]] : ca[of[r] + 1]], tb[cb[r] : cb[r + 1]]
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i + r] = shared > 0 and DEN * shared >= NUM * (len(x) + len(y) - shared)
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
         return step
 
-    return common.per_batch(pairs.join(right, "b").join(left, "a"), "a long, b long", make)
-
-
-def fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Distinct pairs whose sizes allow a link."""
-    s = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
-    found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(s("a"), "a").join(s("b"), "b")
-    return found.where(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")).select("a", "b")
+    return common.per_batch(close.join(right, "b").join(left, "a"), "a long, b long", make)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", hot_from: int = HOT) -> DataFrame:
@@ -252,37 +335,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", hot_from: int =
     plain = shelve(plain_buckets(index), "buckets")
     warm = shelve(index.where(F.size("front") > 0), "warm")
     hots = shelve(hot_buckets(warm), "hot_buckets")
-    sizes = placed.where("id = rep").select("id", "n").dropDuplicates(["id"])
     members = plain.select("id").union(hots.select("id")).distinct()
     texts = shelve(restrict(rows, "id", members.select(F.col("id").alias("_one")), "left_semi").dropDuplicates(["id"]), "texts")
+    marks = shelve(signatures(texts), "marks")
     star = plain.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(hots.select("pivot", "id")).where("a <> b")
-    found = shelve(links(fitting(star, sizes), texts), "links")
+    found = shelve(links(shelve(possible(star, marks), "close"), texts), "links")
     known = connected_components(found)
-    # buckets that hold several components: all pairs of different components, but for those with the pivot
-    label = F.coalesce("component", "id").alias("label")
-    tagged = lambda b: b.join(known, b.id == known.node, "left")
-    open_plain = _open(tagged(plain).select("bucket", "id", "pivot", F.lit(True).alias("first"), label))
-    open_hot = _open(tagged(hots).select("bucket", "id", "pivot", "first", label))
-    more = _pairs(open_plain).union(_pairs(open_hot))
-    rest = shelve(links(fitting(more, sizes), texts), "links")
+    # buckets that still hold several components; pairs with the pivot are done. Hot buckets that share members are
+    # one family: their sets share most tokens, hence most buckets
+    family = connected_components(hots.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    rows = plain.where("id <> pivot").select("bucket", "id").union(family.select(F.xxhash64(F.lit("family"), "component"), "node"))
+    rows = rows.join(known, rows.id == known.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    more = shelve(crossing(rows, marks), "close")
+    rest = shelve(links(more, texts), "links")
     known = connected_components(found.union(rest))
     done = placed.join(known, placed.rep == known.node, "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return done.union(alone).toDF(id_col, "n_shingles", "component_id")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several labels."""
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
-    return shelve(rows.join(mixed, "bucket"), "open")
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    x, y = rows.where("first").alias("x"), rows.alias("y")
-    apart = "x.label <> y.label AND x.id <> y.id AND x.id <> x.pivot AND y.id <> y.pivot AND (NOT y.first OR x.id < y.id)"
-    return x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
