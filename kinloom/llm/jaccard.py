@@ -28,9 +28,11 @@ node of the graph. A null id is never another document's component.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import common
@@ -46,6 +48,8 @@ MAX_IDS = 2_000_000
 SIZE_STEP = np.log(1.1)
 #: Members of a bucket that a task compares queries with at once.
 BLOCK = 1024
+#: Bytes of text that are hashed at once, and rows of an Arrow batch: small, as two workers share an executor.
+CHUNK, BATCH_ROWS = 1 << 18, 1000
 
 
 def need(n):
@@ -114,7 +118,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             flat, starts = common.text_bytes(batch.column("text"))
-            for i, j in common.chunks(starts):
+            for i, j in common.chunks(starts, CHUNK):
                 tokens, cuts = shingles(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
                 n, (k1, k2) = np.diff(cuts), set_keys(tokens, cuts)
                 yield rows(0, batch.column("id").slice(i, j - i), n, k1, k2)
@@ -122,7 +126,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
                     if n[d] and key not in seen:
                         seen.add(key)
                         fronts.append(tokens[cuts[d] : cuts[d] + n[d] - need(n[d]) + 1])
-                if sum(map(len, fronts)) > 4_000_000:
+                if sum(map(len, fronts)) > 1_000_000:
                     hot, fronts = fold(hot, fronts), []
                     seen.clear()
         token, times = fold(hot, fronts)
@@ -159,7 +163,7 @@ def second_pass(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
         def step(batch: pa.RecordBatch):
             flat, starts = common.text_bytes(batch.column("text"))
-            for i, j in common.chunks(starts):
+            for i, j in common.chunks(starts, CHUNK):
                 tokens, cuts = shingles(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
                 is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens if len(hot) else np.zeros(len(tokens), bool)
                 keys, fronts, many = [], [], []
@@ -212,7 +216,7 @@ def signatures(texts: DataFrame) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch):
             flat, starts = common.text_bytes(batch.column("text"))
-            for i, j in common.chunks(starts):
+            for i, j in common.chunks(starts, CHUNK):
                 tokens, cuts = shingles(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
                 maps = []
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -303,7 +307,7 @@ def links(close: DataFrame, texts: DataFrame) -> DataFrame:
             names = batch.column("a").to_numpy()
             keep = np.zeros(len(names), bool)
             flat, starts = common.text_bytes(batch.column("text_b"))
-            for i, j in common.chunks(starts):
+            for i, j in common.chunks(starts, CHUNK):
                 first = np.flatnonzero(np.concatenate([[True], names[i + 1 : j] != names[i : j - 1]])) + i  # runs of one a
                 of = np.searchsorted(first, np.arange(i, j), side="right") - 1
                 ta, ca = shingles(*common.text_bytes(batch.column("text_a").take(pa.array(first))))
@@ -322,7 +326,23 @@ def links(close: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", hot_from: int = HOT) -> DataFrame:
     """One row for each document: ``id_col``, n_shingles, component_id."""
-    spark = docs.sparkSession
+    with small_batches(docs.sparkSession):  # all Python stages are written inside; the result itself is plain joins
+        return _near_duplicates(docs, id_col, hot_from)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of at most ``rows`` rows for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, hot_from: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     first = shelve(first_pass(rows), "sets")
     sets = first.where("kind = 0").drop("kind")
