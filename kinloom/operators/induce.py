@@ -96,17 +96,11 @@ def _holds(condition: str, bit: dict):
     return (bit[a] & bit[b]) & (not condition.startswith("given_jw >"))
 
 
-def negative_pairs(records: DataFrame, per_record: int = 1, seed: int = 42) -> DataFrame:
-    """Pairs of records of different persons: each record meets its neighbours in hashed buckets. A sampling operator."""
-    def bucket(salt: int):
-        return F.pmod(F.xxhash64("record_id", F.lit(seed + salt)), F.lit(1 << 40))
-
-    out = None
-    for k in range(per_record):
-        rows = records.select("record_id", "person_id", bucket(k).alias("h"))
-        fine = F.shiftright("h", 8)
-        a = rows.withColumn("g", F.pmod(fine, F.lit(1 << 16)))
-        pairs = a.alias("x").join(a.alias("y"), F.expr("x.g = y.g AND x.record_id < y.record_id AND x.person_id <> y.person_id"))
-        pairs = pairs.select(F.col("x.record_id").alias("left_id"), F.col("y.record_id").alias("right_id"))
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
+def negative_pairs(records: DataFrame, per_bucket: int = 4, seed: int = 42) -> DataFrame:
+    """Pairs of records of different persons, drawn by a hash: a record meets those that fall into its bucket. There
+    are as many buckets as it takes to hold ``per_bucket`` records each, so pairs grow with the records, not with their
+    square. A sampling operator: it is meant to return a part of all pairs."""
+    buckets = max(1, records.count() // per_bucket)
+    rows = records.select("record_id", "person_id", F.pmod(F.xxhash64("record_id", F.lit(seed)), F.lit(buckets)).alias("g"))
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr("x.g = y.g AND x.record_id < y.record_id AND x.person_id <> y.person_id"))
+    return pairs.select(F.col("x.record_id").alias("left_id"), F.col("y.record_id").alias("right_id"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import names, tables, text, udfs
 from kinloom.functions.dictionaries import Dictionaries, from_icu
-from kinloom.operators import blocking, components, induce, matching, metrics, nodes, rules, seeds, survivorship
+from kinloom.operators import blocking, clustering, components, induce, matching, metrics, nodes, rules, seeds, survivorship
 from kinloom.operators.prepare import prepare
 from kinloom.plans.resolve import collision_pool, resolve
 from kinloom.session import shelve
 from kinloom.sources import population, results
+from kinloom.sources import records as sources
 
 FLAGSHIP = "match_summary"
 
@@ -284,6 +285,42 @@ def entity_states(spark, sf_dir):
     return resolve(_records(spark, sf_dir)).states().groupBy("state").agg(F.count("*").alias("n"))
 
 
+def final_clusters(spark, sf_dir):
+    return resolve(_records(spark, sf_dir)).final_clusters()
+
+
+def match_clusters(spark, sf_dir):
+    """Components of all matches, each with its records and the results inside it."""
+    found = resolve(_records(spark, sf_dir)).matches
+    members = shelve(clustering.clusters(found), "clusters")
+    inside = clustering.edges_inside(members, found).groupBy("cluster_id").agg(F.count("*").alias("edges"))
+    return members.groupBy("cluster_id").agg(F.count("*").alias("records")).join(inside, "cluster_id")
+
+
+def score_tiers(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return metrics.tiers(metrics.with_truth(resolve(r).matches, r))
+
+
+def block_matches(spark, sf_dir):
+    """All records matched in blocks, without seed clusters."""
+    return matching.match_blocks(_prepared(spark, sf_dir), _dictionaries(spark))
+
+
+def missed_pairs(spark, sf_dir):
+    """Pairs of one person that block matching does not find, by reason."""
+    p = _prepared(spark, sf_dir)
+    found = shelve(matching.match_blocks(p, _dictionaries(spark)), "found").select(*metrics.pair("left_id", "right_id"))
+    seen = blocking.candidate_pairs(blocking.blocks(p, blocking.composite_keys()))
+    name = lambda c: p.select(F.col("idx").alias(f"{c}_idx"), F.col("record_id").alias(c))
+    seen = seen.join(name("a"), "a_idx").join(name("b"), "b_idx").select(*metrics.pair("a", "b"))
+    return metrics.missed(metrics.truth_pairs(p), found, seen, p)
+
+
+def truth_groups(spark, sf_dir):
+    return sources.truth_groups(_records(spark, sf_dir))
+
+
 def collision_routing(spark, sf_dir):
     return collision_pool(_prepared(spark, sf_dir)).groupBy("sharing", "trusted").agg(F.count("*").alias("n"))
 
@@ -342,7 +379,8 @@ QUERIES = {
         cjk_name_stripped, hk_surnames, synonym_pairs, jw_token_pairs, address_scores, st_normalized_names, surname_keys, name_keys, richness, phone_nodes,
         phase1_pass_counts, seed_clusters, seed_membership, cluster_sizes, unconsumed, block_sizes, block_statistics, candidate_pairs, first_char_blocks,
         cluster_candidates, rule_decisions_native, rule_decisions, json_rule_decisions, name_signals, name_comparisons, match_summary, matches,
-        precision_by_phase, confusion_counts, match_export, entity_states, collision_routing, truth_pairs, top_surnames, connected_components,
+        precision_by_phase, confusion_counts, match_export, entity_states, collision_routing, truth_pairs, truth_groups, top_surnames, connected_components,
+        final_clusters, match_clusters, score_tiers, block_matches, missed_pairs,
         golden_most_complete, golden_trusted_source, rule_support, induced_rules,
     )
 }

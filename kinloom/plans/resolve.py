@@ -20,6 +20,12 @@ class Resolution:
     clusters: DataFrame
     matches: DataFrame
 
+    def final_clusters(self) -> DataFrame:
+        """The clusters with the members that were assigned later: size and richness anew, attractor as before."""
+        rows = self.members.join(self.prepared.select("idx", F.col("richness").alias("r")), "idx")
+        now = rows.groupBy("cluster_id").agg(F.count("*").alias("size"), (F.sum("r") + 10 * F.count("*")).alias("richness"))
+        return self.clusters.drop("size", "richness").join(now, "cluster_id")
+
     def states(self) -> DataFrame:
         """record_id and merged (in a match of high confidence), unresolved (in a cluster, unmatched) or singleton."""
         good = self.matches.where("score >= 0.9")

@@ -169,3 +169,22 @@ def test_sql_functions(spark, dictionaries):
     a = spark.createDataFrame([('{"flat":"A","raw":"x"}', '{"flat":"A","raw":"y"}'), ("{", '{"raw":"y"}'), ('{"flat":"A"}', '{"raw":"y"}')], "a string, b string")
     out = [json.loads(x[0]) for x in a.select(udfs.compare_addresses(F.col("a"), F.col("b"))).collect()]
     assert out[0] == {"score": 1.0} and "error" in out[1] and "error" in out[2]
+
+
+def test_command_line(spark, tmp_path):
+    from kinloom.__main__ import main
+
+    csv, out = str(tmp_path / "people"), str(tmp_path / "out")
+    main(["generate", "120", csv])
+    main(["resolve", csv, out])
+    assert results.read(spark, out, "matches").count() > 0 and results.read(spark, out, "pipeline_stats").where("phase = 'total'").count() == 1
+    main(["match", csv, str(tmp_path / "pairs"), "--rules", str(rules_file(tmp_path))])
+    assert set(spark.read.parquet(str(tmp_path / "pairs")).columns) == set(matching.RESULT)
+    main(["induce", csv, str(tmp_path / "induced.json"), "--negatives", "200"])
+    assert all(r["confidence"] in rules.LEVELS for r in records.read_rules(str(tmp_path / "induced.json")))
+
+
+def rules_file(folder):
+    path = folder / "rules.json"
+    records.write_rules(str(path), catalog.JSON_RULES)
+    return path
