@@ -33,12 +33,14 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
-def shelve(df: DataFrame, name: str) -> DataFrame:
+def shelve(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: lineage ends here.
 
-    Unlike ``localCheckpoint`` the rows survive the loss of any executor.
+    Unlike ``localCheckpoint`` the rows survive the loss of any executor. ``slim`` rows (ids and numbers) that many
+    tasks make are gathered into files of the size that adaptive execution advises, instead of one file a task.
     """
     spark = df.sparkSession
+    df = df.hint("rebalance") if slim else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _KEPT.append((spark, path))
     df.write.parquet(path)
