@@ -31,6 +31,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-3, 1e-3
 CALIBRATION = 5
 UNKNOWN = "und"
 MIN_SCORE = 0.4
+#: Characters of a text beyond which it is scored in windows of that size.
+LONG = 1 << 18
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -43,16 +45,27 @@ def has_letter(text: str | None) -> bool:
 
 
 def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the prepared texts, and where each text's begin (one more at the end)."""
-    codes, starts = sampling.code_points(texts)
-    codes = codes.astype(np.uint64)
+    """Buckets of all n-grams of the prepared texts, and where each text's begin (one more at the end).
+
+    Each text ends with so many spaces that no n-gram reaches into the next one.
+    """
+    codes, starts = sampling.code_points([t + " " * (N_MAX - 1) for t in texts])
+    found = _grams(codes.astype(np.uint64))
+    own = np.ones(len(codes), bool)
+    for k in range(1, N_MAX):
+        own[starts[1:] - k] = False
+    return found[own].reshape(-1), (starts - (N_MAX - 1) * np.arange(len(starts))) * N_MAX
+
+
+def _grams(codes: np.ndarray) -> np.ndarray:
+    """For each position the buckets of the n-grams that begin there, shortest first."""
     out = np.empty((len(codes), N_MAX), np.uint16 if BUCKETS <= 1 << 16 else np.uint32)
     h = np.zeros(len(codes), np.uint64)
     after = np.concatenate([codes, np.full(N_MAX, 32, np.uint64)])
     for n in range(N_MAX):
         h = h * np.uint64(0x100000001B3) + after[n : n + len(codes)] + np.uint64(1)
         out[:, n] = common.mix(h + np.uint64(n << 40)) % np.uint64(BUCKETS)
-    return out.reshape(-1), starts * N_MAX
+    return out
 
 
 @dataclass
@@ -63,10 +76,22 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, texts: list[str]) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            return self._long(texts[0])
         found, starts = buckets(texts)
         total = sampling.sums(self.weights[found], starts)
         return total / np.maximum(np.diff(starts), 1)[:, None] + self.bias
 
+    def _long(self, text: str) -> np.ndarray:
+        """The same for one very long text, window by window, so that memory stays small."""
+        padded, total = f" {text} ", np.zeros(len(self.classes))
+        for at in range(0, len(padded), LONG):
+            part = padded[at : at + LONG + N_MAX - 1] + " " * N_MAX
+            codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            found = _grams(codes)[: min(LONG, len(padded) - at)].reshape(-1)
+            total += self.weights[found].sum(axis=0, dtype=np.float64)
+        return (total / (len(padded) * N_MAX))[None, :] + self.bias
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
@@ -122,11 +147,18 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             texts = [prepare(t) for t in batch.column("text").to_pylist()]
             n += len(texts)
             for i, j in sampling.bounded(texts):
-                found, starts = buckets(texts[i:j])
-                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                    seen[found[a:b]] = True
+                long = j - i == 1 and len(texts[i]) > LONG
+                parts = [texts[i][k : k + LONG + N_MAX] for k in range(0, len(texts[i]), LONG)] if long else [None]
+                for part in parts:  # a very long text is marked window by window
+                    found, starts = buckets([part] if long else texts[i:j])
+                    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                        seen[found[a:b]] = True
+                        if not long:
+                            total += seen
+                            seen[found[a:b]] = False
+                if long:
                     total += seen
-                    seen[found[a:b]] = False
+                    seen[:] = False
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
 

@@ -26,6 +26,8 @@ SAMPLE = 4000
 CODE, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-4
 THRESHOLD = 0.7
+#: Words of a text beyond which it is described in pieces of that many (whole passages).
+LONG = 256 * PASSAGE
 #: Kinds of bytes that are counted: lower case, upper case, digits, each of some marks, other marks, beyond ASCII.
 _KINDS = np.full(256, 17, np.int64)
 _KINDS[0x61:0x7B], _KINDS[0x41:0x5B], _KINDS[0x30:0x3A], _KINDS[0x80:] = 0, 1, 2, 3
@@ -44,6 +46,9 @@ def features(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     passages = np.maximum(-(-n_words // PASSAGE), 1)
     cuts = np.concatenate([[0], np.cumsum(passages)])
     total = int(cuts[-1])
+    if n == 1 and len(begin) > LONG:  # a very long text: by whole passages, so that memory stays small
+        pieces = (slice(i, i + LONG) for i in range(0, len(begin), LONG))
+        return np.concatenate([features(flat[begin[p][0] : end[p][-1]], np.array([0, end[p][-1] - begin[p][0]]))[0] for p in pieces]), cuts
     out = np.zeros((total, N_FEATURES))
     if len(begin):
         of = cuts[owner] + (np.arange(len(begin)) - first[owner]) // PASSAGE  # passage of each word
@@ -58,18 +63,17 @@ def features(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         same = np.concatenate([[False], (h[1:] == h[:-1]) & (of[1:] == of[:-1])])
         order = np.lexsort((h, of))
         again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (of[order][1:] == of[order][:-1])])
-        pair = common.gram_hashes(h, 2)
-        order2 = np.lexsort((pair, of[:-1])) if len(pair) else np.zeros(0, np.int64)
-        again2 = np.zeros(len(pair), bool)
-        if len(pair):
-            again2[1:] = (pair[order2][1:] == pair[order2][:-1]) & (of[:-1][order2][1:] == of[:-1][order2][:-1])
+        inside = np.flatnonzero(of[1:] == of[:-1])  # pairs of words in one passage
+        pair, pair_of = common.gram_hashes(h, 2)[inside], of[inside]
+        order2 = np.lexsort((pair, pair_of))
+        again2 = np.concatenate([[False], (pair[order2][1:] == pair[order2][:-1]) & (pair_of[order2][1:] == pair_of[order2][:-1])])[: len(pair)]
         mean = np.bincount(of, weights=sizes, minlength=total) / some
         square = np.bincount(of, weights=sizes.astype(float) ** 2, minlength=total) / some
         capital = _KINDS[flat[begin]] == 1
         columns = (
             mean / 10, np.sqrt(np.maximum(square - mean**2, 0)) / 10, np.minimum(words / PASSAGE, 1),
             np.bincount(of, weights=same, minlength=total) / some, np.bincount(of[order], weights=again, minlength=total) / some,
-            np.bincount(of[:-1][order2], weights=again2, minlength=total) / some if len(pair) else np.zeros(total),
+            np.bincount(pair_of[order2], weights=again2, minlength=total) / some,
             np.bincount(of, weights=sizes == 1, minlength=total) / some, np.bincount(of, weights=capital, minlength=total) / some,
         )
         for i, c in enumerate(columns):

@@ -50,9 +50,12 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bounded(texts: list[str], size: int = 1 << 16):
-    """Ranges of texts with about ``size`` characters in all."""
+    """Ranges of texts with about ``size`` characters in all; a text of that size or more is a range of its own."""
     i = total = 0
     for j, t in enumerate(texts):
+        if len(t) >= size and j > i:
+            yield i, j
+            i, total = j, 0
         total += len(t)
         if total >= size:
             yield i, j + 1

@@ -31,6 +31,8 @@ EPOCHS, BATCH, RATE, DECAY = 16, 32, 1.5, 1e-5
 LEAST, SHRINK = 4, 0.0005
 _BORDER = re.compile(r"[\W_]+")
 THRESHOLD = 0.3
+#: Characters of a text beyond which it is scored in pieces.
+LONG = 1 << 18
 
 
 def prepare(text: str | None) -> str:
@@ -63,10 +65,27 @@ class Model:
     bias: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            total, n = map(sum, zip(*(self._sums([part]) for part in _parts(texts[0]))))
+        else:
+            total, n = self._sums(texts)
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -40, 40)))
+
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Total weight and size of each text's bag."""
         found, starts = bag(texts)
         total = np.concatenate([[0.0], np.cumsum(self.weight[found], dtype=np.float64)])
-        mean = (total[starts[1:]] - total[starts[:-1]]) / np.maximum(np.diff(starts), 1)
-        return 1 / (1 + np.exp(-np.clip(mean + self.bias, -40, 40)))
+        return total[starts[1:]] - total[starts[:-1]], np.diff(starts)
+
+
+def _parts(text: str):
+    """Pieces of a very long text, cut at spaces: an n-gram never reaches over one, so the bags add up."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + LONG)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end + 1
 
 
 def fit(texts: list[str], y: np.ndarray, seed: int = 11) -> Model | None:
