@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised kernels; a longer text is taken on its own.
 CHUNK = 1 << 20
+#: Rows of an Arrow batch.
+ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,14 @@ def chunks(starts: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 def per_batch(
     df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]
 ) -> DataFrame:
-    """``mapInArrow`` whose per-task state is built by ``make`` inside the worker."""
+    """``mapInArrow`` whose per-task state is built by ``make`` inside the worker.
+
+    Rows hold whole texts, so where the session has Spark's default of 10,000 rows a batch, it is lowered to ``ROWS``:
+    a batch stands in memory three times (JVM, worker, result), and an executor runs several workers.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(setting) == "10000":
+        df.sparkSession.conf.set(setting, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
