@@ -24,7 +24,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(docs)
-    gone = shelve(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_one")).distinct(), "gone")
+    gone = shelve(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_one")).distinct(), "gone", slim=True)
     kept = jaccard.restrict(docs, "doc_id", gone, "left_anti")
     repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").head(1)
     if not repeated:
@@ -35,7 +35,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.find(docs, common.table(spark, sf_dir, "benchmark"))
     bad = found.where(decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_one"))
-    return jaccard.restrict(docs, "doc_id", shelve(bad.distinct(), "contaminated"), "left_anti")
+    return jaccard.restrict(docs, "doc_id", shelve(bad.distinct(), "contaminated", slim=True), "left_anti")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

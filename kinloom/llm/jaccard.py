@@ -344,7 +344,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
 
 def _near_duplicates(docs: DataFrame, id_col: str, hot_from: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    first = shelve(first_pass(rows), "sets")
+    first = shelve(first_pass(rows), "sets", slim=True)
     sets = first.where("kind = 0").drop("kind")
     classes = shelve(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     placed = shelve(sets.where("n > 0").join(classes, ["k1", "k2"]).select("id", "n", "rep"), "placed")
@@ -353,21 +353,21 @@ def _near_duplicates(docs: DataFrame, id_col: str, hot_from: int) -> DataFrame:
     copies = placed.where("id <> rep").select(F.col("id").alias("_one")).distinct()
     index = second_pass(restrict(rows, "id", copies, "left_anti").where("id IS NOT NULL"), hot).where("n > 0")
     plain = shelve(plain_buckets(index), "buckets")
-    warm = shelve(index.where(F.size("front") > 0), "warm")
-    hots = shelve(hot_buckets(warm), "hot_buckets")
+    warm = shelve(index.where(F.size("front") > 0), "warm", slim=True)
+    hots = shelve(hot_buckets(warm), "hot_buckets", slim=True)
     members = plain.select("id").union(hots.select("id")).distinct()
     texts = shelve(restrict(rows, "id", members.select(F.col("id").alias("_one")), "left_semi").dropDuplicates(["id"]), "texts")
     marks = shelve(signatures(texts), "marks")
     star = plain.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(hots.select("pivot", "id")).where("a <> b")
-    found = shelve(links(shelve(possible(star, marks), "close"), texts), "links")
+    found = shelve(links(shelve(possible(star, marks), "close", slim=True), texts), "links", slim=True)
     known = connected_components(found)
     # buckets that still hold several components; pairs with the pivot are done. Hot buckets that share members are
     # one family: their sets share most tokens, hence most buckets
     family = connected_components(hots.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     rows = plain.where("id <> pivot").select("bucket", "id").union(family.select(F.xxhash64(F.lit("family"), "component"), "node"))
     rows = rows.join(known, rows.id == known.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-    more = shelve(crossing(rows, marks), "close")
-    rest = shelve(links(more, texts), "links")
+    more = shelve(crossing(rows, marks), "close", slim=True)
+    rest = shelve(links(more, texts), "links", slim=True)
     known = connected_components(found.union(rest))
     done = placed.join(known, placed.rep == known.node, "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))

@@ -322,7 +322,7 @@ def _round(rows: DataFrame, n_parts: int, turn: int, capacity: int) -> DataFrame
 def pack(found: DataFrame, *, capacity: int = CAPACITY, part_rows: int = PART_ROWS, max_rounds: int = MAX_ROUNDS, id_col: str = "doc_id") -> DataFrame:
     """``found`` (of ``pieces``) with sequence_id and offset."""
     columns = ["row_id", "piece", "start", "length", "ids_crc32"]
-    cut = shelve(found.select(F.col(id_col).cast("long").alias("row_id"), F.col("piece").cast("int"), *columns[2:]), "pieces")
+    cut = shelve(found.select(F.col(id_col).cast("long").alias("row_id"), F.col("piece").cast("int"), *columns[2:]), "pieces", slim=True)
     full = cut.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, kept = cut.where(F.col("length") < capacity), [full]
     n = rest.count()
