@@ -318,7 +318,7 @@ def missed_pairs(spark, sf_dir):
 
 
 def truth_groups(spark, sf_dir):
-    return sources.truth_groups(_records(spark, sf_dir))
+    return sources.truth_groups(_records(spark, sf_dir)).select("person_id", F.array_join("record_ids", ",").alias("record_ids"))
 
 
 def collision_routing(spark, sf_dir):

@@ -162,7 +162,7 @@ SELECT lang, sum(len(list_filter(x, lambda v: list_contains(y, v))) / (len(x) +
     list_transform(given, lambda x: lower(x)) = list_transform(b_given, lambda x: lower(x)) AS ge, coalesce({_NEAR}, false) AS pm, coalesce(lower(district) = lower(b_district), false) AS dm FROM q) GROUP BY ALL""", _PARTS, _PERSON_PAIRS),
         "collision_routing": q("SELECT sharing, sharing <= 3 AS trusted, count(*) AS n FROM (SELECT CASE WHEN phone IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY key_romanized, phone) END AS sharing FROM k) GROUP BY 1, 2", _PARTS, _KEYS),
         "truth_pairs": q("SELECT x.record_id AS left_id, y.record_id AS right_id FROM r x JOIN r y ON x.person_id = y.person_id AND x.record_id < y.record_id"),
-        "truth_groups": q("SELECT person_id, list_sort(list(DISTINCT record_id)) AS record_ids FROM r GROUP BY person_id"),
+        "truth_groups": q("SELECT person_id, array_to_string(list_sort(list(DISTINCT record_id)), ',') AS record_ids FROM r GROUP BY person_id"),
         "top_surnames": q("SELECT surname_key, count(*) AS n FROM k GROUP BY 1 ORDER BY n DESC, surname_key LIMIT 10", _PARTS, _KEYS),
         "connected_components": f"WITH RECURSIVE {_EDGES}, w(node, reach) AS (SELECT a, a FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.reach = e.a) SELECT node, min(reach) AS component FROM w GROUP BY node",
         "golden_most_complete": _golden({"name": "complete", "district": "complete", "phone": "complete"}),

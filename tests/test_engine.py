@@ -188,3 +188,19 @@ def rules_file(folder):
     path = folder / "rules.json"
     records.write_rules(str(path), catalog.JSON_RULES)
     return path
+
+
+def test_arrivals(spark, dictionaries, tmp_path):
+    from kinloom.streaming.arrivals import assign_arrivals
+
+    people = population.records(spark, SF)
+    known = resolve(people.where("source <> 'english'"), dictionaries)
+    people.where("source = 'english'").repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(people.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = assign_arrivals(stream, known.clusters, known.prepared, dictionaries, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination(240)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    late = shelve(prepare(people.where("source = 'english'"), dictionaries), "late")
+    want = matching.assign(late, known.clusters, known.prepared.unionByName(late), dictionaries)
+    assert got.count() == late.count()
+    assert {tuple(r) for r in got.where("cluster_id IS NOT NULL").select("record_id", "cluster_id").collect()} == {tuple(r) for r in want.select("a_record_id", "cluster_id").collect()}
