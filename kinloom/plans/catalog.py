@@ -343,6 +343,18 @@ def connected_components(spark, sf_dir):
     return components.connected_components(_edges(spark, sf_dir))
 
 
+def _links(spark, sf_dir):
+    """All orders with their customers and all lineitems with their parts; a node is 4 key + (0 order, 1 customer, 2 part)."""
+    node = lambda c, kind: F.col(c).cast("bigint") * 4 + kind
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(node("o_orderkey", 0).alias("a"), node("o_custkey", 1).alias("b"))
+    return o.union(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(node("l_orderkey", 0), node("l_partkey", 2)))
+
+
+def linked_components(spark, sf_dir):
+    """Components of whole tables: no row is filtered, and a component may be as large as the tables."""
+    return components.connected_components(_links(spark, sf_dir))
+
+
 def _golden_members(spark, sf_dir):
     r = _records(spark, sf_dir)
     return r.select(F.col("person_id").alias("cluster_id"), F.col("idx").alias("position"), "record_id", "source", "name", "district", "phone")
@@ -379,7 +391,7 @@ QUERIES = {
         cjk_name_stripped, hk_surnames, synonym_pairs, jw_token_pairs, address_scores, st_normalized_names, surname_keys, name_keys, richness, phone_nodes,
         phase1_pass_counts, seed_clusters, seed_membership, cluster_sizes, unconsumed, block_sizes, block_statistics, candidate_pairs, first_char_blocks,
         cluster_candidates, rule_decisions_native, rule_decisions, json_rule_decisions, name_signals, name_comparisons, match_summary, matches,
-        precision_by_phase, confusion_counts, match_export, entity_states, collision_routing, truth_pairs, truth_groups, top_surnames, connected_components,
+        precision_by_phase, confusion_counts, match_export, entity_states, collision_routing, truth_pairs, truth_groups, top_surnames, connected_components, linked_components,
         final_clusters, match_clusters, score_tiers, block_matches, missed_pairs,
         golden_most_complete, golden_trusted_source, rule_support, induced_rules,
     )

@@ -104,6 +104,24 @@ def test_components(spark):
     assert {tuple(r) for r in names.collect()} == {("x", "x"), ("y", "x"), ("z", "x")}
 
 
+def test_components_of_whole_tables(spark):
+    tables = [(f"SELECT o_orderkey, o_custkey FROM '{SF}/orders.parquet'", 1), (f"SELECT l_orderkey, l_partkey FROM '{SF}/lineitem.parquet'", 2)]
+    edges = [(4 * a, 4 * b + kind) for sql, kind in tables for a, b in duckdb.sql(sql).fetchall()]
+    above = {n: n for e in edges for n in e}
+
+    def top(n):
+        while above[n] != n:
+            above[n] = n = above[above[n]]
+        return n
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    want = {n: top(n) for n in above}
+    assert {r.node: r.component for r in catalog.QUERIES["linked_components"](spark, SF).collect()} == want
+    assert max(map(list(want.values()).count, set(want.values()))) > 64
+
+
 def test_survivorship(spark):
     rows = [(1, 0, "A", "crm", "ab", None), (1, 1, "B", "billing", "abc", "x"), (1, 2, "C", "crm", "xyz", "y"), (1, 3, "D", "legacy", "", "z")]
     m = spark.createDataFrame(rows, "cluster_id long, position long, record_id string, source string, name string, phone string")
