@@ -370,8 +370,12 @@ def golden_trusted_source(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    found = nodes.all_nodes(_person_pairs(_prepared(spark, sf_dir)), _dictionaries(spark))
-    return found.withColumn("is_match", F.col("a_person_id") == F.col("b_person_id"))
+    """All pairs of one person, and the drawn pairs of different persons, with their features."""
+    p = _prepared(spark, sf_dir)
+    truth, other = metrics.truth_pairs(p).withColumn("is_match", F.lit(True)), induce.negative_pairs(p).withColumn("is_match", F.lit(False))
+    a, b = nodes.side(p, "a"), nodes.side(p, "b")
+    pairs = truth.unionByName(other).join(a, F.col("left_id") == F.col("a_record_id")).join(b, F.col("right_id") == F.col("b_record_id"))
+    return nodes.all_nodes(pairs, _dictionaries(spark))
 
 
 def rule_support(spark, sf_dir):

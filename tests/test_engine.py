@@ -173,6 +173,19 @@ def test_induction_recovers_a_rule(spark):
     assert found and found[0]["precision"] == 1.0 and "phone_match" in found[0]["condition"] and found[0]["confidence"] == "definite"
 
 
+def test_rules_are_measured_on_all_pairs_of_a_person(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{SF}/customer.parquet'")
+    truth = {tuple(r) for r in con.execute(catalog.SQL["truth_pairs"]).fetchall()}
+    person = dict(con.execute(f"SELECT record_id, person_id FROM ({population.records_sql()})").fetchall())
+    found = [tuple(r) for r in catalog._labelled(spark, SF).select("a_record_id", "b_record_id", "is_match").collect()]
+    assert {r[:2] for r in found if r[2]} == truth and len(found) == len(set(found))
+    apart = [abs(person[a] - person[b]) for a, b, same in found if not same]
+    assert min(apart) > 0 and max(apart) > 1
+    support = catalog.QUERIES["rule_support"](spark, SF).where("recall > 0").collect()
+    assert support and {round(r.tp / r.recall) for r in support} == {len(truth)}
+
+
 def test_blocking(spark, dictionaries):
     rows = [(0, "A", "crm", "陳大文先生"), (1, "B", "billing", "CHAN Tai Man, Peter"), (2, "C", "english", "Peter Chan")]
     p = shelve(prepare(spark.createDataFrame(rows, "idx long, record_id string, source string, name string"), dictionaries), "p")
