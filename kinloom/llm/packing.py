@@ -6,7 +6,7 @@ by best-fit decreasing. Dual feasible functions give a lower bound on the bins t
 u(x) rounds x up to a multiple by the k-fold scale, and the threshold functions ignore pieces below a and count those
 above capacity - a in full; the largest bound counts. A partition that meets its bound is certified and stays, but for
 its emptiest bin. Partitions with a gap give up their bins that are not full. The pieces given up are dealt anew over
-fewer partitions and packed again, until all is certified, no bin was saved or ``max_rounds`` have passed. A result
+fewer partitions and packed again, until all is certified or no bin was saved (or ``max_rounds``, if given, have passed). A result
 never has more bins than the round before.
 
 Only lengths and ids are moved, never texts. Each round is a table in the shared folder, so a lost executor repeats
@@ -21,6 +21,7 @@ import json
 import os
 import zlib
 from bisect import bisect_left, insort
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,6 @@ from kinloom.session import shelve
 
 CAPACITY = 2048
 PART_ROWS = 100_000
-MAX_ROUNDS = 4
 #: Encoded words that a worker keeps; beyond that it starts anew.
 CACHE = 1_000_000
 #: Words that are encoded at once.
@@ -295,7 +295,9 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 def _round(rows: DataFrame, n_parts: int, turn: int, capacity: int) -> DataFrame:
     """Pack each partition; ``given`` marks the pieces to exchange. Bins are numbered by turn, partition and bin."""
-    # the sequence number leaves 32 bits for bins, 24 for partitions and 7 for turns
+    # the sequence number leaves 28 bits for bins, 20 for partitions and 15 for turns
+    if turn >> 15 or n_parts >> 20:
+        raise ValueError(f"turn {turn} or {n_parts} partitions do not fit the sequence numbers")
     schema = "row_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, part int, bins long, bound long, given boolean"
 
     def run(batches):
@@ -310,7 +312,7 @@ def _round(rows: DataFrame, n_parts: int, turn: int, capacity: int) -> DataFrame
         give = fill < capacity if n > bound else np.arange(n) == np.argmin(fill)
         if n == bound and fill.min() == capacity:
             give[:] = False
-        sequence = (turn << 56) + (part << 32) + bins
+        sequence = (turn << 48) + (part << 28) + bins
         out = rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
         for name, value in (("part", pa.array(np.full(len(sizes), part, np.int32))), ("bins", pa.array(np.full(len(sizes), n))), ("bound", pa.array(np.full(len(sizes), bound))), ("given", pa.array(give[bins]))):
             out = out.append_column(name, value)
@@ -319,15 +321,18 @@ def _round(rows: DataFrame, n_parts: int, turn: int, capacity: int) -> DataFrame
     return rows.repartition(n_parts).mapInArrow(run, schema)
 
 
-def pack(found: DataFrame, *, capacity: int = CAPACITY, part_rows: int = PART_ROWS, max_rounds: int = MAX_ROUNDS, id_col: str = "doc_id") -> DataFrame:
-    """``found`` (of ``pieces``) with sequence_id and offset."""
+def pack(found: DataFrame, *, capacity: int = CAPACITY, part_rows: int = PART_ROWS, max_rounds: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """``found`` (of ``pieces``) with sequence_id and offset.
+
+    Rounds end when at most one bin is given up or none is saved; each other round saves one at least, so they do end.
+    """
     columns = ["row_id", "piece", "start", "length", "ids_crc32"]
     cut = shelve(found.select(F.col(id_col).cast("long").alias("row_id"), F.col("piece").cast("int"), *columns[2:]), "pieces", slim=True)
     full = cut.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, kept = cut.where(F.col("length") < capacity), [full]
     n = rest.count()
     before = None
-    for turn in range(1, max_rounds + 1):
+    for turn in count(1):
         if not n:
             break
         packed = shelve(_round(rest, -(-n // part_rows), turn, capacity), f"packed{turn}")

@@ -291,6 +291,16 @@ def test_packing(spark):
     assert packing.pack(found.limit(0)).count() == 0
 
 
+def test_packing_goes_on_while_sequences_are_saved(spark, monkeypatch):
+    random.seed(10)
+    found = spark.createDataFrame([(i, 0, 0, random.randint(250, 1100), 0) for i in range(2000)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    turns, pack_round = [], packing._round
+    monkeypatch.setattr(packing, "_round", lambda rows, n, turn, capacity: turns.append(turn) or pack_round(rows, n, turn, capacity))
+    whole = packing.pack(found, part_rows=20).collect()
+    assert len(whole) == 2000 and max(turns) > 4
+    assert check_packed(whole) < check_packed(packing.pack(found, part_rows=20, max_rounds=4).collect())
+
+
 def test_bounds_and_best_fit():
     random.seed(9)
     for _ in range(60):
