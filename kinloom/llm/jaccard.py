@@ -342,7 +342,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
         spark.conf.set(name, before)
 
 
-def _near_duplicates(docs: DataFrame, id_col: str, hot_from: int) -> DataFrame:
+def _indexed(docs: DataFrame, id_col: str, hot_from: int) -> tuple[DataFrame, ...]:
+    """Sets, their representatives, both kinds of buckets, and the texts and bitmaps of the sets in buckets."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     first = shelve(first_pass(rows), "sets", slim=True)
     sets = first.where("kind = 0").drop("kind")
@@ -357,14 +358,22 @@ def _near_duplicates(docs: DataFrame, id_col: str, hot_from: int) -> DataFrame:
     hots = shelve(hot_buckets(warm), "hot_buckets", slim=True)
     members = plain.select("id").union(hots.select("id")).distinct()
     texts = shelve(restrict(rows, "id", members.select(F.col("id").alias("_one")), "left_semi").dropDuplicates(["id"]), "texts")
-    marks = shelve(signatures(texts), "marks")
+    return sets, placed, plain, hots, texts, shelve(signatures(texts), "marks")
+
+
+def _families(hots: DataFrame) -> DataFrame:
+    """(bucket, id): hot buckets that share members are one family; their sets share most tokens, hence most buckets."""
+    family = connected_components(hots.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    return family.select(F.xxhash64(F.lit("family"), "component").alias("bucket"), F.col("node").alias("id"))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, hot_from: int) -> DataFrame:
+    sets, placed, plain, hots, texts, marks = _indexed(docs, id_col, hot_from)
     star = plain.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(hots.select("pivot", "id")).where("a <> b")
     found = shelve(links(shelve(possible(star, marks), "close", slim=True), texts), "links", slim=True)
     known = connected_components(found)
-    # buckets that still hold several components; pairs with the pivot are done. Hot buckets that share members are
-    # one family: their sets share most tokens, hence most buckets
-    family = connected_components(hots.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    rows = plain.where("id <> pivot").select("bucket", "id").union(family.select(F.xxhash64(F.lit("family"), "component"), "node"))
+    # buckets that still hold several components; pairs with the pivot are done
+    rows = plain.where("id <> pivot").select("bucket", "id").union(_families(hots))
     rows = rows.join(known, rows.id == known.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
     more = shelve(crossing(rows, marks), "close", slim=True)
     rest = shelve(links(more, texts), "links", slim=True)
@@ -374,6 +383,19 @@ def _near_duplicates(docs: DataFrame, id_col: str, hot_from: int) -> DataFrame:
     return done.union(alone).toDF(id_col, "n_shingles", "component_id")
 
 
+def near_links(docs: DataFrame, *, id_col: str = "doc_id", hot_from: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b, a < b) between representatives of equal sets, and the members (``id_col``, rep) of these.
+
+    Two documents link if they have one representative or if their representatives link. A bucket's pairs are all
+    verified, also those within a component, so the rows grow with the links, which a large family has many of.
+    """
+    with small_batches(docs.sparkSession):
+        _, placed, plain, hots, texts, marks = _indexed(docs, id_col, hot_from)
+        rows = plain.select("bucket", "id").union(_families(hots)).withColumn("label", F.col("id"))
+        found = links(shelve(crossing(rows, marks), "close", slim=True), texts)
+        return shelve(found, "links", slim=True), placed.select(F.col("id").alias(id_col), "rep")
+
+
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 

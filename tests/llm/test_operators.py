@@ -371,6 +371,26 @@ def brute_components(ids, texts):
     return {i: (len(s), find(i)) for i, s in zip(ids, sets)}
 
 
+@pytest.mark.parametrize("hot", [2, 32])
+def test_near_links_lists_every_link(spark, hot):
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefgh", k=3))
+    texts = list(ODD)
+    for b in [[word() for _ in range(n)] for n in (3, 20, 40, 80)]:
+        for _ in range(8):
+            c = list(b)
+            for _ in range(random.choice([0, 1, 2])):
+                c[random.randrange(len(c))] = word()
+            texts.append(" ".join(c))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := spaced(lower(t))) else set() for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if (n := len(sets[i] & sets[j])) and 100 * n >= 75 * len(sets[i] | sets[j])}
+    found, members = jaccard.near_links(docs(spark, texts), hot_from=hot)
+    rep = {r.doc_id: r.rep for r in members.collect()}
+    pairs = {tuple(r) for r in found.collect()}
+    assert {(i, j) for j in rep for i in rep if i < j and (rep[i] == rep[j] or (min(rep[i], rep[j]), max(rep[i], rep[j])) in pairs)} == want
+    assert len(want) > len(texts) and all(a < b and {a, b} <= set(rep.values()) for a, b in pairs)
+
+
 @pytest.mark.parametrize("hot", [2, 5, 32])
 def test_near_duplicates(spark, hot):
     random.seed(11)
