@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once by the vectorised kernels; a longer text is taken on its own.
 CHUNK = 1 << 20
-#: Rows of an Arrow batch.
+#: Rows of a batch that are handled at once.
 ROWS = 1000
+#: Ids that may be broadcast: 16 to 32 bytes each in memory, hence at most about 32 MB.
+MAX_IDS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,23 +54,55 @@ def chunks(starts: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, or it with underscores behind it until it is none of ``taken`` (case does not count)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def restrict(rows: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``rows`` with ``ids`` (one column); they are broadcast only up to ``MAX_IDS``.
+
+    Beyond that the rows themselves are shuffled. A null is no member of ``ids``.
+    """
+    name = fresh(rows.columns, "_one")
+    few = ids.limit(MAX_IDS + 1).count() <= MAX_IDS
+    ids = ids.toDF(name)
+    return rows.join(F.broadcast(ids) if few else ids, rows[column] == ids[name], how)
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], least: int = 1000, part: int = 500) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and says in ``size`` how many rows hold it.
+
+    A key with more than one in ``part`` of all rows would gather in one task. There are fewer than ``part`` of them, so
+    they are broadcast, and their rows stay where they are; all others are joined by a shuffle. ``size`` is dropped.
+    """
+    total, most = table.agg(F.sum("size"), F.max("size")).first()
+    limit = max(least, (total or 0) // part)
+    slim = table.drop("size")
+    if (most or 0) <= limit:
+        return rows.join(slim, keys)
+    heavy, light = table.where(F.col("size") > limit).drop("size"), table.where(F.col("size") <= limit).drop("size")
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
+
+
 def per_batch(
-    df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]
+    df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]
 ) -> DataFrame:
     """``mapInArrow`` whose per-task state is built by ``make`` inside the worker.
 
-    Rows hold whole texts, so where the session has Spark's default of 10,000 rows a batch, it is lowered to ``ROWS``:
-    a batch stands in memory three times (JVM, worker, result), and an executor runs several workers.
+    Spark bounds a batch by bytes; of its rows, which hold whole texts, ``ROWS`` are handled at once, so that what a
+    step makes of them stays small.
     """
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(setting) == "10000":
-        df.sparkSession.conf.set(setting, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield from step(batch)
+            for at in range(0, batch.num_rows, ROWS):
+                yield from step(batch.slice(at, ROWS))
 
     return df.mapInArrow(run, schema)
 

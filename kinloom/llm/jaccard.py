@@ -5,25 +5,30 @@ fewer words the whole sequence is its one shingle. Two sets link when ``den * in
 
 1. Equal sets are one class, its smallest id the representative. Only representatives go on.
 2. Tokens (shingles) are ordered by hash. If two sets of sizes n and m link, they share at least ``need(max(n, m))``
-   tokens, so for each l their l-prefixes (the first n - need(n) + l tokens) share at least l.
+   tokens, so for each l their l-prefixes (the first n - need(n) + l tokens) share at least l: of the shared tokens the
+   l smallest lie in both.
 3. A sketch names hot tokens: those that several sets of one task have in their prefix, summed over tasks. Any such
    list is valid, it steers cost and never results; so it may be bounded (``MAX_HOT``) and broadcast.
 4. Adaptive prefixes: a set's candidate cost is the hot tokens in its prefix. It lengthens the prefix to the smallest
-   l whose l-prefix holds fewer than l hot tokens, and in exchange l shared prefix tokens are required. One of l
-   shared tokens is then not hot, so such a set is indexed by its tokens that are not hot alone: for two sets the
-   smaller of the two l applies, and both index all that it needs.
-5. A set that is hot in three quarters or more has no such l. It is indexed by all its tokens that are not hot; that
-   finds its links with sets of the first kind, and with its own kind if a shared token is not hot. What is left are
-   links of two such sets through hot tokens alone; each side must then have ``both(n, m)`` hot tokens, which bounds
-   the partner's size. They meet in buckets of (hot token of the plain prefix, size class).
-6. Buckets with the same members are one. In each, all members are verified against one pivot: linear work, and a
-   family of near copies becomes one component at once. Only buckets that still hold several components go on: there
-   the members outside the largest component are compared with all others, in blocks. A pair inside one component
-   needs no verification. No pair that could join two components is left out, so components are exact; there is no
-   cap on partners.
-
-Null or empty text, or no words: an empty set, linked with nothing, its own component. Rows that repeat an id are one
-node of the graph. A null id is never another document's component.
+   l whose l-prefix holds fewer than l hot tokens, and in exchange l shared prefix tokens are required: for two sets
+   the smaller of the two l. One of so many shared tokens is not hot, so the set is indexed by those alone.
+5. A set that is hot in three quarters or more has no such l. It takes half of its tokens as its prefix, with the l
+   that belongs to it, and is indexed by all its tokens that are not hot; that finds its links with sets of the first
+   kind, and with its own kind if a shared token is not hot. What is left are links of two such sets through hot
+   tokens alone; each side must then have ``both(n, m)`` hot tokens, which bounds the partner's size. They meet in
+   buckets of (hot token of the plain prefix, size class).
+6. Buckets with the same members are one. In each, all members are compared with one pivot: linear work, and a family
+   of near copies becomes one component at once. Only buckets that still hold several components go on: there the
+   members outside the largest component are compared with all others, in blocks. A pair inside one component needs
+   no comparison. No pair that could join two components is left out, so components are exact; there is no cap.
+7. A comparison counts the shared tokens of both prefixes (by the upper half of their hashes, which can only count too
+   many) against the smaller l, then bounds the overlap by parity bitmaps; what passes is verified on the whole sets.
+   Prefixes and bitmaps are a small part of the texts; texts are read again for pairs that pass, once a document.
+
+Null or empty text, or no words: an empty set, linked with nothing but rows of its own id. Rows that repeat an id are
+one node of the graph: they have one component, whatever their texts. A row without an id is a node of its own; it
+links like any other, takes the smallest id that it reaches (null if there is none), and never names a component.
+Other columns are ignored, whatever their names. No rows, no result.
 """
 
 from __future__ import annotations
@@ -44,10 +49,9 @@ NUM, DEN = 75, 100
 HOT = 32
 MAX_HOT = 1 << 18
 TASK_HOT = 20_000
-MAX_IDS = 2_000_000
 SIZE_STEP = np.log(1.1)
-#: Members of a bucket that a task compares queries with at once.
-BLOCK = 1024
+#: Members of a bucket that a task holds at once, and members that one copy of a pivot is compared with.
+BLOCK, STAR = 1024, 1 << 16
 #: Bytes of text that are hashed at once, and rows of an Arrow batch: small, as two workers share an executor.
 CHUNK, BATCH_ROWS = 1 << 18, 1000
 
@@ -62,10 +66,6 @@ def both(n, m):
     return -(-NUM * (n + m) // (DEN + NUM))
 
 
-def size_class(n):
-    return np.floor(np.log(np.maximum(n, 1)) / SIZE_STEP + 1e-9).astype(np.int64)
-
-
 def shingles(flat: np.ndarray, starts: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct tokens of each text, one text after another, and where each text's begin (one more at the end)."""
     low = common.LOWER[flat]
@@ -98,6 +98,13 @@ def set_keys(tokens: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def _sets(batch: pa.RecordBatch):
+    """(rows, tokens, cuts) of a batch, a chunk of texts at a time."""
+    flat, starts = common.text_bytes(batch.column("text"))
+    for i, j in common.chunks(starts, CHUNK):
+        yield i, j, *shingles(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+
+
 def first_pass(docs: DataFrame) -> DataFrame:
     """kind 0: id, size and keys of each document. kind 1: a token and how many sets of the task have it in front."""
     schema = "kind int, id long, n long, k1 long, k2 long"
@@ -117,9 +124,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names=["kind", "id", "n", "k1", "k2"])
 
         for batch in batches:
-            flat, starts = common.text_bytes(batch.column("text"))
-            for i, j in common.chunks(starts, CHUNK):
-                tokens, cuts = shingles(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+            for i, j, tokens, cuts in _sets(batch):
                 n, (k1, k2) = np.diff(cuts), set_keys(tokens, cuts)
                 yield rows(0, batch.column("id").slice(i, j - i), n, k1, k2)
                 for d, key in enumerate(zip(k1.tolist(), k2.tolist())):
@@ -134,13 +139,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
         none = np.zeros(len(most), np.int64)
         yield rows(1, token[most].astype(np.int64), times[most], none, none)
 
-    return docs.select(F.col("id"), "text").mapInArrow(run, schema)
-
-
-def restrict(rows: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of ``rows`` with ``ids`` (one column, ``_one``); they are broadcast only if they are few."""
-    few = ids.limit(MAX_IDS + 1).count() <= MAX_IDS
-    return rows.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("_one"), how)
+    return docs.select("id", "text").mapInArrow(run, schema)
 
 
 def adaptive(tokens: np.ndarray, hot: np.ndarray) -> int:
@@ -152,51 +151,75 @@ def adaptive(tokens: np.ndarray, hot: np.ndarray) -> int:
     return int(good[0]) + 1 if len(good) else 0
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parity bitmap of a set: four to eight bits a token, addressed by the tokens' low bits."""
+    size = 1 << max(6, (4 * len(tokens)).bit_length())
+    place = (tokens & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+INDEX = "id long, n long, a long, keys array<long>, front array<long>, level int, prefix binary, map binary"
+
+
 def second_pass(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Index of each representative: its size n, its hot tokens a, its keys, and the hot tokens of its plain prefix
-    if no prefix is long enough for it (else none)."""
-    schema = "id long, n long, a long, keys array<long>, front array<long>"
+    """Index of each representative: its size n, its hot tokens a, the tokens it is indexed by (keys), the hot tokens of
+    its plain prefix if no prefix is long enough for it (front, else none), its l (level) with the upper halves of that
+    prefix, and its bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def make():
         hot = shared.value
 
+        def one(own: np.ndarray, warm: np.ndarray) -> tuple:
+            n = len(own)
+            level = adaptive(own, warm) if n else 1
+            front = np.zeros(0, np.int64)
+            if level:
+                keys = own[: n - need(n) + level][~warm[: n - need(n) + level]]
+            else:
+                keys, front = own[~warm], own[: n - need(n) + 1][warm[: n - need(n) + 1]]
+                level = max(1, n // 2 - (n - need(n)))
+            prefix = (own[: n - need(n) + level] >> np.uint64(32)).astype("<u4").tobytes()
+            return keys.astype(np.int64), front.astype(np.int64), level, prefix, bitmap(own)
+
         def step(batch: pa.RecordBatch):
-            flat, starts = common.text_bytes(batch.column("text"))
-            for i, j in common.chunks(starts, CHUNK):
-                tokens, cuts = shingles(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+            for i, j, tokens, cuts in _sets(batch):
                 is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens if len(hot) else np.zeros(len(tokens), bool)
-                keys, fronts, many = [], [], []
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    own, warm, n = tokens[a:b], is_hot[a:b], b - a
-                    level = adaptive(own, warm) if n else 1
-                    end = n - need(n) + level if level else n
-                    keys.append(own[:end][~warm[:end]].astype(np.int64))
-                    front = n - need(n) + 1
-                    fronts.append(np.zeros(0, np.int64) if level else own[:front][warm[:front]].astype(np.int64))
-                    many.append(int(warm.sum()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(cuts)), pa.array(many, pa.int64()), _lists(keys), _lists(fronts)], names=["id", "n", "a", "keys", "front"])
+                rows = [one(tokens[a:b], is_hot[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                keys, fronts, levels, prefixes, maps = zip(*rows)
+                many = np.add.reduceat(np.append(is_hot, False).astype(np.int64), cuts[:-1]) * (np.diff(cuts) > 0)
+                columns = [batch.column("id").slice(i, j - i), pa.array(np.diff(cuts)), pa.array(many), _lists(keys), _lists(fronts)]
+                columns += [pa.array(levels, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in INDEX.split(", ")])
 
         return step
 
-    return common.per_batch(docs.select("id", "text"), schema, make)
+    return common.per_batch(docs.select("id", "text"), INDEX, make)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+def _lists(parts: tuple[np.ndarray, ...]) -> pa.Array:
     cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)))
 
 
 def plain_buckets(index: DataFrame) -> DataFrame:
-    """(bucket, id, pivot) for all tokens that are not hot and that several sets are indexed by."""
-    rows = index.select("id", F.explode("keys").alias("token"))
-    by = "OVER (PARTITION BY token)"
-    rows = rows.selectExpr("id", f"count(*) {by} AS size", f"min(id) {by} AS pivot", f"bit_xor(xxhash64(id)) {by} AS members", f"bit_xor(xxhash64(id, 1)) {by} AS also")
-    return rows.where("size > 1").select(F.xxhash64("members", "also", "size", "pivot").alias("bucket"), "id", "pivot").dropDuplicates(["bucket", "id"])
+    """(bucket, id, pivot) for all tokens that are not hot and that several sets are indexed by.
+
+    Tokens with the same sets are one bucket, named by the smallest. The index is shuffled once, by token: the sizes are
+    counted there and the members of the chosen tokens picked from the same shuffle. A token in one of a hundred sets or
+    more is in the list of hot ones (fewer than a hundred times the length of a prefix can be as frequent, and a task
+    reports ``TASK_HOT``), so no token here outweighs the fair share of a ten-thousandth of the tokens' rows.
+    """
+    rows = index.select("id", F.explode("keys").alias("token")).repartition("token")
+    by_token = rows.groupBy("token").agg(
+        F.count("*").alias("size"), F.min("id").alias("pivot"), F.expr("bit_xor(xxhash64(id))").alias("members"), F.expr("bit_xor(xxhash64(id, 1))").alias("also")
+    )
+    chosen = by_token.where("size > 1").groupBy("members", "also", "size", "pivot").agg(F.min("token").alias("token"))
+    return rows.join(chosen.select("token", "pivot"), "token").select(F.col("token").alias("bucket"), "id", "pivot")
 
 
 def hot_buckets(index: DataFrame) -> DataFrame:
-    """(bucket, id, pivot, first) for sets without an adaptive prefix; ``first``: may be the smaller set of a pair."""
+    """(bucket, id, pivot) for sets without an adaptive prefix."""
     limit = F.floor(F.col("a") * (DEN + NUM) / NUM + 1e-9) - F.col("n")  # the largest partner its hot tokens allow
     cls = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / float(SIZE_STEP) + 1e-9).cast("int")
     top = F.least(F.col("n"), limit)
@@ -204,130 +227,160 @@ def hot_buckets(index: DataFrame) -> DataFrame:
     # as the larger set of a pair it visits the classes of smaller partners, its own class included where allowed
     rows = rows.where("high >= low").withColumn("class", F.explode(F.sequence("low", "high")))
     rows = rows.withColumn("first", F.col("able") & (F.col("class") == F.col("own")))
-    rows = rows.select("id", "class", "first", F.col("a") / F.col("n") * F.col("first").cast("int"), "n", F.explode("front").alias("token")).toDF("id", "class", "first", "rank", "n", "token")
+    rows = rows.select("id", "class", "first", (F.col("a") / F.col("n") * F.col("first").cast("int")).alias("rank"), F.explode("front").alias("token"))
     best = rows.groupBy("token", "class").agg(F.max(F.struct("first", "rank", (-F.col("id")).alias("back"))).alias("best"), F.count("*").alias("size"))
-    best = best.where("best.first AND size > 1").select("token", "class", (-F.col("best.back")).alias("pivot"))
-    return rows.join(best, ["token", "class"]).select(F.xxhash64("token", "class").alias("bucket"), "id", "pivot", "first")
-
-
-def signatures(texts: DataFrame) -> DataFrame:
-    """id, n and a parity bitmap of each set: four to eight bits a token, addressed by the tokens' low bits."""
+    best = best.where("best.first AND size > 1").select("token", "class", (-F.col("best.back")).alias("pivot"), "size")
+    return common.look_up(rows.select("id", "token", "class"), best, ["token", "class"]).select(F.xxhash64("token", "class").alias("bucket"), "id", "pivot")
 
-    def make():
-        def step(batch: pa.RecordBatch):
-            flat, starts = common.text_bytes(batch.column("text"))
-            for i, j in common.chunks(starts, CHUNK):
-                tokens, cuts = shingles(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-                maps = []
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    size = 1 << max(6, (4 * (b - a)).bit_length())
-                    place = (tokens[a:b] & np.uint64(size - 1)).astype(np.int64)
-                    maps.append(np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(cuts)), pa.array(maps, pa.binary())], names=["id", "n", "map"])
 
-        return step
+def shared_tokens(a: np.ndarray, b: np.ndarray) -> int:
+    """Of two sorted arrays: members of the one that occur in the other."""
+    if not len(a) or not len(b):
+        return 0
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
-    return common.per_batch(texts, "id long, n long, map binary", make)
 
+class Mark:
+    """What is known of a set before it is verified."""
 
-def may_link(n: int, a: bytes, m: int, b: bytes) -> bool:
-    """Whether sets of n and m tokens can link, by their sizes and bitmaps; the longer bitmap is folded."""
-    if DEN * min(n, m) < NUM * max(n, m):
-        return False
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    long, short = 8 * len(a), 8 * len(b)
-    if long < short:
-        x, y, long, short = y, x, short, long
-    while long > short:
-        long //= 2
-        x = (x >> long) ^ (x & ((1 << long) - 1))
-    return (n + m - (x ^ y).bit_count()) // 2 >= both(n, m)
+    def __init__(self, n: int, level: int, prefix: bytes, bits: bytes) -> None:
+        self.n, self.level, self.prefix = n, level, np.frombuffer(prefix, "<u4")
+        self.bits, self.size = int.from_bytes(bits, "little"), 8 * len(bits)
 
+    def may_link(self, other: Mark) -> bool:
+        """Whether two sets can link, by their sizes, the shared tokens of their prefixes and their bitmaps (the longer
+        one is folded)."""
+        n, m = self.n, other.n
+        if DEN * min(n, m) < NUM * max(n, m):
+            return False
+        x, y, long, short = self.bits, other.bits, self.size, other.size
+        if long < short:
+            x, y, long, short = y, x, short, long
+        while long > short:
+            long //= 2
+            x = (x >> long) ^ (x & ((1 << long) - 1))
+        if (n + m - (x ^ y).bit_count()) // 2 < both(n, m):
+            return False
+        return shared_tokens(self.prefix, other.prefix) >= min(self.level, other.level)
 
-def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that sizes and bitmaps do not rule out. The bitmaps bound the overlap from above, so no
-    link is lost; they are a small part of the texts."""
-    side = lambda c: marks.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}"))
-    found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = found.join(side("a"), "a").join(side("b"), "b")
 
-    def make():
-        def step(batch: pa.RecordBatch):
-            columns = (batch.column(c).to_pylist() for c in ("n_a", "map_a", "n_b", "map_b"))
-            at = pa.array([i for i, row in enumerate(zip(*columns)) if may_link(*row)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+class Whole:
+    """A whole set."""
 
-        return step
+    def __init__(self, tokens: bytes) -> None:
+        self.tokens = np.frombuffer(tokens, "<u8")
 
-    return common.per_batch(found, "a long, b long", make)
+    def may_link(self, other: Whole) -> bool:
+        n, m = len(self.tokens), len(other.tokens)
+        shared = shared_tokens(self.tokens, other.tokens)
+        return shared > 0 and DEN * shared >= NUM * (n + m - shared)
 
 
-def crossing(rows: DataFrame, marks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of a bucket that have different labels and that sizes and bitmaps do not rule out.
+def compare(dealt: DataFrame, known: DataFrame, kind: type, columns: list[str]) -> DataFrame:
+    """Pairs (a, b), a < b, that may link (``kind``: by marks or whole sets, made of ``columns`` of ``known``).
 
-    ``rows``: bucket, id, label. In each bucket the commonest label needs no comparison within itself: the others are
-    the queries, compared with all members. Members are dealt over blocks of about ``block``, each query visits all
-    blocks of its bucket; a task holds one block and streams the queries. Pairs that are ruled out are never rows.
+    ``dealt``: place, block, role, id, label. A task holds the rows of role 0 of one block and streams those of role 1;
+    two rows with the same label are not compared.
     """
-    by_label = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels"))
-    mixed = mixed.where("labels > 1").select("bucket", "main", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "bucket")
-    members = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "label")
-    queries = rows.where("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "label")
-    dealt = members.union(queries).join(marks, "id").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
+    rows = dealt.join(known, "id").repartition("place", "block").sortWithinPartitions("place", "block", "role")
 
     def run(batches):
-        place, held = None, []
+        at, held = None, []
         for batch in batches:
             a, b = [], []
-            columns = (batch.column(c).to_pylist() for c in ("bucket", "block", "role", "id", "label", "n", "map"))
-            for bucket, number, role, i, label, n, bits in zip(*columns):
-                if (bucket, number) != place:
-                    place, held = (bucket, number), []
+            values = [batch.column(c).to_pylist() for c in columns]
+            for place, block, role, i, label, *own in zip(*(batch.column(c).to_pylist() for c in ("place", "block", "role", "id", "label")), *values):
+                if (place, block) != at:
+                    at, held = (place, block), []
+                mark = kind(*own)
                 if not role:
-                    held.append((i, label, n, bits))
+                    held.append((i, label, mark))
                     continue
-                for other, its_label, m, its_bits in held:
-                    if its_label != label and may_link(n, bits, m, its_bits):
+                for other, its_label, its in held:
+                    if its_label != label and mark.may_link(its):
                         a.append(min(i, other))
                         b.append(max(i, other))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def stars(pairs: DataFrame, known: DataFrame, kind: type, columns: list[str]) -> DataFrame:
+    """Those of ``pairs`` (a, b; distinct) that may link. The pairs of one a are dealt over blocks of about ``STAR``,
+    and a is sent once to each."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / STAR).cast("int"))
+    members = common.look_up(pairs, sizes, ["a"]).select(F.col("a").alias("place"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    centres = sizes.select(F.col("a").alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("id"))
+    return compare(members.unionByName(centres).withColumn("label", F.col("id")), known, kind, columns)
+
 
+MARKS = ["n", "level", "prefix", "map"]
 
-def links(close: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``close`` (pairs a, b) that link, by their whole sets."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+
+def crossing(rows: DataFrame, marks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of a bucket that have different labels and that their marks do not rule out.
+
+    ``rows``: bucket, id, label. In each bucket the commonest label needs no comparison within itself: the others are
+    the queries, compared with all members. Members are dealt over blocks of about ``block``, each query visits all
+    blocks of its bucket; a task holds one block and streams the queries. Pairs that are ruled out are never rows.
+    """
+    by_label = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels"))
+    mixed = shelve(mixed.where("labels > 1").select("bucket", "main", "size", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "mixed", slim=True)
+    rows = common.look_up(rows, mixed, ["bucket"])
+    members = rows.select(F.col("bucket").alias("place"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "label")
+    queries = rows.where("label <> main").select(F.col("bucket").alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "label")
+    return compare(members.unionByName(queries), marks, Mark, MARKS)
+
+
+def whole_sets(texts: DataFrame) -> DataFrame:
+    """id and the tokens of each set."""
 
     def make():
         def step(batch: pa.RecordBatch):
-            names = batch.column("a").to_numpy()
-            keep = np.zeros(len(names), bool)
-            flat, starts = common.text_bytes(batch.column("text_b"))
-            for i, j in common.chunks(starts, CHUNK):
-                first = np.flatnonzero(np.concatenate([[True], names[i + 1 : j] != names[i : j - 1]])) + i  # runs of one a
-                of = np.searchsorted(first, np.arange(i, j), side="right") - 1
-                ta, ca = shingles(*common.text_bytes(batch.column("text_a").take(pa.array(first))))
-                tb, cb = shingles(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-                for r in range(j - i):
-                    x, y = ta[ca[of[r]] : ca[of[r] + 1]], tb[cb[r] : cb[r + 1]]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i + r] = shared > 0 and DEN * shared >= NUM * (len(x) + len(y) - shared)
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+            for i, j, tokens, cuts in _sets(batch):
+                whole = [tokens[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(whole, pa.binary())], names=["id", "tokens"])
 
         return step
 
-    return common.per_batch(close.join(right, "b").join(left, "a"), "a long, b long", make)
+    return common.per_batch(texts, "id long, tokens binary", make)
+
+
+def links(close: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``close`` (pairs a, b; a table) that link, by their whole sets. Only texts that are in a pair are read."""
+    ids = shelve(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "close_ids", slim=True)
+    return stars(close, whole_sets(common.restrict(docs, "id", ids, "left_semi")), Whole, ["tokens"])
+
+
+def unique_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id of its own."""
+    counts = docs.select(F.col(id_col).cast("long").alias("id")).groupBy("id").count()
+    return not counts.where("id IS NULL OR count > 1").head(1)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", hot_from: int = HOT) -> DataFrame:
-    """One row for each document: ``id_col``, n_shingles, component_id."""
+    """One row for each row of ``docs``: ``id_col``, n_shingles, component_id."""
     with small_batches(docs.sparkSession):  # all Python stages are written inside; the result itself is plain joins
-        return _near_duplicates(docs, id_col, hot_from)
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        if unique_ids(rows, "id"):
+            return _near_duplicates(rows, hot_from).toDF(id_col, "n_shingles", "component_id")
+        named = shelve(rows.select("id", "text", F.monotonically_increasing_id().alias("row")), "numbered")
+        found = _near_duplicates(named.select(F.col("row").alias("id"), "text"), hot_from).toDF("row", "n", "component")
+        found = shelve(found.join(named.select("row", F.col("id").alias("name")), "row"), "by_row", slim=True)
+        return _merged(found).toDF(id_col, "n_shingles", "component_id")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """(name, n, smallest name) of rows (row, n, component, name): rows of one name belong together."""
+    steps = found.where("name IS NOT NULL").groupBy("name", "component").agg(F.count("*").alias("n"))
+    firsts = steps.groupBy("name").agg(F.min("component").alias("a"), F.count("*").alias("size")).where("size > 1")
+    edges = common.look_up(steps.select("name", F.col("component").alias("b")), shelve(firsts, "firsts", slim=True), ["name"]).select("a", "b")
+    known = connected_components(edges)
+    rows = found.join(known, found.component == known.node, "left").select("name", "n", F.coalesce(known.component, found.component).alias("component"))
+    rows = shelve(rows, "merged", slim=True)
+    least = shelve(rows.groupBy("component").agg(F.min("name").alias("least"), F.count("*").alias("size")), "least", slim=True)
+    return common.look_up(rows, least, ["component"]).select("name", "n", "least")
 
 
 @contextmanager
@@ -342,23 +395,19 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
         spark.conf.set(name, before)
 
 
-def _indexed(docs: DataFrame, id_col: str, hot_from: int) -> tuple[DataFrame, ...]:
-    """Sets, their representatives, both kinds of buckets, and the texts and bitmaps of the sets in buckets."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    first = shelve(first_pass(rows), "sets", slim=True)
+def _indexed(docs: DataFrame, hot_from: int) -> tuple[DataFrame, ...]:
+    """Sets, their representatives, both kinds of buckets, and the marks of the representatives."""
+    first = shelve(first_pass(docs), "sets", slim=True)
     sets = first.where("kind = 0").drop("kind")
-    classes = shelve(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
-    placed = shelve(sets.where("n > 0").join(classes, ["k1", "k2"]).select("id", "n", "rep"), "placed")
+    classes = shelve(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes", slim=True)
+    placed = shelve(common.look_up(sets.where("n > 0"), classes, ["k1", "k2"]).select("id", "n", "rep"), "placed", slim=True)
     heavy = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_from)
     hot = heavy.orderBy(F.desc("n"), "id").limit(MAX_HOT).select("id").toArrow().column("id").to_numpy().astype(np.int64).view(np.uint64)
-    copies = placed.where("id <> rep").select(F.col("id").alias("_one")).distinct()
-    index = second_pass(restrict(rows, "id", copies, "left_anti").where("id IS NOT NULL"), hot).where("n > 0")
-    plain = shelve(plain_buckets(index), "buckets")
-    warm = shelve(index.where(F.size("front") > 0), "warm", slim=True)
-    hots = shelve(hot_buckets(warm), "hot_buckets", slim=True)
-    members = plain.select("id").union(hots.select("id")).distinct()
-    texts = shelve(restrict(rows, "id", members.select(F.col("id").alias("_one")), "left_semi").dropDuplicates(["id"]), "texts")
-    return sets, placed, plain, hots, texts, shelve(signatures(texts), "marks")
+    reps = common.restrict(docs, "id", placed.where("id <> rep").select("id"), "left_anti")
+    index = shelve(second_pass(reps, hot).where("n > 0"), "index")
+    plain = shelve(plain_buckets(index), "buckets", slim=True)
+    hots = shelve(hot_buckets(index), "hot_buckets", slim=True)
+    return sets, classes, placed, plain, hots, index.select("id", *MARKS)
 
 
 def _families(hots: DataFrame) -> DataFrame:
@@ -367,37 +416,56 @@ def _families(hots: DataFrame) -> DataFrame:
     return family.select(F.xxhash64(F.lit("family"), "component").alias("bucket"), F.col("node").alias("id"))
 
 
-def _near_duplicates(docs: DataFrame, id_col: str, hot_from: int) -> DataFrame:
-    sets, placed, plain, hots, texts, marks = _indexed(docs, id_col, hot_from)
-    star = plain.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(hots.select("pivot", "id")).where("a <> b")
-    found = shelve(links(shelve(possible(star, marks), "close", slim=True), texts), "links", slim=True)
+def _near_duplicates(docs: DataFrame, hot_from: int) -> DataFrame:
+    """(id, n, component) of ``docs`` (id: long, unique, not null; text)."""
+    sets, classes, placed, plain, hots, marks = _indexed(docs, hot_from)
+    pairs = plain.unionByName(hots).where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    found = shelve(links(shelve(stars(pairs, marks, Mark, MARKS), "close", slim=True), docs), "links", slim=True)
     known = connected_components(found)
     # buckets that still hold several components; pairs with the pivot are done
     rows = plain.where("id <> pivot").select("bucket", "id").union(_families(hots))
     rows = rows.join(known, rows.id == known.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-    more = shelve(crossing(rows, marks), "close", slim=True)
-    rest = shelve(links(more, texts), "links", slim=True)
-    known = connected_components(found.union(rest))
-    done = placed.join(known, placed.rep == known.node, "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    alone = sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return done.union(alone).toDF(id_col, "n_shingles", "component_id")
+    rest = shelve(links(shelve(crossing(shelve(rows, "labelled", slim=True), marks), "close", slim=True), docs), "links", slim=True)
+    known = connected_components(found.union(rest)) if rest.head(1) else known
+    named = classes.join(known, classes.rep == known.node, "left").select("rep", "size", F.coalesce("component", "rep").alias("component"))
+    done = common.look_up(placed, shelve(named, "named", slim=True), ["rep"]).select("id", "n", "component")
+    return done.union(sets.where("n = 0").select("id", "n", F.col("id").alias("component")))
 
 
 def near_links(docs: DataFrame, *, id_col: str = "doc_id", hot_from: int = HOT) -> tuple[DataFrame, DataFrame]:
     """All links (a, b, a < b) between representatives of equal sets, and the members (``id_col``, rep) of these.
 
-    Two documents link if they have one representative or if their representatives link. A bucket's pairs are all
-    verified, also those within a component, so the rows grow with the links, which a large family has many of.
+    Ids must be unique. Two documents link if they have one representative or if their representatives link. A bucket's
+    pairs are all compared, also those within a component, so the rows grow with the links, which a large family has
+    many of.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    if not unique_ids(rows, "id"):
+        raise ValueError("links are between ids, so these must be there and unique")
     with small_batches(docs.sparkSession):
-        _, placed, plain, hots, texts, marks = _indexed(docs, id_col, hot_from)
-        rows = plain.select("bucket", "id").union(_families(hots)).withColumn("label", F.col("id"))
-        found = links(shelve(crossing(rows, marks), "close", slim=True), texts)
-        return shelve(found, "links", slim=True), placed.select(F.col("id").alias(id_col), "rep")
+        _, _, placed, plain, hots, marks = _indexed(rows, hot_from)
+        found = plain.select("bucket", "id").union(_families(hots)).withColumn("label", F.col("id"))
+        close = shelve(crossing(shelve(found, "labelled", slim=True), marks), "close", slim=True)
+        return shelve(links(close, rows), "links", slim=True), placed.select(F.col("id").alias(id_col), "rep")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_jaccard_join": """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+keyed AS (SELECT doc_id, hash(array_to_string(list_sort(list(g)), chr(10))) AS k FROM s GROUP BY doc_id),
+rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS r FROM keyed),
+one AS (SELECT s.doc_id, g, n FROM s JOIN rep USING (doc_id) JOIN n USING (doc_id) WHERE doc_id = r),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM one x JOIN one y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+      HAVING 100 * count(*) >= 75 * (max(x.n) + max(y.n) - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT doc_id, r FROM rep WHERE doc_id <> r UNION SELECT r, doc_id FROM rep WHERE doc_id <> r),
+c(node, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.node, e.b FROM c JOIN e ON c.reach = e.a),
+m AS (SELECT node, min(reach) AS component_id FROM c GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN m ON m.node = d.doc_id
+""",
+}

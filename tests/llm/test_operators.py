@@ -429,17 +429,58 @@ def test_adaptive_prefix_holds_fewer_hot_tokens_than_matches_required():
             assert all(hot[: size + k].sum() >= k for k in range(1, jaccard.need(n) + 1))
 
 
-def test_bitmaps_never_rule_out_a_link(spark):
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.9])
+def test_marks_never_rule_out_a_link(spark, share):
     random.seed(13)
-    texts = [" ".join(random.choices("abcdefghij", k=random.randint(5, 90))) for _ in range(40)]
-    flat, starts = common.text_bytes(pa.array(texts))
-    tokens, cuts = jaccard.shingles(flat, starts)
-    marks = {r.id: (r.n, bytes(r.map)) for r in jaccard.signatures(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
-    for i in range(40):
-        for j in range(40):
+    texts = [" ".join(random.choices("abcdefghij", k=random.randint(5, 90))) for _ in range(30)]
+    texts += [" ".join(w if random.random() < 0.97 else "zz" for w in random.choice(texts).split()) for _ in range(40)]
+    tokens, cuts = jaccard.shingles(*common.text_bytes(pa.array(texts)))
+    hot = np.array([t for t in np.unique(tokens) if random.random() < share], np.uint64)
+    found = jaccard.second_pass(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), hot).collect()
+    marks = {r.id: jaccard.Mark(r.n, r.level, bytes(r.prefix), bytes(r.map)) for r in found}
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
             x, y = set(tokens[cuts[i] : cuts[i + 1]].tolist()), set(tokens[cuts[j] : cuts[j + 1]].tolist())
             if 100 * len(x & y) >= 75 * len(x | y):
-                assert jaccard.may_link(*marks[i], *marks[j])
+                linked += 1
+                assert marks[i].may_link(marks[j]) and marks[j].may_link(marks[i])
+    assert linked > 10 and (share < 0.5 or max(m.level for m in marks.values()) > 1)
+
+
+def brute_rows(rows):
+    """Component of each row (id, text): rows of one id are one node, a null id is a node of its own."""
+    near = brute_components(list(range(len(rows))), [t for _, t in rows])
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        root[find(i)] = find(near[i][1])
+        for j in range(i):
+            if a is not None and a == rows[j][0]:
+                root[find(i)] = find(j)
+    ids = defaultdict(list)
+    for i, (a, _) in enumerate(rows):
+        ids[find(i)].append(a)
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
+    return Counter((a, near[i][0], least[find(i)]) for i, (a, _) in enumerate(rows))
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    random.seed(14)
+    word = lambda: "".join(random.choices("abcdefgh", k=4))
+    base = {k: " ".join(word() for _ in range(60)) for k in "ABCDE"}
+    rows = [(3, base["A"]), (5, base["A"]), (5, base["B"]), (9, base["B"] + " zz"), (20, base["B"]), (None, base["B"]), (None, base["E"]), (None, None)]
+    rows += [(30, base["C"]), (30, base["D"]), (30, base["C"]), (31, None), (31, base["D"]), (40, None), (40, None), (-7, base["E"] + " yy")]
+    for row in list(rows):
+        rows.append((random.choice([3, 9, 50, 51, None]), row[1] and row[1].replace(row[1].split()[7], word())))
+    clashing = {c: F.lit(1) for c in ("_one", "component_id", "id", "n", "row", "name", "component")}
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumns(clashing)).collect()
+    assert Counter(map(tuple, found)) == brute_rows(rows)
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
