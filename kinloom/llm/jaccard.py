@@ -22,7 +22,7 @@ fewer words the whole sequence is its one shingle. Two sets link when ``den * in
    members outside the largest component are compared with all others, in blocks. A pair inside one component needs
    no comparison. No pair that could join two components is left out, so components are exact; there is no cap.
 7. A comparison counts the shared tokens of both prefixes (by the upper half of their hashes, which can only count too
-   many) against the smaller l, then bounds the overlap by parity bitmaps; what passes is verified on the whole sets.
+   many) against the smaller l and bounds the overlap by parity bitmaps; what passes is verified on the whole sets.
    Prefixes and bitmaps are a small part of the texts; texts are read again for pairs that pass, once a document.
 
 Null or empty text, or no words: an empty set, linked with nothing but rows of its own id. Rows that repeat an id are
@@ -37,7 +37,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm import common
@@ -52,6 +52,8 @@ TASK_HOT = 20_000
 SIZE_STEP = np.log(1.1)
 #: Members of a bucket that a task holds at once, and members that one copy of a pivot is compared with.
 BLOCK, STAR = 1024, 1 << 16
+#: What becomes of a row in a comparison, in the order in which the rows of a block come.
+HELD, QUERY, BOTH = 0, 1, 2
 #: Bytes of text that are hashed at once, and rows of an Arrow batch: small, as two workers share an executor.
 CHUNK, BATCH_ROWS = 1 << 18, 1000
 
@@ -152,8 +154,8 @@ def adaptive(tokens: np.ndarray, hot: np.ndarray) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity bitmap of a set: four to eight bits a token, addressed by the tokens' low bits."""
-    size = 1 << max(6, (4 * len(tokens)).bit_length())
+    """Parity bitmap of a set: one to two bits a token, addressed by the tokens' low bits."""
+    size = 1 << max(6, len(tokens).bit_length())
     place = (tokens & np.uint64(size - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -163,8 +165,8 @@ INDEX = "id long, n long, a long, keys array<long>, front array<long>, level int
 
 def second_pass(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """Index of each representative: its size n, its hot tokens a, the tokens it is indexed by (keys), the hot tokens of
-    its plain prefix if no prefix is long enough for it (front, else none), its l (level) with the upper halves of that
-    prefix, and its bitmap."""
+    its plain prefix if no prefix is long enough for it (front, else none), its l (level), the upper halves of that prefix
+    if l is more than one (one shared token is what makes a candidate), and its bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def make():
@@ -179,7 +181,7 @@ def second_pass(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             else:
                 keys, front = own[~warm], own[: n - need(n) + 1][warm[: n - need(n) + 1]]
                 level = max(1, n // 2 - (n - need(n)))
-            prefix = (own[: n - need(n) + level] >> np.uint64(32)).astype("<u4").tobytes()
+            prefix = (own[: n - need(n) + level] >> np.uint64(32)).astype("<u4").tobytes() if level > 1 else b""
             return keys.astype(np.int64), front.astype(np.int64), level, prefix, bitmap(own)
 
         def step(batch: pa.RecordBatch):
@@ -202,24 +204,29 @@ def _lists(parts: tuple[np.ndarray, ...]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)))
 
 
+def sizes_fit(n, m):
+    """Whether sets of n and m tokens can link (numbers or Columns)."""
+    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
+
+
 def plain_buckets(index: DataFrame) -> DataFrame:
-    """(bucket, id, pivot) for all tokens that are not hot and that several sets are indexed by.
+    """(bucket, id, n, pivot, m) for all tokens that are not hot and that several sets are indexed by; m: the pivot's n.
 
     Tokens with the same sets are one bucket, named by the smallest. The index is shuffled once, by token: the sizes are
     counted there and the members of the chosen tokens picked from the same shuffle. A token in one of a hundred sets or
     more is in the list of hot ones (fewer than a hundred times the length of a prefix can be as frequent, and a task
     reports ``TASK_HOT``), so no token here outweighs the fair share of a ten-thousandth of the tokens' rows.
     """
-    rows = index.select("id", F.explode("keys").alias("token")).repartition("token")
+    rows = index.select("id", "n", F.explode("keys").alias("token")).where("token IS NOT NULL").repartition("token")  # the join's own filter, or it shuffles anew
     by_token = rows.groupBy("token").agg(
-        F.count("*").alias("size"), F.min("id").alias("pivot"), F.expr("bit_xor(xxhash64(id))").alias("members"), F.expr("bit_xor(xxhash64(id, 1))").alias("also")
+        F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("pivot"), F.expr("bit_xor(xxhash64(id))").alias("members"), F.expr("bit_xor(xxhash64(id, 1))").alias("also")
     )
     chosen = by_token.where("size > 1").groupBy("members", "also", "size", "pivot").agg(F.min("token").alias("token"))
-    return rows.join(chosen.select("token", "pivot"), "token").select(F.col("token").alias("bucket"), "id", "pivot")
+    return rows.join(chosen.select("token", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("m")), "token").withColumnRenamed("token", "bucket")
 
 
 def hot_buckets(index: DataFrame) -> DataFrame:
-    """(bucket, id, pivot) for sets without an adaptive prefix."""
+    """(bucket, id, n, pivot, m) for sets without an adaptive prefix; m: the pivot's n."""
     limit = F.floor(F.col("a") * (DEN + NUM) / NUM + 1e-9) - F.col("n")  # the largest partner its hot tokens allow
     cls = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / float(SIZE_STEP) + 1e-9).cast("int")
     top = F.least(F.col("n"), limit)
@@ -227,10 +234,10 @@ def hot_buckets(index: DataFrame) -> DataFrame:
     # as the larger set of a pair it visits the classes of smaller partners, its own class included where allowed
     rows = rows.where("high >= low").withColumn("class", F.explode(F.sequence("low", "high")))
     rows = rows.withColumn("first", F.col("able") & (F.col("class") == F.col("own")))
-    rows = rows.select("id", "class", "first", (F.col("a") / F.col("n") * F.col("first").cast("int")).alias("rank"), F.explode("front").alias("token"))
-    best = rows.groupBy("token", "class").agg(F.max(F.struct("first", "rank", (-F.col("id")).alias("back"))).alias("best"), F.count("*").alias("size"))
-    best = best.where("best.first AND size > 1").select("token", "class", (-F.col("best.back")).alias("pivot"), "size")
-    return common.look_up(rows.select("id", "token", "class"), best, ["token", "class"]).select(F.xxhash64("token", "class").alias("bucket"), "id", "pivot")
+    rows = rows.select("id", "n", "class", "first", (F.col("a") / F.col("n") * F.col("first").cast("int")).alias("rank"), F.explode("front").alias("token"))
+    best = rows.groupBy("token", "class").agg(F.max(F.struct("first", "rank", (-F.col("id")).alias("back"), "n")).alias("best"), F.count("*").alias("size"))
+    best = best.where("best.first AND size > 1").select("token", "class", (-F.col("best.back")).alias("pivot"), F.col("best.n").alias("m"), "size")
+    return common.look_up(rows.select("id", "n", "token", "class"), best, ["token", "class"]).select(F.xxhash64("token", "class").alias("bucket"), "id", "n", "pivot", "m")
 
 
 def shared_tokens(a: np.ndarray, b: np.ndarray) -> int:
@@ -251,7 +258,7 @@ class Mark:
         """Whether two sets can link, by their sizes, the shared tokens of their prefixes and their bitmaps (the longer
         one is folded)."""
         n, m = self.n, other.n
-        if DEN * min(n, m) < NUM * max(n, m):
+        if not sizes_fit(n, m):
             return False
         x, y, long, short = self.bits, other.bits, self.size, other.size
         if long < short:
@@ -261,7 +268,8 @@ class Mark:
             x = (x >> long) ^ (x & ((1 << long) - 1))
         if (n + m - (x ^ y).bit_count()) // 2 < both(n, m):
             return False
-        return shared_tokens(self.prefix, other.prefix) >= min(self.level, other.level)
+        least = min(self.level, other.level)
+        return least == 1 or shared_tokens(self.prefix, other.prefix) >= least
 
 
 class Whole:
@@ -279,8 +287,9 @@ class Whole:
 def compare(dealt: DataFrame, known: DataFrame, kind: type, columns: list[str]) -> DataFrame:
     """Pairs (a, b), a < b, that may link (``kind``: by marks or whole sets, made of ``columns`` of ``known``).
 
-    ``dealt``: place, block, role, id, label. A task holds the rows of role 0 of one block and streams those of role 1;
-    two rows with the same label are not compared.
+    ``dealt``: place, block, role, id, label. A task holds the rows of one block that are to be held, and compares each
+    query, as it streams by, with those held so far; rows of role ``BOTH`` are compared first and then held. Two rows
+    with the same label are not compared.
     """
     rows = dealt.join(known, "id").repartition("place", "block").sortWithinPartitions("place", "block", "role")
 
@@ -293,13 +302,12 @@ def compare(dealt: DataFrame, known: DataFrame, kind: type, columns: list[str])
                 if (place, block) != at:
                     at, held = (place, block), []
                 mark = kind(*own)
-                if not role:
-                    held.append((i, label, mark))
-                    continue
-                for other, its_label, its in held:
+                for other, its_label, its in held if role != HELD else ():
                     if its_label != label and mark.may_link(its):
                         a.append(min(i, other))
                         b.append(max(i, other))
+                if role != QUERY:
+                    held.append((i, label, mark))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -309,8 +317,8 @@ def stars(pairs: DataFrame, known: DataFrame, kind: type, columns: list[str]) ->
     """Those of ``pairs`` (a, b; distinct) that may link. The pairs of one a are dealt over blocks of about ``STAR``,
     and a is sent once to each."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / STAR).cast("int"))
-    members = common.look_up(pairs, sizes, ["a"]).select(F.col("a").alias("place"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
-    centres = sizes.select(F.col("a").alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("id"))
+    members = common.look_up(pairs, sizes, ["a"]).select(F.col("a").alias("place"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(QUERY).alias("role"), F.col("b").alias("id"))
+    centres = sizes.select(F.col("a").alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(HELD).alias("role"), F.col("a").alias("id"))
     return compare(members.unionByName(centres).withColumn("label", F.col("id")), known, kind, columns)
 
 
@@ -320,16 +328,22 @@ MARKS = ["n", "level", "prefix", "map"]
 def crossing(rows: DataFrame, marks: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of a bucket that have different labels and that their marks do not rule out.
 
-    ``rows``: bucket, id, label. In each bucket the commonest label needs no comparison within itself: the others are
-    the queries, compared with all members. Members are dealt over blocks of about ``block``, each query visits all
-    blocks of its bucket; a task holds one block and streams the queries. Pairs that are ruled out are never rows.
+    ``rows``: bucket, id, n, label. In each bucket the commonest label needs no comparison within itself: the others are
+    the queries, compared with all members. A bucket of up to ``block`` members is sent whole, each row once, but for
+    those that no other size in the bucket fits. Members of a larger one are dealt over blocks of about that size and
+    each query visits all of them; a task holds one block and streams the queries. Pairs that are ruled out are never
+    rows.
     """
     by_label = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels"))
     mixed = shelve(mixed.where("labels > 1").select("bucket", "main", "size", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "mixed", slim=True)
     rows = common.look_up(rows, mixed, ["bucket"])
-    members = rows.select(F.col("bucket").alias("place"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "label")
-    queries = rows.where("label <> main").select(F.col("bucket").alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "label")
+    small, large, by_size = rows.where("blocks = 1"), rows.where("blocks > 1"), Window.partitionBy("bucket").orderBy("n")
+    small = small.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    small = small.where(sizes_fit(F.col("n"), F.col("less")) | sizes_fit(F.col("n"), F.col("more")))
+    members = small.select(F.col("bucket").alias("place"), F.lit(0).alias("block"), F.lit(BOTH).alias("role"), "id", "label")
+    members = members.unionByName(large.select(F.col("bucket").alias("place"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(HELD).alias("role"), "id", "label"))
+    queries = large.where("label <> main").select(F.col("bucket").alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(QUERY).alias("role"), "id", "label")
     return compare(members.unionByName(queries), marks, Mark, MARKS)
 
 
@@ -410,21 +424,27 @@ def _indexed(docs: DataFrame, hot_from: int) -> tuple[DataFrame, ...]:
     return sets, classes, placed, plain, hots, index.select("id", *MARKS)
 
 
-def _families(hots: DataFrame) -> DataFrame:
-    """(bucket, id): hot buckets that share members are one family; their sets share most tokens, hence most buckets."""
+def _members(plain: DataFrame, hots: DataFrame) -> DataFrame:
+    """(bucket, id, n) of both kinds of buckets. Hot buckets that share members are one family: their sets share most
+    tokens, hence most buckets."""
+    rows = plain.select("bucket", "id", "n")
+    if not hots.head(1):
+        return rows
     family = connected_components(hots.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    return family.select(F.xxhash64(F.lit("family"), "component").alias("bucket"), F.col("node").alias("id"))
+    sizes = hots.select("id", "n").distinct()
+    return rows.unionByName(family.join(sizes, family.node == sizes.id).select(F.xxhash64(F.lit("family"), "component").alias("bucket"), "id", "n"))
 
 
 def _near_duplicates(docs: DataFrame, hot_from: int) -> DataFrame:
     """(id, n, component) of ``docs`` (id: long, unique, not null; text)."""
     sets, classes, placed, plain, hots, marks = _indexed(docs, hot_from)
-    pairs = plain.unionByName(hots).where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = plain.unionByName(hots).where((F.col("id") != F.col("pivot")) & sizes_fit(F.col("n"), F.col("m")))
+    pairs = pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     found = shelve(links(shelve(stars(pairs, marks, Mark, MARKS), "close", slim=True), docs), "links", slim=True)
     known = connected_components(found)
     # buckets that still hold several components; pairs with the pivot are done
-    rows = plain.where("id <> pivot").select("bucket", "id").union(_families(hots))
-    rows = rows.join(known, rows.id == known.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    rows = _members(plain.where("id <> pivot"), hots)
+    rows = rows.join(known, rows.id == known.node, "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
     rest = shelve(links(shelve(crossing(shelve(rows, "labelled", slim=True), marks), "close", slim=True), docs), "links", slim=True)
     known = connected_components(found.union(rest)) if rest.head(1) else known
     named = classes.join(known, classes.rep == known.node, "left").select("rep", "size", F.coalesce("component", "rep").alias("component"))
@@ -444,7 +464,7 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", hot_from: int = HOT)
         raise ValueError("links are between ids, so these must be there and unique")
     with small_batches(docs.sparkSession):
         _, _, placed, plain, hots, marks = _indexed(rows, hot_from)
-        found = plain.select("bucket", "id").union(_families(hots)).withColumn("label", F.col("id"))
+        found = _members(plain, hots).withColumn("label", F.col("id"))
         close = shelve(crossing(shelve(found, "labelled", slim=True), marks), "close", slim=True)
         return shelve(links(close, rows), "links", slim=True), placed.select(F.col("id").alias(id_col), "rep")
 
