@@ -4,18 +4,23 @@ Grammar of a rendered conversation: a sequence of turns, each ``### `` role ``:
 The parser is deterministic: it splits at the closing mark, takes the role up to the first ``: ``, and undoes the
 escapes ``\\c`` (colon), ``\\l`` (less than), ``\\h`` (hash) and ``\\b`` (backslash) in role and text.
 
-Each conversation is first rendered as it is and parsed again. If the turns that come back differ from the source, the
-turns that do not survive alone are escaped and the whole is rendered and parsed once more; if it still differs, all
-turns are escaped, which leaves no control string in any text. A conversation that would differ even then (it cannot)
-raises an error. The loss mask is the list of ranges (code points) that the assistant's texts take up in the output.
+Control strings are the marks of turns (``###`` and ``</turn>``), the escape sign, and in a role the colon that ends
+it. A turn conflicts if its role or text holds one, or if it does not come back from its own rendering. Each
+conversation is first rendered as it is and parsed again; that stands if no turn conflicts and the turns that come back
+are the source. Else the turns that conflict are escaped and the whole is rendered and parsed once more; if it still
+differs, all turns are escaped. A conversation that would differ even then (it cannot) raises an error. So no rendered
+role or text holds ``###`` or ``</turn>``. The loss mask is the list of ranges (code points) that the assistant's texts
+take up in the output.
 
 A null role or text is an empty one; a null conv_id is a conversation of its own. Turns are ordered by turn (null
 first), ties by role, then text. Turns are rendered and tested row by row; a conversation is one output row, so its
-turns meet in one task, as its digest requires.
+turns meet in one task, as its digest requires. Other columns are ignored, whatever their names; no turns, no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ from kinloom.llm import common
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
 ESCAPES = (("\\", "\\b"), (":", "\\c"), ("<", "\\l"), ("#", "\\h"))
+#: What no rendered text may hold, and no rendered role.
+CONTROLS, ROLE_CONTROLS = ("###", "</turn>", "\\"), ("###", "</turn>", "\\", ":")
 ASSISTANT = "assistant"
 
 
@@ -57,9 +64,11 @@ def parse(rendered: Column) -> Column:
     return F.transform(pieces, turn)
 
 
-def survives(role: Column, text: Column) -> Column:
-    """Whether a turn comes back from its own rendering as it is."""
-    return F.coalesce(parse(render_turn(role, text)) == F.array(F.struct(role.alias("role"), text.alias("text"))), F.lit(False))
+def conflicts(role: Column, text: Column) -> Column:
+    """Whether a turn holds a control string or does not come back from its own rendering as it is."""
+    back = F.coalesce(parse(render_turn(role, text)) == F.array(F.struct(role.alias("role"), text.alias("text"))), F.lit(False))
+    held = [F.contains(text, F.lit(c)) for c in CONTROLS] + [F.contains(role, F.lit(c)) for c in ROLE_CONTROLS]
+    return reduce(lambda x, y: x | y, held) | ~back
 
 
 def format_chats(turns: DataFrame, assistant: str = ASSISTANT) -> DataFrame:
@@ -67,13 +76,13 @@ def format_chats(turns: DataFrame, assistant: str = ASSISTANT) -> DataFrame:
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    rows = rows.select("*", survives(F.col("role"), F.col("text")).alias("plain"))
-    by_turn = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "plain")))
+    rows = rows.select("*", conflicts(F.col("role"), F.col("text")).alias("conflict"))
+    by_turn = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "conflict")))
     chats = rows.groupBy("conv_id").agg(by_turn.alias("turns"))
 
     def level(k: int) -> Column:
         """Parts of each turn at a level: role and text as they are rendered."""
-        coded = lambda t: F.lit(k == 2) | (F.lit(k == 1) & ~t.plain)
+        coded = lambda t: F.lit(k == 2) | (F.lit(k == 1) & t.conflict)
         return F.transform("turns", lambda t: F.struct(
             t.role.alias("own"),
             F.when(coded(t), escape(t.role)).otherwise(t.role).alias("role"),
@@ -83,7 +92,7 @@ def format_chats(turns: DataFrame, assistant: str = ASSISTANT) -> DataFrame:
     whole = lambda parts: F.array_join(F.transform(parts, lambda t: render_turn(t.role, t.text)), "")
     source = F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))
     same = lambda parts: parse(whole(parts)) == source
-    chosen = F.when(same(level(0)), F.struct(F.lit(0).alias("level"), level(0).alias("parts")))
+    chosen = F.when(~F.exists("turns", lambda t: t.conflict) & same(level(0)), F.struct(F.lit(0).alias("level"), level(0).alias("parts")))
     for k in (1, 2):
         chosen = chosen.when(same(level(k)), F.struct(F.lit(k).alias("level"), level(k).alias("parts")))
     chosen = chosen.otherwise(F.raise_error(F.lit("a conversation does not survive its own grammar")))
@@ -130,18 +139,11 @@ def _coded(x: str) -> str:
     return x
 
 
-def _plain(x: str) -> str:
-    for plain, coded in reversed(ESCAPES):
-        x = f"replace({x}, '{coded}', '{plain}')"
-    return x
-
-
-_CLOSE = "' </turn>' || chr(10)"
 SQL = {
     "op4_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
-p AS (SELECT *, contains(role || ': ' || text, {_CLOSE}) OR contains(role, ': ') OR {_plain('role')} <> role OR {_plain('text')} <> text AS hard FROM t)
+p AS (SELECT *, regexp_matches(role, '###|</turn>|[\\\\:]') OR regexp_matches(text, '###|</turn>|\\\\') AS hard FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
