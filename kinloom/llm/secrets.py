@@ -9,7 +9,8 @@ package registries), the bech32 polynomial (secret keys ``AGE-SECRET-KEY-1``) an
 
 Spans are in code points, the end is exclusive. Null: an empty text. Matches of one kind do not overlap and are taken
 from the left; a match that is too short is dropped but still consumes its characters, as when a pattern is run over
-the whole text. Rows with the same id are scanned one by one.
+the whole text. Rows with the same id are scanned one by one. Other columns are ignored (``find``) or kept (``redact``),
+whatever their names. No rows, no result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinloom.llm import common
 
@@ -133,9 +135,6 @@ def _in_code_points(raw: bytes, found: list[tuple[str, int, int]]) -> list[tuple
     return [(kind, place[s], place[e]) for kind, s, e in found]
 
 
-SPANS = "array<struct<kind:string,start:long,end:long>>"
-
-
 def find(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """One row for each of ``docs``: ``id_col`` and its spans."""
     return _scan(docs.select(F.col(id_col), F.col("text").cast("string").alias("text")), [id_col])
@@ -150,11 +149,10 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 
 
 def _scan(docs: DataFrame, keep: list[str], mask: str | None = None) -> DataFrame:
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    name = "_spans"
-    while name in docs.columns:
-        name += "_"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` {SPANS}"])
+    fields = [docs.schema[c] for c in keep]
+    name = common.fresh(docs.columns, "_spans")
+    spans_type = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([*fields, T.StructField(name, spans_type)])
     counted = mask is not None and any(f.name == "n_chars" and f.dataType.simpleString() == "bigint" for f in fields)
 
     def make():
