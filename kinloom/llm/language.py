@@ -9,6 +9,7 @@ sample is kept back to fit the temperature that divides the logits.
 
 Prediction reads text alone. A text that is null or has no letter, and every text where nothing could be learned, is
 ``und`` with score 0. Equal scores go to the first language by name. Rows with the same id are predicted one by one.
+Other columns are ignored, or kept as they are, whatever their names. No rows, no result and no model.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinloom.llm import common, sampling
 
@@ -202,42 +204,48 @@ def train(docs: DataFrame, *, label: str = "lang", per_class: int = PER_CLASS) -
 SCALE = 30.0
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """``keep`` of each document with lang_pred and score."""
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
+def predict(docs: DataFrame, model: Model | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` of each document with its language and the score, under ``names``, which must be none of ``keep``."""
+    fields = [docs.schema[c] for c in keep]
+    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    text = common.fresh(keep, "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
 
         def step(batch: pa.RecordBatch):
-            texts = batch.column("text").to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            texts = batch.column(text).to_pylist()
+            found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             use = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
             ready = [prepare(texts[i]) for i in use]
             for a, b in sampling.bounded(ready):
                 p = softmax(model.logits(ready[a:b]) / model.temperature)
                 for i, best, score in zip(use[a:b], p.argmax(axis=1).tolist(), p.max(axis=1).tolist()):
-                    names[i], scores[i] = model.classes[best], score
+                    found[i], scores[i] = model.classes[best], score
             columns = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), *names])
 
         return step
 
-    return common.per_batch(docs, schema, make)
+    return common.per_batch(docs.select(*keep, F.col("text").cast("string").alias(text)), schema, make)
 
 
-def rejected(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` with a last column ``_rejected``: no language, or one that is less sure than ``min_score``."""
-    plain = docs.select(*docs.columns)
-    found = predict(plain, model, plain.columns)
-    return found.withColumn("_rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).drop("lang_pred", "score")
+def recognised(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """Those of ``docs`` that have a language with a score of ``min_score`` or more; all columns, none added.
+
+    Without a model (no document has a label to learn from) only texts that are null or have no letter go.
+    """
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    names = common.fresh(docs.columns, "lang_pred"), common.fresh(docs.columns, "score")
+    found = predict(docs, model, docs.columns, names)
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= min_score)).select(*docs.columns)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    found = predict(docs.select("doc_id", "text"), train(docs), ["doc_id"])
+    found = predict(docs, train(docs), ["doc_id"])
     return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
