@@ -11,7 +11,8 @@ The benchmark index is shipped to the workers. Its size is checked first: a benc
 text is cut into blocks (by a hash of the item) that are searched one after another; results are merged by document.
 
 Null, empty: such a text has no words; it is never hit and an item without words has no window. A null item id counts
-as the empty id. Rows with the same document id are judged one by one; rows with the same item id are one item.
+as the empty id. Rows with the same document id are judged one by one; rows with the same item id are one item. Other
+columns are ignored, whatever their names; no documents, no rows; no items, no hits.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm import common
+from kinloom.session import shelve
 
 WINDOW = 13
 K = 7
-MAX_BYTES = 32 << 20
+MAX_BYTES = 8 << 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = {i: i + 32 for i in range(0x41, 0x5B)}
 SCHEMA = "row_id long, n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>"
@@ -205,6 +207,19 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (F.lit(20) * n_hit >= n_words)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated; all columns, none added.
+
+    A row is judged by its own text: rows that share an id go one by one, told apart by a hash of id and text.
+    """
+    key = common.fresh(docs.columns, "_key")
+    text = F.col("text").cast("string")
+    named = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("string"), text))
+    found = find(named.select(key, "text"), benchmark, id_col=key, **how)
+    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(key).distinct()
+    return common.restrict(named, key, shelve(bad, "contaminated", slim=True), "left_anti").drop(key)
+
+
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select(
