@@ -5,12 +5,15 @@ the piece at rank r has probability 1 / (r * H), H the harmonic sum. A pre-token
 the word mark before it. Its best segmentation is the one of the highest probability (ties: fewer tokens). A character
 that is no piece falls back to its bytes, one token each, every one ``UNKNOWN`` below the least likely piece.
 
-The distinct new pre-tokens of a batch are walked in sorted order, which is a depth-first walk of their trie: the
-forward score of a prefix (best score and its count) is computed once for all pre-tokens that share it, and only the
-path from the root to the current node is kept. The count at a pre-token's end is stored and reused; a worker keeps
-``CACHE`` of them at most and starts anew beyond that.
+The distinct pre-tokens are inserted in a trie. A node holds the forward score of its prefix (best score and the tokens
+that give it), computed once, when the node is made, for all pre-tokens that share the prefix; the node at a pre-token's
+end marks it as a terminal, whose count is the pre-token's. A worker keeps its trie from batch to batch and starts a
+new one beyond ``NODES`` nodes; counts of up to ``CACHE`` pre-tokens are found by hash without another walk.
 
-Null, empty: no pre-tokens and no tokens. Rows with the same id are counted one by one.
+The probabilities are assumed, not trained: the counts are those of this model and of no published tokenizer.
+
+Null, empty: no pre-tokens and no tokens. Rows with the same id are counted one by one. Other columns are ignored,
+whatever their names; no rows, no result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from kinloom.llm import common
 
 MARK = "▁"
 UNKNOWN = 10.0
-CACHE = 2_000_000
+CACHE, NODES = 2_000_000, 400_000
+#: Characters of a pre-token beyond which it is not inserted.
+LONG = 1000
 
 
 def unigram(path: str) -> tuple[dict[str, float], float]:
@@ -41,50 +46,81 @@ def unigram(path: str) -> tuple[dict[str, float], float]:
     return scores, min(scores.values()) - UNKNOWN
 
 
-class Walk:
-    """Forward scores along one path of the trie."""
+class Trie:
+    """Pre-tokens and the forward scores of all their prefixes."""
 
     def __init__(self, pieces: dict[str, float], byte: float) -> None:
         # all suffixes of pieces: a string that is none ends the search for longer ones
         self.pieces: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(len(p))}
         self.pieces.update(pieces)
         self.byte = byte
-
-    def counts(self, words: list[str]) -> list[int]:
-        """Tokens of each of the sorted words."""
-        known, out, before = self.pieces, [], ""
-        score, count = [0.0], [0]
-        for word in words:
-            text = MARK + word
-            shared, most = 0, min(len(text), len(before))
-            while shared < most and text[shared] == before[shared]:
-                shared += 1
-            del score[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                best, n = -math.inf, 0
-                for begin in range(end - 1, -1, -1):
-                    piece = known.get(text[begin:end], False)
-                    if piece is False:
-                        break
-                    if piece is not None:
-                        value, tokens = score[begin] + piece, count[begin] + 1
-                        if value > best or value == best and tokens < n:
-                            best, n = value, tokens
-                if best == -math.inf:
-                    size = len(text[end - 1].encode())
-                    best, n = score[end - 1] + size * self.byte, count[end - 1] + size
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[int, int] = {}  # node and code point -> node
+        self.score, self.count = [0.0], [0]  # of each node; the root is the empty prefix
+        self.terminal: dict[int, int] = {}  # node -> tokens of the pre-token that ends there
+
+    def insert(self, word: str) -> int:
+        """Tokens of a pre-token."""
+        text = MARK + word
+        if len(text) > LONG:
+            return self._alone(text)
+        child, score, count = self.child, self.score, self.count
+        path = [0]
+        for end, c in enumerate(text, 1):
+            edge = path[-1] << 21 | ord(c)
+            node = child.get(edge)
+            if node is None:
+                node = child[edge] = len(score)
+                best, tokens = self._forward(text, end, path)
                 score.append(best)
-                count.append(n)
-            out.append(count[-1])
-            before = text
-        return out
+                count.append(tokens)
+            path.append(node)
+        return self.terminal.setdefault(path[-1], count[path[-1]])
+
+    def _forward(self, text: str, end: int, path: list[int]) -> tuple[float, int]:
+        """The best score of text[:end] and its tokens; the last of ``path`` are the nodes of its longest prefixes."""
+        known, best, n = self.pieces, -math.inf, 0
+        for back in range(1, min(end, len(path)) + 1):
+            piece = known.get(text[end - back : end], False)
+            if piece is False:
+                break
+            if piece is not None:
+                value, tokens = self.score[path[-back]] + piece, self.count[path[-back]] + 1
+                if value > best or value == best and tokens < n:
+                    best, n = value, tokens
+        if best == -math.inf:
+            size = len(text[end - 1].encode())
+            best, n = self.score[path[-1]] + size * self.byte, self.count[path[-1]] + size
+        return best, n
+
+    def _alone(self, text: str) -> int:
+        """Tokens of a very long pre-token, of which only as many prefixes are kept as a piece is long."""
+        kept = len(self.score)
+        path, most = [0], max(map(len, self.pieces), default=1)
+        for end in range(1, len(text) + 1):
+            found = self._forward(text, end, path)
+            if len(path) <= most:
+                path.append(len(self.score))
+                self.score.append(found[0])
+                self.count.append(found[1])
+            else:  # the node that no piece reaches any more is used again
+                path.append(path.pop(0) or len(self.score))
+                if path[-1] == len(self.score):
+                    self.score.append(0.0)
+                    self.count.append(0)
+                self.score[path[-1]], self.count[path[-1]] = found
+        tokens = self.count[path[-1]]
+        del self.score[kept:], self.count[kept:]
+        return tokens
 
 
 class Counter:
     """Token counts of words, kept by a 64-bit hash of their bytes."""
 
     def __init__(self, pieces: dict[str, float], byte: float) -> None:
-        self.walk = Walk(pieces, byte)
+        self.trie = Trie(pieces, byte)
         self.words, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def count(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +137,12 @@ class Counter:
             new = self.words[np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)] != hashes
         if new.any():
             raw, at = flat.tobytes(), first[new]
-            fresh = sorted((raw[a:b].decode(), h) for a, b, h in zip(begin[at].tolist(), end[at].tolist(), hashes[new].tolist()))
-            tokens = self.walk.counts([w for w, _ in fresh])
-            words = np.concatenate([self.words, np.array([h for _, h in fresh], np.uint64)])
+            tokens = np.zeros(len(at), np.int64)
+            for i, (a, b) in enumerate(zip(begin[at].tolist(), end[at].tolist())):
+                if len(self.trie.score) > NODES:
+                    self.trie.clear()
+                tokens[i] = self.trie.insert(raw[a:b].decode())
+            words = np.concatenate([self.words, hashes[new]])
             order = np.argsort(words, kind="stable")
             self.words, self.tokens = words[order], np.concatenate([self.tokens, tokens])[order]
         tokens = self.tokens[np.searchsorted(self.words, hashes)][which]
