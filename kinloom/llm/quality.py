@@ -1,13 +1,14 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A text is a bag of passages of ``PASSAGE`` words (the last one shorter; a text without words is one empty passage).
-Each passage is described by shape features (``features``), which a learned layer encodes. Gated attention, the
+Each passage is described by its shape, by its words and by its word pairs, both hashed into ``HASHED`` shares
+(``features``); a learned layer encodes that. Gated attention, the
 softmax over the passages of w . (tanh(h V) * sigmoid(h U)), weights the codes; the weighted sum is the text's
 representation, which a logistic layer scores. Labels are of documents only: encoder, attention and scorer are learned
 jointly from them, by the driver, in numpy, on a bounded sample (``SAMPLE`` labelled documents).
 
 Null, empty: one empty passage, scored as such. Rows with the same id are scored one by one. Without any label all
-scores are 0.
+scores are 0. Other columns are ignored, whatever their names; no rows, no result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,12 @@ _KINDS[0x61:0x7B], _KINDS[0x41:0x5B], _KINDS[0x30:0x3A], _KINDS[0x80:] = 0, 1, 2
 for _i, _c in enumerate("#$%&*|!<>.,:@"):
     _KINDS[ord(_c)] = 4 + _i
 N_KINDS = 18
-N_FEATURES = N_KINDS + 8
+#: Buckets of words, and of word pairs.
+HASHED = 48
+N_SHAPE = N_KINDS + 8
+#: What is added to the spread of a hashed share: they are many, and a small sample must not lean on one of them.
+HASHED_SCALE = 0.5
+N_FEATURES = N_SHAPE + 2 * HASHED
 
 
 def features(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +84,10 @@ def features(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         )
         for i, c in enumerate(columns):
             out[:, N_KINDS + i] = c
+        for i, (own, hashes) in enumerate(((of, h), (pair_of, pair))):
+            times = np.bincount(own * HASHED + (hashes % np.uint64(HASHED)).astype(np.int64), minlength=total * HASHED).reshape(total, HASHED)
+            at = N_SHAPE + i * HASHED
+            out[:, at : at + HASHED] = np.sqrt(times / np.maximum(times.sum(axis=1), 1)[:, None])
     return out, cuts
 
 
@@ -122,7 +132,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Model | None:
     random = np.random.default_rng(seed)
     every = np.concatenate(bags)
     shape = {"W": (N_FEATURES, CODE), "b": (CODE,), "V": (CODE, GATE), "U": (CODE, GATE), "w": (GATE,), "c": (CODE,), "d": (1,)}
-    model = Model(every.mean(axis=0), every.std(axis=0) + 0.05, {k: random.normal(0, s[0] ** -0.5, s) if k not in "bd" else np.zeros(s) for k, s in shape.items()})
+    model = Model(every.mean(axis=0), every.std(axis=0) + np.where(np.arange(N_FEATURES) < N_SHAPE, 0.05, HASHED_SCALE), {k: random.normal(0, s[0] ** -0.5, s) if k not in "bd" else np.zeros(s) for k, s in shape.items()})
     m, v, step = {k: np.zeros(s) for k, s in shape.items()}, {k: np.zeros(s) for k, s in shape.items()}, 0
     for epoch in range(EPOCHS):
         order = random.permutation(len(y))
