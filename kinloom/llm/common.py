@@ -154,9 +154,14 @@ def span_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
         return np.concatenate([
             span_hashes(flat[begin[i] : end[j - 1]], begin[i:j] - begin[i], end[i:j] - begin[i]) for i, j in zip(cuts, cuts[1:]) if j > i
         ])
-    total = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _power("up", len(flat)), out=total[1:])
-    return mix((total[end] - total[begin]) * _power("down", len(flat) + 1)[begin])
+    return range_hashes(flat, begin, end)
+
+
+def range_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of numbers."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _power("up", len(values)), out=total[1:])
+    return mix((total[end] - total[begin]) * _power("down", len(values) + 1)[begin])
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
