@@ -12,7 +12,8 @@ never has more bins than the round before.
 Only lengths and ids are moved, never texts. Each round is a table in the shared folder, so a lost executor repeats
 its own tasks on the same rows.
 
-Null text: empty. An empty text is one piece that holds only the end id. Repeated rows are packed one by one.
+Null text: empty. An empty text is one piece that holds only the end id. Repeated rows are packed one by one. Other
+columns are ignored, whatever their names; no rows, no result.
 """
 
 from __future__ import annotations
