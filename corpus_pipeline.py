@@ -1,12 +1,15 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-1. ``language``: documents without a recognised language go.
-2. ``near_duplicates``: of each component of the Jaccard join the document with the smallest id stays.
-3. ``decontaminate``: documents that the benchmark contaminates go.
+1. ``language``: documents without a recognised language go: no letter, or a calibrated score below
+   ``language.MIN_SCORE``. Where no document has a usable label, only those without a letter (or text) go.
+2. ``near_duplicates``: of each component of the Jaccard join one document stays, the one with the smallest id. An id is
+   no text: rows that share an id are documents of their own, and stay unless their texts are near copies; so are rows
+   without an id. Of documents that tie in id the one with the smallest hash of its text stays, of equal rows any one.
+3. ``decontaminate``: documents that the benchmark contaminates go, judged row by row.
 4. ``secrets``: each secret is replaced by a mark in the text; no document goes.
 5. ``packing``: the documents become pieces in sequences.
 
-All stages but the last return the columns of ``documents``. Rows without an id stay in stages 2 and 3.
+All stages but the last return the columns of ``documents``, whatever their names. A table without rows passes as such.
 """
 
 from __future__ import annotations
@@ -15,27 +18,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import common, decontaminate, jaccard, language, packing, secrets
-from kinloom.session import shelve
+from kinloom.session import release, shelve, tables
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.rejected(docs, language.train(docs)).where("NOT _rejected").drop("_rejected")
+    return language.recognised(docs, language.train(docs))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.near_duplicates(docs)
-    gone = shelve(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_one")).distinct(), "gone", slim=True)
-    kept = jaccard.restrict(docs, "doc_id", gone, "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").head(1)
-    if not repeated:
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+    if jaccard.unique_ids(docs, "doc_id"):
+        found = jaccard.near_duplicates(docs)
+        return common.restrict(docs, "doc_id", shelve(found.where("component_id <> doc_id").select("doc_id"), "gone", slim=True), "left_anti")
+    row = common.fresh(docs.columns, "_row")
+    docs = shelve(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard.near_duplicates(docs.select(row, "text"), id_col=row)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.col(row).alias("row"))
+    first = found.join(docs.select(row, rank.alias("rank")), row).groupBy("component_id").agg(F.min("rank").alias("first"))
+    return common.restrict(docs, row, shelve(first.select("first.row"), "first", slim=True), "left_semi").drop(row)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find(docs, common.table(spark, sf_dir, "benchmark"))
-    bad = found.where(decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_one"))
-    return jaccard.restrict(docs, "doc_id", shelve(bad.distinct(), "contaminated", slim=True), "left_anti")
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's own tables, and the rows before it, are freed as soon as its rows are written."""
     rows = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        rows = shelve(stage(spark, rows, sf_dir), name)
-    return STAGES[-1][1](spark, rows, sf_dir)
+    begun = tables()
+    with jaccard.small_batches(spark):
+        for name, stage in STAGES[:-1]:
+            rows = shelve(stage(spark, rows, sf_dir), name)
+            release(since=begun, keep=(name,))
+        return STAGES[-1][1](spark, rows, sf_dir)
