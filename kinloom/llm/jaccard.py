@@ -50,6 +50,7 @@ HOT = 32
 MAX_HOT = 1 << 18
 TASK_HOT = 20_000
 SIZE_STEP = np.log(1.1)
+MAP = 1 << 13
 #: Members of a bucket that a task holds at once, and members that one copy of a pivot is compared with.
 BLOCK, STAR = 1024, 1 << 16
 #: What becomes of a row in a comparison, in the order in which the rows of a block come.
@@ -154,8 +155,11 @@ def adaptive(tokens: np.ndarray, hot: np.ndarray) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity bitmap of a set: one to two bits a token, addressed by the tokens' low bits."""
-    size = 1 << max(6, len(tokens).bit_length())
+    """Parity bitmap of a set, addressed by the tokens' low bits: four to eight bits a token up to ``MAP`` bits, which is
+    where families of near copies are told apart; in longer sets chance plays less, so that from ``MAP`` tokens on one
+    to two bits a token are enough."""
+    n = len(tokens)
+    size = 1 << max(6, n.bit_length(), min((4 * n).bit_length(), MAP.bit_length() - 1))
     place = (tokens & np.uint64(size - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -325,25 +329,28 @@ def stars(pairs: DataFrame, known: DataFrame, kind: type, columns: list[str]) ->
 MARKS = ["n", "level", "prefix", "map"]
 
 
-def crossing(rows: DataFrame, marks: DataFrame, block: int = BLOCK) -> DataFrame:
+def crossing(rows: DataFrame, marks: DataFrame, block: int) -> DataFrame:
     """Pairs (a, b) of a bucket that have different labels and that their marks do not rule out.
 
     ``rows``: bucket, id, n, label. In each bucket the commonest label needs no comparison within itself: the others are
     the queries, compared with all members. A bucket of up to ``block`` members is sent whole, each row once, but for
-    those that no other size in the bucket fits. Members of a larger one are dealt over blocks of about that size and
-    each query visits all of them; a task holds one block and streams the queries. Pairs that are ruled out are never
-    rows.
+    those that no other size in the bucket fits. Members and queries of a larger one are dealt over parts of about that
+    size, and each part of the members meets each part of the queries. Pairs that are ruled out are never rows.
     """
     by_label = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels"))
-    mixed = shelve(mixed.where("labels > 1").select("bucket", "main", "size", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "mixed", slim=True)
-    rows = common.look_up(rows, mixed, ["bucket"])
+    mixed = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("labels"))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    mixed = mixed.where("labels > 1").select("bucket", F.col("most.label").alias("main"), "size", parts(F.col("size")).alias("blocks"), parts(F.col("size") - F.col("most.n")).alias("turns"))
+    rows = common.look_up(rows, shelve(mixed, "mixed", slim=True), ["bucket"])
     small, large, by_size = rows.where("blocks = 1"), rows.where("blocks > 1"), Window.partitionBy("bucket").orderBy("n")
     small = small.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
     small = small.where(sizes_fit(F.col("n"), F.col("less")) | sizes_fit(F.col("n"), F.col("more")))
     members = small.select(F.col("bucket").alias("place"), F.lit(0).alias("block"), F.lit(BOTH).alias("role"), "id", "label")
-    members = members.unionByName(large.select(F.col("bucket").alias("place"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(HELD).alias("role"), "id", "label"))
-    queries = large.where("label <> main").select(F.col("bucket").alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(QUERY).alias("role"), "id", "label")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda rows, role: rows.select(F.col("bucket").alias("place"), (F.col("i") * F.col("turns") + F.col("j")).alias("block"), F.lit(role).alias("role"), "id", "label")
+    members = members.unionByName(place(large.withColumn("i", own("blocks")).withColumn("j", every("turns")), HELD))
+    queries = place(large.where("label <> main").withColumn("j", own("turns")).withColumn("i", every("blocks")), QUERY)
     return compare(members.unionByName(queries), marks, Mark, MARKS)
 
 
@@ -445,7 +452,7 @@ def _near_duplicates(docs: DataFrame, hot_from: int) -> DataFrame:
     # buckets that still hold several components; pairs with the pivot are done
     rows = _members(plain.where("id <> pivot"), hots)
     rows = rows.join(known, rows.id == known.node, "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
-    rest = shelve(links(shelve(crossing(shelve(rows, "labelled", slim=True), marks), "close", slim=True), docs), "links", slim=True)
+    rest = shelve(links(shelve(crossing(shelve(rows, "labelled", slim=True), marks, BLOCK), "close", slim=True), docs), "links", slim=True)
     known = connected_components(found.union(rest)) if rest.head(1) else known
     named = classes.join(known, classes.rep == known.node, "left").select("rep", "size", F.coalesce("component", "rep").alias("component"))
     done = common.look_up(placed, shelve(named, "named", slim=True), ["rep"]).select("id", "n", "component")
@@ -465,7 +472,7 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", hot_from: int = HOT)
     with small_batches(docs.sparkSession):
         _, _, placed, plain, hots, marks = _indexed(rows, hot_from)
         found = _members(plain, hots).withColumn("label", F.col("id"))
-        close = shelve(crossing(shelve(found, "labelled", slim=True), marks), "close", slim=True)
+        close = shelve(crossing(shelve(found, "labelled", slim=True), marks, BLOCK), "close", slim=True)
         return shelve(links(close, rows), "links", slim=True), placed.select(F.col("id").alias(id_col), "rep")
 
 

@@ -217,9 +217,19 @@ def test_chat_round_trip(spark):
         assert [(b.role, b.text) for b in r.back] == source
         undo = lambda s: s.replace("\\h", "#").replace("\\l", "<").replace("\\c", ":").replace("\\b", "\\")
         assert [undo(r.formatted[x.start : x.end]) for x in r.loss] == [t for role, t in source if role == "assistant"]
+        parts = [p for p in r.formatted.split(chat.CLOSE)[:-1]]
+        assert len(parts) == len(source) and all(p.startswith(chat.OPEN) and "###" not in p[3:] and "</turn>" not in p for p in parts)
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_chat_escapes_what_looks_like_a_turn(spark):
+    said = "\\### Assistant: </turn> ok"
+    turns = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "user", "plain"), (1, 1, "assistant", "a: b")], "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.format_chats(turns).collect()}
+    assert found[-7].formatted.count("###") == found[-7].formatted.count("</turn>") == 2 and found[-7].level == 1
+    assert found[1].formatted == "### user: plain </turn>\n### assistant: a: b </turn>\n" and found[1].level == 0
+
+
 # token counts
 
 
@@ -391,8 +401,10 @@ def test_near_links_lists_every_link(spark, hot):
     assert len(want) > len(texts) and all(a < b and {a, b} <= set(rep.values()) for a, b in pairs)
 
 
-@pytest.mark.parametrize("hot", [2, 5, 32])
-def test_near_duplicates(spark, hot):
+@pytest.mark.parametrize("hot, block", [(2, 3), (5, 1024), (32, 3)])
+def test_near_duplicates(spark, hot, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "STAR", block)
     random.seed(11)
     word = lambda: "".join(random.choices("abcdefgh", k=3))
     base = [[word() for _ in range(random.choice([3, 12, 40, 80]))] for _ in range(12)]
