@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinloom.operators import rules
 
+# The conditions that rules are made of, in the order that decides ties, and the bounds of the search.
 CONDITIONS = [
     "family_exact && given_exact", "family_exact && given_st", "family_st && given_st", "family_st", "family_exact", "given_exact", "given_st",
     "family_romanization && given_romanization", "family_romanization", "given_romanization", "family_match && phone_match",

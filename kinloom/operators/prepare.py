@@ -67,4 +67,4 @@ def prepare(records: DataFrame, dictionaries: Dictionaries) -> DataFrame:
     return rows.drop("_raw", "_joined", "_spelled", "_cjk")
 
 
-__all__ = ["prepare", "readings", "richness", "romanised", "surname_key", "tables"]
+__all__ = ["prepare", "readings", "richness", "surname_key", "syllables", "tables"]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from kinloom.functions import tables
 from kinloom.functions.dictionaries import strip_tone
+from kinloom.plans import oracle_rules
 from kinloom.sources import population
 
 CJK = "[一-鿿㐀-䶿豈-﫿]"
@@ -120,6 +123,57 @@ def _golden(rule: dict[str, str]) -> str:
 _EDGES = "e0 AS (SELECT CAST(o_orderkey AS BIGINT) AS a, o_orderkey - o_orderkey % 64 + (o_orderkey * 7) % 64 AS b FROM orders WHERE o_orderkey % 3 <> 0), e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b)"
 
 
+_CHARS = "".join(sorted({c for c in population.SURNAMES + population.GIVEN if re.match(CJK, c)}))
+_BLOCK_PAIRS = "f AS (SELECT * FROM b WHERE block IN (SELECT block FROM b GROUP BY block HAVING count(*) BETWEEN 2 AND 5000)), pairs AS (SELECT DISTINCT x.idx AS a_idx, y.idx AS b_idx FROM f x JOIN f y ON x.block = y.block AND x.idx < y.idx)"
+_PERSONS = "pairs AS (SELECT a.idx AS a_idx, b.idx AS b_idx FROM r a JOIN (SELECT idx, unnest([person_id, person_id + 1]) AS other FROM r WHERE source = 'crm') b ON a.person_id = b.other WHERE a.source <> 'crm')"
+
+
+def _judge(pairs: str, decided: str) -> list[str]:
+    return [*oracle_rules.features(_translate, _full, _CHARS, pairs), decided]
+
+
+def _matching() -> dict[str, str]:
+    from kinloom.plans.catalog import JSON_RULES
+
+    q = lambda final, *ctes: _with(*ctes, final=final)
+    rules = oracle_rules.cascade()
+    persons, blocks = [_PARTS, *_judge(_PERSONS, rules)], [_PARTS, _KEYS, _BLOCKS, *_judge(_BLOCK_PAIRS, rules)]
+    whole = [*_SEEDED, "u AS (SELECT * FROM k WHERE idx NOT IN (SELECT idx FROM m))", _BLOCKS, *_judge(oracle_rules.STAGES, rules), oracle_rules.MATCHES]
+    judged = [*whole, oracle_rules.JUDGED]
+    found = "SELECT a_id AS left_id, b_id AS right_id, score, 'stage2' AS phase, rule, classification FROM dec WHERE classification <> 'non_match'"
+    ordered = "SELECT DISTINCT least(left_id, right_id) AS left_id, greatest(left_id, right_id) AS right_id"
+    truth = "truth AS (SELECT x.record_id AS left_id, y.record_id AS right_id FROM r x JOIN r y ON x.person_id = y.person_id AND x.record_id < y.record_id)"
+    script = lambda x: f"regexp_matches({x}.name, '{CJK}')"
+    quoted = lambda c: f"'\"' || replace({c}, '\"', '\"\"') || '\"'"
+    return {
+        "rule_decisions": q("SELECT a_id AS a_record_id, b_id AS b_record_id, confidence, rule, score, classification, family_romanization, given_romanization, round(given_jw, 6) AS given_jw FROM dec", *persons),
+        "json_rule_decisions": q("SELECT rule, confidence, classification, count(*) AS n FROM dec GROUP BY ALL", _PARTS, *_judge(_PERSONS, oracle_rules.json_cascade(JSON_RULES))),
+        "block_matches": q(found, *blocks),
+        "missed_pairs": q(f"""SELECT CASE WHEN s.left_id IS NOT NULL THEN 'threshold' ELSE 'blocking' END AS reason, CASE WHEN {script('x')} <> {script('y')} THEN 'cross' WHEN {script('x')} THEN 'cjk' ELSE 'latin' END AS scripts,
+    count(*) AS pairs, count(*) FILTER (x.phone = y.phone) AS same_phone FROM truth t LEFT JOIN seen_pairs s USING (left_id, right_id) JOIN r x ON x.record_id = t.left_id JOIN r y ON y.record_id = t.right_id
+    WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.left_id = t.left_id AND f.right_id = t.right_id) GROUP BY 1, 2""", *blocks, truth, f"found AS ({ordered} FROM ({found}))", f"seen_pairs AS ({ordered} FROM (SELECT a_id AS left_id, b_id AS right_id FROM dec))"),
+        "match_summary": q("SELECT phase, rule, classification, count(*) AS n FROM matches GROUP BY ALL", *whole),
+        "matches": q("SELECT left_id, right_id, score, phase, rule, classification FROM matches", *whole),
+        "precision_by_phase": q("""SELECT phase, matches, correct, correct / matches AS precision FROM (SELECT phase, count(*) AS matches, count(*) FILTER (correct) AS correct FROM judged GROUP BY phase
+    UNION ALL SELECT 'TOTAL', count(*), count(*) FILTER (correct) FROM judged)""", *judged),
+        "confusion_counts": q(f"""SELECT tp, fp, fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0) AS f1
+    FROM (SELECT count(*) FILTER (p.left_id IS NOT NULL AND t.left_id IS NOT NULL) AS tp, count(*) FILTER (t.left_id IS NULL) AS fp, count(*) FILTER (p.left_id IS NULL) AS fn
+    FROM ({ordered} FROM matches WHERE classification = 'match') p FULL JOIN truth t ON p.left_id = t.left_id AND p.right_id = t.right_id)""", *whole, truth),
+        "match_export": q(f"""SELECT left_id, left_source, {quoted('left_name')} AS left_name, right_id, right_source, {quoted('right_name')} AS right_name, phase,
+    CASE score WHEN 1.0 THEN 'definite' WHEN 0.9 THEN 'high' WHEN 0.7 THEN 'medium' ELSE 'review' END AS confidence, rule, correct FROM judged""", *judged),
+        "score_tiers": q("SELECT score, count(*) AS matches, count(*) FILTER (correct) AS correct FROM judged GROUP BY score", *judged),
+        "entity_states": q("""SELECT CASE WHEN record_id IN (SELECT left_id FROM matches WHERE score >= 0.9 UNION SELECT right_id FROM matches WHERE score >= 0.9) THEN 'merged'
+    WHEN idx IN (SELECT idx FROM m UNION SELECT idx FROM assigned) THEN 'unresolved' ELSE 'singleton' END AS state, count(*) AS n FROM r GROUP BY 1""", *whole),
+        "final_clusters": q("""SELECT c.cluster_id, c.pass, count(*) AS size, CAST(sum(k.richness) + 10 * count(*) AS BIGINT) AS richness, c.attractor_idx, c.surname_key, c.phone_corroborated
+    FROM c JOIN (SELECT idx, cluster_id FROM m UNION ALL SELECT idx, cluster_id FROM assigned) x ON x.cluster_id = c.cluster_id JOIN k ON k.idx = x.idx GROUP BY c.cluster_id, c.pass, c.attractor_idx, c.surname_key, c.phone_corroborated""", *whole),
+        "match_clusters": q("""SELECT z.cluster_id, z.records, count(*) AS edges FROM (SELECT cluster_id, count(*) AS records FROM cl GROUP BY cluster_id) z JOIN cl ON cl.cluster_id = z.cluster_id
+    JOIN matches e ON e.left_id = cl.node JOIN cl o ON o.node = e.right_id AND o.cluster_id = cl.cluster_id GROUP BY z.cluster_id, z.records""", *whole,
+            "e2 AS (SELECT left_id AS a, right_id AS b FROM matches WHERE classification = 'match' UNION SELECT right_id, left_id FROM matches WHERE classification = 'match')",
+            "reach(node, other) AS (SELECT a, a FROM e2 UNION SELECT reach.node, e2.b FROM reach JOIN e2 ON reach.other = e2.a)",
+            "cl AS (SELECT node, min(other) AS cluster_id FROM reach GROUP BY node)"),
+    }
+
+
 def build() -> dict[str, str]:
     q = lambda final, *ctes: _with(*ctes, final=final)
     script = f"CASE WHEN regexp_matches(name, '{CJK}') AND NOT regexp_matches(name, '[A-Za-z]') THEN 'cjk' WHEN regexp_matches(name, '[A-Za-z]') AND NOT regexp_matches(name, '{CJK}') THEN 'latin' ELSE 'mixed' END"
@@ -167,4 +221,5 @@ SELECT lang, sum(len(list_filter(x, lambda v: list_contains(y, v))) / (len(x) +
         "connected_components": f"WITH RECURSIVE {_EDGES}, w(node, reach) AS (SELECT a, a FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.reach = e.a) SELECT node, min(reach) AS component FROM w GROUP BY node",
         "golden_most_complete": _golden({"name": "complete", "district": "complete", "phone": "complete"}),
         "golden_trusted_source": _golden({"name": "complete", "district": "trusted", "phone": "trusted"}),
+        **_matching(),
     }
