@@ -9,6 +9,7 @@ import json
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,14 +55,19 @@ def name_nodes(dictionaries: Dictionaries) -> Callable[..., Column]:
     state: dict[str, Callable] = {}
 
     @F.pandas_udf(NODES)
-    def run(fa: pd.Series, ga: pd.Series, fb: pd.Series, gb: pd.Series) -> pd.DataFrame:
+    def run(key: pd.Series, fa: pd.Series, ga: pd.Series, fb: pd.Series, gb: pd.Series) -> pd.DataFrame:
         if "f" not in state:
             state["f"] = make()
         some = lambda g: () if g is None else tuple(g)
-        rows = [state["f"](w if isinstance(w, str) else None, some(x), y if isinstance(y, str) else None, some(z)) for w, x, y, z in zip(fa, ga, fb, gb)]
-        return pd.DataFrame(rows, columns=_NODE_NAMES)
+        codes, _ = pd.factorize(key)  # equal pairs of names are compared once in a batch
+        _, first = np.unique(codes, return_index=True)
+        rows = [state["f"](w if isinstance(w, str) else None, some(x), y if isinstance(y, str) else None, some(z)) for w, x, y, z in zip(*(c.iloc[first] for c in (fa, ga, fb, gb)))]
+        return pd.DataFrame(rows, columns=_NODE_NAMES).take(codes).reset_index(drop=True)
 
-    return run
+    def column(fa: Column, ga: Column, fb: Column, gb: Column) -> Column:
+        return run(F.to_json(F.struct(fa.alias("a"), ga.alias("b"), fb.alias("c"), gb.alias("d"))), fa, ga, fb, gb)
+
+    return column
 
 
 _NODE_NAMES = [part.split(":")[0] for part in NODES[len("struct<") : -1].split(",")]

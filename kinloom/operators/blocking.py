@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BLOCK = 5000
@@ -52,11 +52,19 @@ def blocks(records: DataFrame, keys: Column, most: int | None = MAX_BLOCK) -> Da
 
 def candidate_pairs(rows: DataFrame, distinct: bool = True) -> DataFrame:
     """(block, a_idx, b_idx), a before b. A pair that shares several blocks stands once, under its first block, unless
-    ``distinct`` is off."""
+    ``distinct`` is off.
+
+    Each row carries all blocks of its record (a few), so a pair is kept where its first common block is, and the pairs
+    themselves are never shuffled.
+    """
     ids = rows.select("block", "idx").distinct()
-    a, b = ids.withColumnRenamed("idx", "a_idx"), ids.withColumnRenamed("idx", "b_idx")
-    pairs = a.join(b, "block").where("a_idx < b_idx")
-    return pairs.groupBy("a_idx", "b_idx").agg(F.min("block").alias("block")) if distinct else pairs
+    if not distinct:
+        a, b = ids.withColumnRenamed("idx", "a_idx"), ids.withColumnRenamed("idx", "b_idx")
+        return a.join(b, "block").where("a_idx < b_idx").select("a_idx", "b_idx", "block")
+    ids = ids.withColumn("blocks", F.collect_list("block").over(Window.partitionBy("idx")))
+    a, b = ids.toDF("block", "a_idx", "a_blocks"), ids.toDF("block", "b_idx", "b_blocks")
+    first = F.array_min(F.array_intersect("a_blocks", "b_blocks"))
+    return a.join(b, "block").where((F.col("a_idx") < F.col("b_idx")) & (first == F.col("block"))).select("a_idx", "b_idx", "block")
 
 
 def block_statistics(rows: DataFrame, most: int = MAX_BLOCK) -> DataFrame:

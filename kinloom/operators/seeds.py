@@ -27,19 +27,23 @@ def pass_key(name: str, use_phone: bool, use_district: bool) -> Column:
 def seed_members(prepared: DataFrame) -> DataFrame:
     """(idx, cluster_id, pass) of all records that a pass groups; the cluster is named by its smallest idx.
 
-    A pass sees only what earlier passes left. Group sizes come from a map-side count that is joined back, so a hot
-    name does not gather in one task, and the remainder that goes on shrinks from pass to pass. The rows are slim: an
-    id, the keys and two fields.
+    A pass sees only what earlier passes left. Group sizes come from a map-side count that is joined back, so a hot name
+    does not gather in one task. Rows without a key in a pass take no part in its join, they go on as they are. The rows
+    are slim: an id, the keys and two fields. Once fewer than two records are left the remaining passes are empty.
     """
     left = prepared.select("idx", "phone", "district", *(f"key_{k}" for k in ("exact", "s_t", "stripped", "romanized")))
     found = None
     for number, spec in enumerate(PASSES, 1):
         keyed = left.withColumn("_key", pass_key(*spec))
-        groups = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min("idx").alias("cluster_id"), F.count("*").alias("_n")).where("_n >= 2").drop("_n")
-        state = shelve(keyed.join(groups, "_key", "left").drop("_key"), f"pass{number}")
+        has, none = keyed.where("_key IS NOT NULL"), keyed.where("_key IS NULL").drop("_key")
+        groups = has.groupBy("_key").agg(F.min("idx").alias("cluster_id"), F.count("*").alias("size"))
+        state = has.join(groups, "_key").drop("_key").withColumn("cluster_id", F.when(F.col("size") >= 2, F.col("cluster_id"))).drop("size")
+        state = shelve(state.unionByName(none.withColumn("cluster_id", F.lit(None).cast("long"))), f"pass{number}", slim=True)
         hit = state.where("cluster_id IS NOT NULL").select("idx", "cluster_id", F.lit(number).alias("pass"))
         found = hit if found is None else found.union(hit)
         left = state.where("cluster_id IS NULL").drop("cluster_id")
+        if len(left.take(2)) < 2:
+            break
     return found
 
 

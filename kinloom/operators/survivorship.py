@@ -15,11 +15,8 @@ class MostComplete:
 
     name: str = "most_complete"
 
-    def best(self, row: Column, value: Column, position: Column, priority: Column) -> Column:
-        return F.max_by(row, F.struct(F.octet_length(value).alias("n"), position.alias("p")))
-
-    def eligible(self, value: Column, first_of_source: Column) -> Column:
-        return value != ""
+    def rank(self, value: Column, source: Column, position: Column, first_of_source: Column) -> Column:
+        return F.when(value != "", _rank(F.octet_length(value), position))
 
 
 @dataclass(frozen=True)
@@ -29,11 +26,13 @@ class MostTrustedSource:
     sources: tuple[str, ...]
     name: str = "most_trusted_source"
 
-    def best(self, row: Column, value: Column, position: Column, priority: Column) -> Column:
-        return F.min_by(row, priority)
+    def rank(self, value: Column, source: Column, position: Column, first_of_source: Column) -> Column:
+        place = F.coalesce(*(F.when(source == s, F.lit(-i)) for i, s in enumerate(self.sources)), F.lit(None).cast("int"))
+        return F.when(value.isNotNull() & first_of_source & place.isNotNull(), _rank(place, F.lit(0)))
+
 
-    def eligible(self, value: Column, first_of_source: Column) -> Column:
-        return value.isNotNull() & first_of_source
+def _rank(high: Column, low: Column) -> Column:
+    return F.struct(high.cast("long").alias("high"), low.cast("long").alias("low"))
 
 
 Rule = MostComplete | MostTrustedSource
@@ -43,26 +42,25 @@ def golden_records(members: DataFrame, fields: list[str], default: Rule, by_fiel
     """``members``: cluster_id, position, record_id, source and ``fields``. One row for each cluster and field that has
     a surviving value: cluster_id, field, value, source_record_id, source_system, rule.
 
-    Every field is one aggregation with a map-side part; no cluster is collected. The record and system are those of
-    the first member that holds the winning value.
+    All fields go through the same two aggregations, both with a map-side part: equal values of a cluster become one,
+    which knows its rank and its first holder, and the highest rank survives. The record and system are those of the
+    first member that holds the winning value.
     """
-    parts = []
-    firsts = members.groupBy("cluster_id", "source").agg(F.min("position").alias("position")).withColumn("_first", F.lit(True))
-    rows = members.join(firsts, ["cluster_id", "source", "position"], "left")
-    for field in fields:
-        rule = (by_field or {}).get(field, default)
-        order = {s: i for i, s in enumerate(getattr(rule, "sources", ()))}
-        priority = F.coalesce(*(F.when(F.col("source") == s, F.lit(i)) for s, i in order.items()), F.lit(None).cast("int")) if order else F.lit(0)
-        value, ok = F.col(field), rule.eligible(F.col(field), F.coalesce("_first", F.lit(False)))
-        some = rows.where(ok & (priority.isNotNull())).withColumn("_priority", priority)
-        won = some.groupBy("cluster_id").agg(rule.best(value, value, F.col("position"), F.col("_priority")).alias("value"))
-        first = rows.join(won.withColumnRenamed("value", "_won"), "cluster_id").where(value == F.col("_won"))
-        first = first.groupBy("cluster_id", F.col("_won").alias("value")).agg(F.min_by(F.struct("record_id", "source"), "position").alias("from"))
-        parts.append(first.select("cluster_id", F.lit(field).alias("field"), "value", F.col("from.record_id").alias("source_record_id"), F.col("from.source").alias("source_system"), F.lit(rule.name).alias("rule")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rules = {f: (by_field or {}).get(f, default) for f in fields}
+    rows = members
+    if any(isinstance(r, MostTrustedSource) for r in rules.values()):
+        firsts = members.groupBy("cluster_id", "source").agg(F.min("position").alias("position")).withColumn("_first", F.lit(True))
+        rows = members.join(firsts, ["cluster_id", "source", "position"], "left")
+    first = F.coalesce("_first", F.lit(False)) if "_first" in rows.columns else F.lit(False)
+    parts = [
+        F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), r.rank(F.col(f), F.col("source"), F.col("position"), first).alias("rank"), F.lit(r.name).alias("rule"))
+        for f, r in rules.items()
+    ]
+    rows = rows.select("cluster_id", "position", "record_id", "source", F.explode(F.array(*parts)).alias("p")).select("*", "p.*").where("value IS NOT NULL")
+    held = F.min_by(F.struct("record_id", "source"), "position").alias("from")
+    values = rows.groupBy("cluster_id", "field", "value", "rule").agg(F.max("rank").alias("rank"), held).where("rank IS NOT NULL")
+    won = values.groupBy("cluster_id", "field", "rule").agg(F.max_by(F.struct("value", "from"), "rank").alias("w"))
+    return won.select("cluster_id", "field", "w.value", F.col("w.from.record_id").alias("source_record_id"), F.col("w.from.source").alias("source_system"), "rule")
 
 
 def as_maps(golden: DataFrame) -> DataFrame:

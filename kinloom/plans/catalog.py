@@ -89,7 +89,7 @@ def cjk_name_stripped(spark, sf_dir):
 
 def hk_surnames(spark, sf_dir):
     first = F.get(text.words("name"), F.lit(0))
-    rows = _records(spark, sf_dir).where("source = 'billing'").select(first.alias("token"))
+    rows = _records(spark, sf_dir).where(~text.contains_cjk("name")).select(first.alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("n"), F.max(names.is_hk_surname("token")).alias("known"), F.max(names.surname_char("token")).alias("char"))
 
 
@@ -101,7 +101,7 @@ def synonym_pairs(spark, sf_dir):
 
 def jw_token_pairs(spark, sf_dir):
     """Jaro-Winkler of distinct Latin words that share their first letter."""
-    word = _records(spark, sf_dir).where("source IN ('billing', 'english')").select(F.explode(text.words(F.lower(F.translate("name", ",", " ")))).alias("a")).distinct()
+    word = _records(spark, sf_dir).where(~text.contains_cjk("name")).select(F.explode(text.words(F.lower(F.translate("name", ",", " ")))).alias("a")).distinct()
     pairs = word.join(word.withColumnRenamed("a", "b"), F.expr("left(a, 1) = left(b, 1) AND a < b"))
     return pairs.select("a", "b", F.round(udfs.jaro_winkler(F.col("a"), F.col("b")), 6).alias("score"))
 
@@ -207,10 +207,10 @@ def cluster_candidates(spark, sf_dir):
 
 
 def _person_pairs(prepared: DataFrame) -> DataFrame:
-    """Pairs of records of one person and of neighbours: billing against CRM of the same or the next person."""
-    a = nodes.side(prepared.where("source <> 'crm'"), "a", ("person_id",))
-    b = nodes.side(prepared.where("source = 'crm'"), "b", ("person_id",)).withColumn("a_person_id", F.explode(F.array(F.col("b_person_id"), F.col("b_person_id") + 1)))
-    return a.join(b, "a_person_id")
+    """All pairs of records of one person, and all pairs of a record with one of the next person."""
+    a = nodes.side(prepared, "a", ("person_id",))
+    b = nodes.side(prepared, "b", ("person_id",)).withColumn("a_person_id", F.explode(F.array(F.col("b_person_id"), F.col("b_person_id") + 1)))
+    return a.join(b, "a_person_id").where("a_person_id <> b_person_id OR a_idx < b_idx")
 
 
 def rule_decisions_native(spark, sf_dir):
@@ -238,19 +238,20 @@ def json_rule_decisions(spark, sf_dir):
     return found.groupBy("rule", "confidence", "classification").agg(F.count("*").alias("n"))
 
 
+def _name_pairs(spark, sf_dir):
+    """Distinct pairs of names that one person goes by."""
+    r = _records(spark, sf_dir).select("person_id", "idx", "name")
+    pairs = r.toDF("person_id", "i", "a").join(r.toDF("person_id", "j", "b"), "person_id").where("i < j")
+    return pairs.select(F.replace("a", F.lit("先生"), F.lit("")).alias("a"), F.replace("b", F.lit("先生"), F.lit("")).alias("b")).distinct()
+
+
 def name_signals(spark, sf_dir):
-    rows = _records(spark, sf_dir).select("name", "source", "person_id").where("source IN ('crm', 'legacy')")
-    a, b = rows.where("source = 'crm'").select("person_id", F.replace("name", F.lit("先生"), F.lit("")).alias("a")), rows.where("source = 'legacy'").select("person_id", F.col("name").alias("b"))
-    pairs = a.join(b, "person_id").select("a", "b").distinct()
-    found = pairs.select("a", "b", udfs.signals(_dictionaries(spark))(F.col("a"), F.col("b")).alias("s"))
+    found = _name_pairs(spark, sf_dir).select("a", "b", udfs.signals(_dictionaries(spark))(F.col("a"), F.col("b")).alias("s"))
     return found.select("a", "b", "s.*")
 
 
 def name_comparisons(spark, sf_dir):
-    rows = _records(spark, sf_dir).select("name", "source", "person_id")
-    a, b = rows.where("source = 'billing'").select("person_id", F.col("name").alias("a")), rows.where("source = 'english'").select("person_id", F.col("name").alias("b"))
-    pairs = a.join(b, "person_id").select("a", "b").distinct()
-    found = udfs.compare_names(pairs, _dictionaries(spark), "a", "b", "m")
+    found = udfs.compare_names(_name_pairs(spark, sf_dir), _dictionaries(spark), "a", "b", "m")
     return found.select("a", "b", "m.core_score", "m.combined", "m.synonym_applied", "m.explanation")
 
 
@@ -334,9 +335,9 @@ def top_surnames(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    """A graph on the keys of orders: each order links to another one, some form chains."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("bigint").alias("k"))
-    return o.where("k % 3 <> 0").select(F.col("k").alias("a"), (F.col("k") - F.col("k") % 64 + (F.col("k") * 7) % 64).alias("b"))
+    """All orders with their customers; a node is 2 key + (0 order, 1 customer)."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select((F.col("o_orderkey").cast("bigint") * 2).alias("a"), (F.col("o_custkey").cast("bigint") * 2 + 1).alias("b"))
 
 
 def connected_components(spark, sf_dir):

@@ -84,8 +84,8 @@ _BLOCKS = """b AS (SELECT idx, unnest(list_filter([
         CASE WHEN district IS NULL AND (phone IS NULL OR strlen(phone) < 4) THEN surname_key END], lambda x: x IS NOT NULL)) AS block FROM k WHERE surname_key <> '')"""
 _NEAR = "(a_phone = b_phone OR (strlen(a_phone) = strlen(b_phone) AND strlen(a_phone) >= 7 AND left(a_phone, 7) = left(b_phone, 7)))"
 _PERSON_PAIRS = """q AS (SELECT a.*, b.family AS b_family, b.given AS b_given, b.phone AS b_phone, b.district AS b_district FROM
-        (SELECT record_id, person_id, family, given, phone AS a_phone, district FROM p WHERE source <> 'crm') a
-        JOIN (SELECT *, unnest([person_id, person_id + 1]) AS other FROM p WHERE source = 'crm') b ON a.person_id = b.other)"""
+        (SELECT idx, person_id, family, given, phone AS a_phone, district FROM p) a
+        JOIN (SELECT *, unnest([person_id, person_id + 1]) AS other FROM p) b ON a.person_id = b.other WHERE a.person_id <> b.person_id OR a.idx < b.idx)"""
 _ENGLISH = _list(population.ENGLISH)
 _GROUPS = "[" + ", ".join(_list(g) for g in tables.SYNONYM_GROUPS) + "]"
 
@@ -120,12 +120,12 @@ def _golden(rule: dict[str, str]) -> str:
     return f"WITH r AS ({_RECORDS})\n" + "\nUNION ALL\n".join(out)
 
 
-_EDGES = "e0 AS (SELECT CAST(o_orderkey AS BIGINT) AS a, o_orderkey - o_orderkey % 64 + (o_orderkey * 7) % 64 AS b FROM orders WHERE o_orderkey % 3 <> 0), e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b)"
+_EDGES = "e0 AS (SELECT 2 * CAST(o_orderkey AS BIGINT) AS a, 2 * CAST(o_custkey AS BIGINT) + 1 AS b FROM orders), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0)"
 
 
 _CHARS = "".join(sorted({c for c in population.SURNAMES + population.GIVEN if re.match(CJK, c)}))
 _BLOCK_PAIRS = "f AS (SELECT * FROM b WHERE block IN (SELECT block FROM b GROUP BY block HAVING count(*) BETWEEN 2 AND 5000)), pairs AS (SELECT DISTINCT x.idx AS a_idx, y.idx AS b_idx FROM f x JOIN f y ON x.block = y.block AND x.idx < y.idx)"
-_PERSONS = "pairs AS (SELECT a.idx AS a_idx, b.idx AS b_idx FROM r a JOIN (SELECT idx, unnest([person_id, person_id + 1]) AS other FROM r WHERE source = 'crm') b ON a.person_id = b.other WHERE a.source <> 'crm')"
+_PERSONS = "pairs AS (SELECT a.idx AS a_idx, b.idx AS b_idx FROM r a JOIN (SELECT idx, person_id, unnest([person_id, person_id + 1]) AS other FROM r) b ON a.person_id = b.other WHERE a.person_id <> b.person_id OR a.idx < b.idx)"
 
 
 def _judge(pairs: str, decided: str) -> list[str]:
@@ -192,9 +192,9 @@ SELECT lang, sum(len(list_filter(x, lambda v: list_contains(y, v))) / (len(x) +
         "components_latin": q(components.format("latin"), _PARTS),
         "components_cjk": q(components.format("chinese"), _PARTS),
         "cjk_name_stripped": q(f"SELECT record_id, regexp_replace(name, '先生$', '') AS stripped, CAST(length(regexp_replace(name, '先生$', '')) AS INTEGER) AS n_chars FROM r WHERE regexp_matches(name, '{CJK}')"),
-        "hk_surnames": q(f"SELECT token, count(*) AS n, {_IS_HK('token')} AS known, {_SURNAME}[lower(token)] AS char FROM (SELECT split_part(name, ' ', 1) AS token FROM r WHERE source = 'billing') GROUP BY token"),
+        "hk_surnames": q(f"SELECT token, count(*) AS n, {_IS_HK('token')} AS known, {_SURNAME}[lower(token)] AS char FROM (SELECT split_part(name, ' ', 1) AS token FROM r WHERE NOT regexp_matches(name, '{CJK}')) GROUP BY token"),
         "synonym_pairs": f"WITH e AS (SELECT unnest({_ENGLISH}) AS a), g AS (SELECT unnest({_GROUPS}) AS names) SELECT DISTINCT x.a, y.a AS b FROM e x JOIN e y ON x.a < y.a JOIN g ON list_contains(names, lower(x.a)) AND list_contains(names, lower(y.a))",
-        "jw_token_pairs": q("SELECT x.a, y.a AS b, round(jaro_winkler_similarity(x.a, y.a), 6) AS score FROM w x JOIN w y ON left(x.a, 1) = left(y.a, 1) AND x.a < y.a", "w AS (SELECT DISTINCT unnest(list_filter(string_split(lower(replace(name, ',', ' ')), ' '), lambda x: x <> '')) AS a FROM r WHERE source IN ('billing', 'english'))"),
+        "jw_token_pairs": q("SELECT x.a, y.a AS b, round(jaro_winkler_similarity(x.a, y.a), 6) AS score FROM w x JOIN w y ON left(x.a, 1) = left(y.a, 1) AND x.a < y.a", f"w AS (SELECT DISTINCT unnest(list_filter(string_split(lower(replace(name, ',', ' ')), ' '), lambda x: x <> '')) AS a FROM r WHERE NOT regexp_matches(name, '{CJK}'))"),
         "address_scores": _address(),
         "st_normalized_names": q(f"SELECT {_translate('name')} AS simplified, count(*) AS n FROM r GROUP BY 1"),
         "surname_keys": q("SELECT surname_key, count(*) AS n, CAST(sum(richness) AS BIGINT) AS richness FROM k GROUP BY 1", _PARTS, _KEYS),
