@@ -21,9 +21,9 @@ fewer words the whole sequence is its one shingle. Two sets link when ``den * in
    of near copies becomes one component at once. Only buckets that still hold several components go on: there the
    members outside the largest component are compared with all others, in blocks. A pair inside one component needs
    no comparison. No pair that could join two components is left out, so components are exact; there is no cap.
-7. A comparison counts the shared tokens of both prefixes (by the upper half of their hashes, which can only count too
-   many) against the smaller l and bounds the overlap by parity bitmaps; what passes is verified on the whole sets.
-   Prefixes and bitmaps are a small part of the texts; texts are read again for pairs that pass, once a document.
+7. A comparison bounds the overlap by sizes and parity bitmaps, which are a small part of the texts. Texts are read
+   again for pairs that pass, once a document: there the shared tokens of both prefixes are counted, and only a pair
+   that shares as many as the smaller l asks for is verified on the whole sets.
 
 Null or empty text, or no words: an empty set, linked with nothing but rows of its own id. Rows that repeat an id are
 one node of the graph: they have one component, whatever their texts. A row without an id is a node of its own; it
@@ -50,7 +50,7 @@ HOT = 32
 MAX_HOT = 1 << 18
 TASK_HOT = 20_000
 SIZE_STEP = np.log(1.1)
-MAP = 1 << 13
+MAP = 1 << 12
 #: Members of a bucket that a task holds at once, and members that one copy of a pivot is compared with.
 BLOCK, STAR = 1024, 1 << 16
 #: What becomes of a row in a comparison, in the order in which the rows of a block come.
@@ -164,13 +164,12 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-INDEX = "id long, n long, a long, keys array<long>, front array<long>, level int, prefix binary, map binary"
+INDEX = "id long, n long, a long, keys array<long>, front array<long>, level int, map binary"
 
 
 def second_pass(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """Index of each representative: its size n, its hot tokens a, the tokens it is indexed by (keys), the hot tokens of
-    its plain prefix if no prefix is long enough for it (front, else none), its l (level), the upper halves of that prefix
-    if l is more than one (one shared token is what makes a candidate), and its bitmap."""
+    its plain prefix if no prefix is long enough for it (front, else none), its l (level) and its bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def make():
@@ -185,17 +184,16 @@ def second_pass(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             else:
                 keys, front = own[~warm], own[: n - need(n) + 1][warm[: n - need(n) + 1]]
                 level = max(1, n // 2 - (n - need(n)))
-            prefix = (own[: n - need(n) + level] >> np.uint64(32)).astype("<u4").tobytes() if level > 1 else b""
-            return keys.astype(np.int64), front.astype(np.int64), level, prefix, bitmap(own)
+            return keys.astype(np.int64), front.astype(np.int64), level, bitmap(own)
 
         def step(batch: pa.RecordBatch):
             for i, j, tokens, cuts in _sets(batch):
                 is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens if len(hot) else np.zeros(len(tokens), bool)
                 rows = [one(tokens[a:b], is_hot[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                keys, fronts, levels, prefixes, maps = zip(*rows)
+                keys, fronts, levels, maps = zip(*rows)
                 many = np.add.reduceat(np.append(is_hot, False).astype(np.int64), cuts[:-1]) * (np.diff(cuts) > 0)
                 columns = [batch.column("id").slice(i, j - i), pa.array(np.diff(cuts)), pa.array(many), _lists(keys), _lists(fronts)]
-                columns += [pa.array(levels, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())]
+                columns += [pa.array(levels, pa.int32()), pa.array(maps, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in INDEX.split(", ")])
 
         return step
@@ -252,15 +250,13 @@ def shared_tokens(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Mark:
-    """What is known of a set before it is verified."""
+    """What is known of a set before its text is read again: its size and its bitmap."""
 
-    def __init__(self, n: int, level: int, prefix: bytes, bits: bytes) -> None:
-        self.n, self.level, self.prefix = n, level, np.frombuffer(prefix, "<u4")
-        self.bits, self.size = int.from_bytes(bits, "little"), 8 * len(bits)
+    def __init__(self, n: int, bits: bytes) -> None:
+        self.n, self.bits, self.size = n, int.from_bytes(bits, "little"), 8 * len(bits)
 
     def may_link(self, other: Mark) -> bool:
-        """Whether two sets can link, by their sizes, the shared tokens of their prefixes and their bitmaps (the longer
-        one is folded)."""
+        """Whether two sets can link, by their sizes and bitmaps (the longer one is folded)."""
         n, m = self.n, other.n
         if not sizes_fit(n, m):
             return False
@@ -270,19 +266,21 @@ class Mark:
         while long > short:
             long //= 2
             x = (x >> long) ^ (x & ((1 << long) - 1))
-        if (n + m - (x ^ y).bit_count()) // 2 < both(n, m):
-            return False
-        least = min(self.level, other.level)
-        return least == 1 or shared_tokens(self.prefix, other.prefix) >= least
+        return (n + m - (x ^ y).bit_count()) // 2 >= both(n, m)
 
 
 class Whole:
-    """A whole set."""
+    """A whole set with its l."""
 
-    def __init__(self, tokens: bytes) -> None:
-        self.tokens = np.frombuffer(tokens, "<u8")
+    def __init__(self, tokens: bytes, level: int) -> None:
+        self.tokens, self.level = np.frombuffer(tokens, "<u8"), level
+        n = len(self.tokens)
+        self.prefix = self.tokens[: n - need(n) + level]
 
     def may_link(self, other: Whole) -> bool:
+        """Whether two sets link: first the shared tokens of their prefixes are counted, then those of the whole sets."""
+        if shared_tokens(self.prefix, other.prefix) < min(self.level, other.level):
+            return False
         n, m = len(self.tokens), len(other.tokens)
         shared = shared_tokens(self.tokens, other.tokens)
         return shared > 0 and DEN * shared >= NUM * (n + m - shared)
@@ -326,7 +324,7 @@ def stars(pairs: DataFrame, known: DataFrame, kind: type, columns: list[str]) ->
     return compare(members.unionByName(centres).withColumn("label", F.col("id")), known, kind, columns)
 
 
-MARKS = ["n", "level", "prefix", "map"]
+MARKS = ["n", "map"]
 
 
 def crossing(rows: DataFrame, marks: DataFrame, block: int) -> DataFrame:
@@ -368,10 +366,12 @@ def whole_sets(texts: DataFrame) -> DataFrame:
     return common.per_batch(texts, "id long, tokens binary", make)
 
 
-def links(close: DataFrame, docs: DataFrame) -> DataFrame:
+def links(close: DataFrame, docs: DataFrame, levels: DataFrame) -> DataFrame:
     """Those of ``close`` (pairs a, b; a table) that link, by their whole sets. Only texts that are in a pair are read."""
-    ids = shelve(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "close_ids", slim=True)
-    return stars(close, whole_sets(common.restrict(docs, "id", ids, "left_semi")), Whole, ["tokens"])
+    ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+    ids = shelve(ids.join(levels, "id"), "close_ids", slim=True)
+    sets = whole_sets(common.restrict(docs, "id", ids.select("id"), "left_semi")).join(ids, "id")
+    return stars(close, sets, Whole, ["tokens", "level"])
 
 
 def unique_ids(docs: DataFrame, id_col: str) -> bool:
@@ -428,7 +428,7 @@ def _indexed(docs: DataFrame, hot_from: int) -> tuple[DataFrame, ...]:
     index = shelve(second_pass(reps, hot).where("n > 0"), "index")
     plain = shelve(plain_buckets(index), "buckets", slim=True)
     hots = shelve(hot_buckets(index), "hot_buckets", slim=True)
-    return sets, classes, placed, plain, hots, index.select("id", *MARKS)
+    return sets, classes, placed, plain, hots, index.select("id", "level", *MARKS)
 
 
 def _members(plain: DataFrame, hots: DataFrame) -> DataFrame:
@@ -444,15 +444,16 @@ def _members(plain: DataFrame, hots: DataFrame) -> DataFrame:
 
 def _near_duplicates(docs: DataFrame, hot_from: int) -> DataFrame:
     """(id, n, component) of ``docs`` (id: long, unique, not null; text)."""
-    sets, classes, placed, plain, hots, marks = _indexed(docs, hot_from)
+    sets, classes, placed, plain, hots, index = _indexed(docs, hot_from)
+    marks, levels = index.drop("level"), index.select("id", "level")
     pairs = plain.unionByName(hots).where((F.col("id") != F.col("pivot")) & sizes_fit(F.col("n"), F.col("m")))
     pairs = pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    found = shelve(links(shelve(stars(pairs, marks, Mark, MARKS), "close", slim=True), docs), "links", slim=True)
+    found = shelve(links(shelve(stars(pairs, marks, Mark, MARKS), "close", slim=True), docs, levels), "links", slim=True)
     known = connected_components(found)
     # buckets that still hold several components; pairs with the pivot are done
     rows = _members(plain.where("id <> pivot"), hots)
     rows = rows.join(known, rows.id == known.node, "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
-    rest = shelve(links(shelve(crossing(shelve(rows, "labelled", slim=True), marks, BLOCK), "close", slim=True), docs), "links", slim=True)
+    rest = shelve(links(shelve(crossing(shelve(rows, "labelled", slim=True), marks, BLOCK), "close", slim=True), docs, levels), "links", slim=True)
     known = connected_components(found.union(rest)) if rest.head(1) else known
     named = classes.join(known, classes.rep == known.node, "left").select("rep", "size", F.coalesce("component", "rep").alias("component"))
     done = common.look_up(placed, shelve(named, "named", slim=True), ["rep"]).select("id", "n", "component")
@@ -470,10 +471,10 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", hot_from: int = HOT)
     if not unique_ids(rows, "id"):
         raise ValueError("links are between ids, so these must be there and unique")
     with small_batches(docs.sparkSession):
-        _, _, placed, plain, hots, marks = _indexed(rows, hot_from)
+        _, _, placed, plain, hots, index = _indexed(rows, hot_from)
         found = _members(plain, hots).withColumn("label", F.col("id"))
-        close = shelve(crossing(shelve(found, "labelled", slim=True), marks, BLOCK), "close", slim=True)
-        return shelve(links(close, rows), "links", slim=True), placed.select(F.col("id").alias(id_col), "rep")
+        close = shelve(crossing(shelve(found, "labelled", slim=True), index.drop("level"), BLOCK), "close", slim=True)
+        return shelve(links(close, rows, index.select("id", "level")), "links", slim=True), placed.select(F.col("id").alias(id_col), "rep")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

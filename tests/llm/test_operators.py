@@ -138,6 +138,83 @@ def test_language(spark):
     assert language.train(docs(spark, [])) is None and language.predict(docs(spark, ["abc"]), None, ["doc_id"]).first().lang_pred == "und"
 
 
+def test_language_scores_by_brute_force():
+    rng = np.random.default_rng(1)
+    model = language.Model(["a", "b", "c"], rng.normal(size=(language.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 0.7)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
+        return int(common.mix(np.array([(h + (len(gram) - 1 << 40)) % 2**64], np.uint64))[0] % language.BUCKETS)
+
+    for text in ["abc", "Été über x", "日本 語", "a" * 40]:
+        padded = f" {language.prepare(text)} " + " " * language.N_MAX
+        found = [bucket(padded[i : i + n]) for i in range(len(padded) - language.N_MAX) for n in range(1, language.N_MAX + 1)]
+        want = model.weights[found].astype(float).mean(axis=0) + model.bias
+        assert np.allclose(model.logits([language.prepare(text)])[0], want, atol=1e-5), text
+
+
+def test_toxicity_scores_by_brute_force():
+    weight = np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32)
+
+    def bucket(gram):
+        if len(gram) > toxicity.N_MAX:
+            codes = np.array([ord(c) for c in gram])
+            return int(common.range_hashes(codes, np.array([0]), np.array([len(codes)]))[0] % np.uint64(toxicity.BUCKETS))
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
+        return int(common.mix(np.array([h], np.uint64))[0] % toxicity.BUCKETS)
+
+    texts = [toxicity.prepare(t) for t in ["idiot", "An absolutely worthless, Été!", "", "a b  日本語の長い言葉です"]]
+    scores = toxicity.Model(weight, 0.3).scores(texts)
+    for text, score in zip(texts, scores):
+        words = [f" {w} " for w in text.split()]
+        grams = [w[i : i + n] for w in words for n in range(toxicity.N_MIN, toxicity.N_MAX + 1) for i in range(len(w) - n + 1)] + [w for w in words if len(w) > toxicity.N_MAX]
+        mean = np.mean([weight[bucket(g)] for g in grams]) if grams else 0.0
+        assert abs(score - 1 / (1 + np.exp(-(mean + 0.3)))) < 1e-5, text
+
+
+def test_quality_scores_by_brute_force():
+    rng = np.random.default_rng(3)
+    bags = quality.bags_of([" ".join(rng.choice(["a", "B!!", "ccc", "#$"], size=n)) for n in (0, 5, 64, 65, 200)])
+    model = quality.fit(bags, np.array([0, 1, 0, 1, 0]))
+    p = model.weights
+    for bag, score in zip(bags, model.scores(np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])]))):
+        codes, weights = [], []
+        for passage in bag:
+            h = np.tanh((passage - model.center) / model.scale @ p["W"] + p["b"])
+            codes.append(h)
+            weights.append(np.exp(float((np.tanh(h @ p["V"]) / (1 + np.exp(-h @ p["U"]))) @ p["w"])))
+        z = sum(w * h for w, h in zip(weights, codes)) / sum(weights)
+        assert abs(score - 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))) < 1e-9
+
+
+@pytest.mark.parametrize("sf, precision, recall, right", [("sf0.01", 0.6, 0.5, 0.97), ("sf0.1", 0.8, 0.87, 0.99)])
+def test_held_out_accuracy(sf, precision, recall, right):
+    import duckdb
+
+    def rows(label):
+        both = f"'/root/testdata/{sf}/labels.parquet' JOIN '/root/testdata/{sf}/documents.parquet' USING (doc_id)"
+        found = duckdb.sql(f"SELECT doc_id, text, {label} FROM {both} WHERE text IS NOT NULL AND {label} IS NOT NULL ORDER BY doc_id").fetchall()
+        held = np.array([zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in found])
+        return [r[1] for r in found], np.array([r[2] for r in found]), held
+
+    texts, y, held = rows("toxic")
+    texts = [toxicity.prepare(t) for t in texts]
+    model = toxicity.fit([t for t, h in zip(texts, held) if not h], y[~held])
+    said = model.scores([t for t, h in zip(texts, held) if h]) >= toxicity.THRESHOLD
+    hits = (said & (y[held] == 1)).sum()
+    assert hits >= precision * said.sum() and hits >= recall * (y[held] == 1).sum()
+    texts, y, held = rows("quality")
+    bags = quality.bags_of(texts)
+    model = quality.fit([b for b, h in zip(bags, held) if not h], y[~held])
+    mine = [b for b, h in zip(bags, held) if h]
+    said = model.scores(np.concatenate(mine), np.concatenate([[0], np.cumsum([len(b) for b in mine])])) >= quality.THRESHOLD
+    assert (said == (y[held] == 1)).mean() >= right
+
+
 def test_ftrl_is_sparse_and_temperature_calibrates():
     random.seed(4)
     rows = [(np.array([i % 3, 3 + random.randrange(500), language.BUCKETS]), np.array([1.0, 1.0, 1.0])) for i in range(300)]
@@ -161,8 +238,9 @@ def test_toxicity_learns_misspellings():
 
 def test_bags_hold_word_ngrams_with_borders():
     found, starts = toxicity.bag(["ab cde", ""])
-    grams = {f" {w} "[i : i + n] for w in ("ab", "cde") for n in range(3, 7) for i in range(len(w) + 3 - n)}
+    grams = {f" {w} "[i : i + n] for w in ("ab", "cde") for n in range(3, 9) for i in range(len(w) + 3 - n)}
     assert starts[1] == len(grams) and starts[2] == starts[1]
+    assert len(toxicity.bag(["abcdefgh"])[0]) == sum(11 - n for n in range(3, 9)) + 1  # and the word as a whole
 
 
 def test_classifier_queries(spark):
@@ -357,6 +435,33 @@ def test_quality_rules(spark):
     assert (long.n_covered, long.longest_repeat, long.kept) == (9000, 8999, False)
 
 
+def test_the_method_decides_what_the_base_rules_keep(spark):
+    random.seed(15)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
+    unique = lambda n: [word() for _ in range(n)]
+    texts = []
+    for block, rest in [(0, 80), (7, 90), (8, 90), (20, 100), (20, 25), (30, 40), (30, 62), (60, 300), (201, 1500), (200, 1500), (199, 1500)] + [(random.randint(5, 40), random.randint(30, 120)) for _ in range(60)]:
+        b, r = unique(block), unique(rest)
+        texts.append(" ".join([*r[: rest // 2], *b, *r[rest // 2 :], *b]))
+    verdicts = Counter()
+    found = {r.doc_id: r for r in repetition.rules(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        n, *_, repeated, covered, longest = brute_repetition(t)
+        base = n < 50 or 100 * repeated > 50 * n
+        assert (found[i].base_failed, found[i].kept) == (base, not base and covered <= repetition.MAX_COVERED * n and longest <= repetition.MAX_REPEAT), t
+        verdicts[base, found[i].kept] += 1
+    assert verdicts[False, False] > 5 and verdicts[False, True] > 5 and verdicts[True, False] > 5
+
+
+def test_long_texts_give_the_same_repeats(monkeypatch):
+    random.seed(16)
+    texts = [" ".join(random.choices(["a", "b", "cc", "d"][: random.randint(1, 4)], k=random.randint(0, 60))) for _ in range(80)]
+    whole = repetition.measure(*common.text_bytes(pa.array(texts)), texts)
+    monkeypatch.setattr(repetition, "MANY", 0)
+    alone = repetition.measure(*common.text_bytes(pa.array(texts)), texts)
+    assert all((whole[f] == alone[f]).all() for f in repetition.FIELDS)
+
+
 # Jaccard join
 
 
@@ -449,7 +554,8 @@ def test_marks_never_rule_out_a_link(spark, share):
     tokens, cuts = jaccard.shingles(*common.text_bytes(pa.array(texts)))
     hot = np.array([t for t in np.unique(tokens) if random.random() < share], np.uint64)
     found = jaccard.second_pass(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), hot).collect()
-    marks = {r.id: jaccard.Mark(r.n, r.level, bytes(r.prefix), bytes(r.map)) for r in found}
+    marks = {r.id: jaccard.Mark(r.n, bytes(r.map)) for r in found}
+    whole = {r.id: jaccard.Whole(tokens[cuts[r.id] : cuts[r.id + 1]].tobytes(), r.level) for r in found}
     linked = 0
     for i in range(len(texts)):
         for j in range(i):
@@ -457,7 +563,8 @@ def test_marks_never_rule_out_a_link(spark, share):
             if 100 * len(x & y) >= 75 * len(x | y):
                 linked += 1
                 assert marks[i].may_link(marks[j]) and marks[j].may_link(marks[i])
-    assert linked > 10 and (share < 0.5 or max(m.level for m in marks.values()) > 1)
+            assert whole[i].may_link(whole[j]) == whole[j].may_link(whole[i]) == (100 * len(x & y) >= 75 * len(x | y))
+    assert linked > 10 and (share < 0.5 or max(w.level for w in whole.values()) > 1)
 
 
 def brute_rows(rows):
