@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kinloom.llm import common, sampling
 
 N_MIN, N_MAX = 3, 8
-BUCKETS, DIM = 1 << 17, 4
+BUCKETS, DIM = 1 << 18, 4
 SAMPLE = 4000
 EPOCHS, BATCH, RATES, OUT_RATE, BIAS_RATE = 6, 32, (0.002, 0.4), 1.0, 0.3
 #: Texts that an n-gram must occur in.
@@ -173,7 +173,7 @@ def _learn(bags: Bags, rows: np.ndarray, y: np.ndarray, rate: float, seed: int)
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope and shift of the line that makes ``y`` likeliest given margins, and the loss; by Newton steps.
+    """Slope and shift of the line that makes ``y`` likeliest given margins, by Newton steps, and the F1 at ``THRESHOLD``.
 
     A weak pull towards slope 1 and shift 0 keeps both finite where the margins tell the classes apart without fault.
     """
@@ -183,8 +183,8 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
         pull = 0.5 * (line - [1.0, 0.0])
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2), x.T @ (p - y) + pull)
         line = line - np.clip(step, -1, 1)
-    p = 1 / (1 + np.exp(-np.clip(x @ line, -40, 40)))
-    return max(float(line[0]), 0.05), float(line[1]), float(-np.log(np.where(y == 1, p, 1 - p) + 1e-12).mean())
+    said = 1 / (1 + np.exp(-np.clip(x @ line, -40, 40))) >= THRESHOLD
+    return max(float(line[0]), 0.05), float(line[1]), float(2 * (said & (y == 1)).sum() / max(said.sum() + (y == 1).sum(), 1))
 
 
 def fit(texts: list[str], y: np.ndarray, seed: int = 11) -> Model | None:
@@ -198,8 +198,8 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 11) -> Model | None:
         rest, tried = np.setdiff1d(every, kept), []
         for rate in RATES:
             weight, bias = _learn(bags, rest, y, rate, seed)
-            slope, shift, loss = calibrate(bags.means(kept, weight) + bias, y[kept])
-            tried.append((loss, rate, slope, shift))
+            slope, shift, f1 = calibrate(bags.means(kept, weight) + bias, y[kept])
+            tried.append((-f1, rate, slope, shift))
         _, best, *line = min(tried)
     weight, bias = _learn(bags, every, y, best, seed)
     return Model(weight * line[0], bias * line[0] + line[1])
