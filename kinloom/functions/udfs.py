@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinloom.functions import kernels, names, text
+from kinloom.functions import kernels, names, scalars, text
 from kinloom.functions.dictionaries import Dictionaries
 
 KEPT = 200_000
@@ -122,22 +122,45 @@ def compare_addresses(a: Column, b: Column) -> Column:
     return F.when(bad, F.to_json(F.struct(F.lit("not an address").alias("error")))).otherwise(good)
 
 
-def register(spark: SparkSession, dictionaries: Dictionaries) -> list[str]:
-    """Make the scalar functions callable from SQL; returns their names."""
+def _rowwise(function: Callable, kind: T.DataType, n: int):
+    """A SQL function of ``n`` columns; null where any is null."""
+    number = isinstance(kind, T.DoubleType)
+
+    def apply(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None or x != x for x in row) else function(*row) for row in zip(*columns)], dtype=float if number else object)
+
+    # Arrow UDFs are told apart by their signature
+    wrapped = {1: lambda a: apply(a), 2: lambda a, b: apply(a, b), 3: lambda a, b, c: apply(a, b, c), 4: lambda a, b, c, d: apply(a, b, c, d)}[n]
+    wrapped.__annotations__ = dict.fromkeys("abcd"[:n], pd.Series) | {"return": pd.Series}
+    return F.pandas_udf(wrapped, kind)
+
+
+def parsed_name_score(dictionaries: Dictionaries, use_synonyms: bool = True) -> Callable[[Column, Column], Column]:
+    """Score of two parsed Latin names (``names.parse_name``): token by token, synonyms count 1 if asked."""
     comparer = kernels.Comparer(dictionaries)
 
-    def signals_json(a: pd.Series, b: pd.Series, strategy: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(kernels.as_dict(comparer.signals(x or "", y or "", s or "max")), ensure_ascii=False) for x, y, s in zip(a, b, strategy)], dtype=object)
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else comparer.parsed_names(list(x), list(y), use_synonyms) for x, y in zip(a, b)], dtype=float)
+
+    return lambda a, b: run(a["tokens"], b["tokens"])
 
-    def match_json(a: pd.Series, b: pd.Series, use: pd.Series, penalty: pd.Series) -> pd.Series:
-        rows = zip(a, b, use, penalty)
-        return pd.Series([json.dumps(comparer.names(json.loads(x), json.loads(y), bool(u), float(p)), ensure_ascii=False) for x, y, u, p in rows], dtype=object)
 
-    spark.udf.register("compare_cjk", F.pandas_udf(signals_json, "string"))
-    spark.udf.register("compare_components", F.pandas_udf(match_json, "string"))
-    spark.udf.register("jaro_winkler", jaro_winkler)
-    spark.udf.register("compare_jaro_winkler", jaro_winkler_plain)
-    spark.udf.register("lcs_length", lcs)
+def register(spark: SparkSession, dictionaries: Dictionaries) -> list[str]:
+    """Make the scalar functions callable from SQL; returns their names. A null argument gives null."""
+    comparer, text_, number = kernels.Comparer(dictionaries), T.StringType(), T.DoubleType()
+    dump = lambda value: json.dumps(value, ensure_ascii=False)
+    functions = {
+        "compare_cjk": _rowwise(lambda a, b, strategy: dump(kernels.as_dict(comparer.signals(a, b, strategy))), text_, 3),
+        "compare_cjk_ngram": _rowwise(scalars.ngram_similarity, number, 2),
+        "parse_name": _rowwise(scalars.parse_name, text_, 1),
+        "compare_names": _rowwise(lambda a, b, use, penalty: scalars.compare_names(comparer, a, b, bool(use), float(penalty)), text_, 4),
+        "compare_components": _rowwise(lambda a, b, use, penalty: dump(comparer.names(json.loads(a), json.loads(b), bool(use), float(penalty))), text_, 4),
+        "compare_addresses": _rowwise(scalars.compare_addresses, text_, 2),
+        "jaro_winkler": jaro_winkler, "compare_jaro_winkler": jaro_winkler_plain, "lcs_length": lcs,
+    }
+    for name, function in functions.items():
+        spark.udf.register(name, function)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION compare_exact(a STRING, b STRING) RETURNS DOUBLE RETURN CAST(lower(array_join(filter(split(a, '\\\\s+'), x -> x <> ''), ' ')) = lower(array_join(filter(split(b, '\\\\s+'), x -> x <> ''), ' ')) AS DOUBLE)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION has_cjk(s STRING) RETURNS BOOLEAN RETURN s RLIKE '[\\\\u4E00-\\\\u9FFF\\\\u3400-\\\\u4DBF\\\\uF900-\\\\uFAFF]'")
-    return ["compare_cjk", "compare_components", "jaro_winkler", "compare_jaro_winkler", "lcs_length", "compare_exact", "has_cjk"]
+    return [*functions, "compare_exact", "has_cjk"]

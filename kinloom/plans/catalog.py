@@ -255,6 +255,28 @@ def name_comparisons(spark, sf_dir):
     return found.select("a", "b", "m.core_score", "m.combined", "m.synonym_applied", "m.explanation")
 
 
+def sql_parsed_names(spark, sf_dir):
+    """``parse_name`` called from SQL on every name."""
+    udfs.register(spark, _dictionaries(spark))
+    rows = _records(spark, sf_dir).select("record_id", F.expr("from_json(parse_name(name), 'language string, family string, given array<string>, honorific string')").alias("p"))
+    return rows.select("record_id", F.lower("p.language").alias("language"), "p.family", F.array_join("p.given", "/").alias("given"), F.coalesce("p.honorific", F.lit("")).alias("honorific"))
+
+
+def sql_ngram_similarities(spark, sf_dir):
+    """``compare_cjk_ngram`` called from SQL on all pairs of names that one person goes by."""
+    udfs.register(spark, _dictionaries(spark))
+    return _name_pairs(spark, sf_dir).select("a", "b", F.expr("round(compare_cjk_ngram(a, b), 6)").alias("score"))
+
+
+def sql_address_scores(spark, sf_dir):
+    """``compare_addresses`` called from SQL on JSON addresses."""
+    udfs.register(spark, _dictionaries(spark))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("k"))
+    a, b = (F.to_json(F.struct(F.lit("x").alias("raw"), *(F.expr(e.format(k=k)).alias(f) for f, e in _ADDRESS.items()))) for k in ("k", "(3 * k + 1)"))
+    rows = c.select("k", a.alias("a"), b.alias("b"))
+    return rows.select("k", F.expr("round(CAST(get_json_object(compare_addresses(a, b), '$.score') AS DOUBLE), 6)").alias("score"))
+
+
 # The whole ---------------------------------------------------------------------------------------------------------
 
 
@@ -395,7 +417,7 @@ QUERIES = {
         records, script_profile, language_profile, ngram_counts, document_ngrams, normalised_names, name_tokens_latin, components_latin, components_cjk,
         cjk_name_stripped, hk_surnames, synonym_pairs, jw_token_pairs, address_scores, st_normalized_names, surname_keys, name_keys, richness, phone_nodes,
         phase1_pass_counts, seed_clusters, seed_membership, cluster_sizes, unconsumed, block_sizes, block_statistics, candidate_pairs, first_char_blocks,
-        cluster_candidates, rule_decisions_native, rule_decisions, json_rule_decisions, name_signals, name_comparisons, match_summary, matches,
+        cluster_candidates, rule_decisions_native, rule_decisions, json_rule_decisions, name_signals, name_comparisons, sql_parsed_names, sql_ngram_similarities, sql_address_scores, match_summary, matches,
         precision_by_phase, confusion_counts, match_export, entity_states, collision_routing, truth_pairs, truth_groups, top_surnames, connected_components, linked_components,
         final_clusters, match_clusters, score_tiers, block_matches, missed_pairs,
         golden_most_complete, golden_trusted_source, rule_support, induced_rules,

@@ -196,6 +196,11 @@ SELECT lang, sum(len(list_filter(x, lambda v: list_contains(y, v))) / (len(x) +
         "synonym_pairs": f"WITH e AS (SELECT unnest({_ENGLISH}) AS a), g AS (SELECT unnest({_GROUPS}) AS names) SELECT DISTINCT x.a, y.a AS b FROM e x JOIN e y ON x.a < y.a JOIN g ON list_contains(names, lower(x.a)) AND list_contains(names, lower(y.a))",
         "jw_token_pairs": q("SELECT x.a, y.a AS b, round(jaro_winkler_similarity(x.a, y.a), 6) AS score FROM w x JOIN w y ON left(x.a, 1) = left(y.a, 1) AND x.a < y.a", f"w AS (SELECT DISTINCT unnest(list_filter(string_split(lower(replace(name, ',', ' ')), ' '), lambda x: x <> '')) AS a FROM r WHERE NOT regexp_matches(name, '{CJK}'))"),
         "address_scores": _address(),
+        "sql_address_scores": _address(),
+        "sql_parsed_names": q("SELECT record_id, language, family, array_to_string(given, '/') AS given, honorific FROM p", _PARTS),
+        "sql_ngram_similarities": q("""SELECT a, b, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_filter(x, lambda g: list_contains(y, g))) / (len(x) + len(y) - len(list_filter(x, lambda g: list_contains(y, g)))) END::DOUBLE, 6) AS score FROM grams""",
+            """names AS (SELECT DISTINCT replace(s.name, '先生', '') AS a, replace(t.name, '先生', '') AS b FROM r s JOIN r t ON s.person_id = t.person_id AND s.idx < t.idx)""",
+            """grams AS (SELECT a, b, list_transform(range(1, length(replace(a, ' ', ''))), lambda i: substring(replace(a, ' ', ''), i, 2)) AS x, list_transform(range(1, length(replace(b, ' ', ''))), lambda i: substring(replace(b, ' ', ''), i, 2)) AS y FROM names)"""),
         "st_normalized_names": q(f"SELECT {_translate('name')} AS simplified, count(*) AS n FROM r GROUP BY 1"),
         "surname_keys": q("SELECT surname_key, count(*) AS n, CAST(sum(richness) AS BIGINT) AS richness FROM k GROUP BY 1", _PARTS, _KEYS),
         "name_keys": q("SELECT record_id, key_exact, key_s_t, key_stripped, key_romanized FROM k", _PARTS, _KEYS),

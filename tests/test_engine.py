@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from kinloom.functions import udfs
+from kinloom.functions import names, text, udfs
 from kinloom.operators import blocking, induce, matching, nodes, rules, seeds, survivorship
 from kinloom.operators.components import connected_components
 from kinloom.operators.prepare import prepare
@@ -202,6 +202,52 @@ def test_sql_functions(spark, dictionaries):
     assert out[0] == {"score": 1.0} and "error" in out[1] and "error" in out[2]
 
 
+def test_sql_functions_agree_with_columns(spark, dictionaries):
+    udfs.register(spark, dictionaries)
+    raw = ["陳大文先生", "CHAN Tai Man, Peter", "Dr. Peter Q. Chan Jr.", "小明", "司徒 美玲", "山田たろうさん", "김철수씨", "", "  ", "Chan", "Mr", "阿", "Au-Yeung Wing", "Szeto, Bob. X", "王先生", "先生", "Mary-Jane O'Neil PhD MBA", "陳 David"]
+    rows = spark.createDataFrame([(r,) for r in raw], "name string")
+    found = names.with_components(rows).withColumn("j", F.expr("parse_name(name)")).collect()
+    for r in found:
+        got = json.loads(r.j)
+        assert (got["language"].lower(), got["family"], got["given"], got["title"], got["suffix"], got["prefix"], got["honorific"]) == (r.language, r.family, list(r.given), r.title, r.suffix, r.prefix, r.honorific), r.name
+    pairs = rows.crossJoin(rows.withColumnRenamed("name", "other"))
+    for r in pairs.select("name", "other", text.ngram_similarity("name", "other").alias("n"), F.expr("compare_cjk_ngram(name, other)").alias("s")).collect():
+        assert abs(r.n - r.s) < 1e-12, (r.name, r.other)
+    one = json.loads(spark.sql("SELECT compare_names('Dr. Bob Smith', 'Robert Smith', true, 0.02) AS j").first().j)
+    assert one["left"]["title"] == "Dr" and one["result"]["synonym_applied"] and one["result"]["core_score"] == 0.99
+    two = json.loads(spark.sql("""SELECT compare_addresses('{"raw":"x","flat":"A","floor":"1"}', '{"raw":"y","flat":"A","floor":"2"}') AS j""").first().j)
+    assert abs(two["score"] - 0.25 / 0.45) < 1e-9 and two["a"]["flat"] == "A" and two["b"]["district"] is None
+    assert "error" in json.loads(spark.sql("SELECT compare_addresses('{', '{}') AS j").first().j)
+    nulls = spark.sql("SELECT parse_name(NULL) AS a, compare_names(NULL, 'x', true, 0.0) AS b, compare_components(NULL, '{}', true, 0.0) AS c, compare_cjk_ngram('a', NULL) AS d, compare_addresses(NULL, NULL) AS e, compare_cjk(NULL, 'x', 'max') AS f").first()
+    assert all(x is None for x in nulls)
+    parsed = spark.createDataFrame([("Dr Bob Smith", "Robert Smith"), ("Ann Lee", "Ann Marie Lee")], "a string, b string")
+    score = udfs.parsed_name_score(dictionaries)(names.parse_name("a"), names.parse_name("b"))
+    assert [round(x[0], 3) for x in parsed.select(score).collect()][0] == 1.0
+
+
+def test_labels_of_the_cascade(spark):
+    base = dict.fromkeys(["family_exact", "family_st", "family_romanization", "given_exact", "given_st", "given_synonym", "given_romanization", "given_partial", "given_missing", "phone_match", "email_match", "any_corroboration", "title_match", "suffix_match"], False)
+    base |= {"given_jw": 0.0, "given_bigram_jaccard": 0.0, "given_char_lcs": 0.0}
+    cases = [
+        (dict(family_exact=True, given_exact=True), "R1: family exact + given exact"), (dict(family_st=True, given_st=True), "R2: family S↔T + given S↔T"),
+        (dict(family_exact=True, given_synonym=True), "R3: family exact + given synonym"), (dict(family_st=True, phone_match=True, given_jw=0.9), "R3d: family + phone + given signal"),
+        (dict(family_exact=True, email_match=True), "R3e: family match + email match"), (dict(family_exact=True, given_bigram_jaccard=1.0), "R3b: family match + CJK given bigram exact (J=1.00)"),
+        (dict(family_exact=True, given_char_lcs=0.625, any_corroboration=True), "R3c: family match + CJK given LCS 62% + corroborated"),
+        (dict(family_exact=True, given_romanization=True, any_corroboration=True), "R4: family match + given romanization + corroborated"),
+        (dict(family_exact=True, given_romanization=True), "R4: family match + given romanization (uncorroborated)"),
+        (dict(family_romanization=True, given_exact=True), "R5: family romanization + given exact (uncorroborated)"),
+        (dict(family_exact=True, given_bigram_jaccard=0.625), "R6b: family match + given bigram J 0.62 (uncorroborated)"),
+        (dict(family_exact=True, given_partial=True), "R8: family match + given partial (uncorroborated)"),
+        (dict(family_exact=True, given_missing=True), "R9: family match + given missing (uncorroborated — insufficient)"),
+        (dict(family_exact=True, given_missing=True, any_corroboration=True), "R9: family match + given missing + corroborated"),
+        (dict(family_exact=True, title_match=True, any_corroboration=True), "R10: family match + title/suffix + corroborated"),
+        (dict(family_exact=True, suffix_match=True), "R10: family match + title/suffix only (insufficient)"), ({}, "no rule matched"),
+    ]
+    schema = ", ".join(f"{k} {'double' if isinstance(v, float) else 'boolean'}" for k, v in base.items())
+    rows = spark.createDataFrame([tuple((base | given).values()) for given, _ in cases], schema).coalesce(1)
+    assert [r.rule for r in rules.decide(rows).collect()] == [label for _, label in cases]
+
+
 def test_command_line(spark, tmp_path):
     from kinloom.__main__ import main
 
