@@ -210,7 +210,27 @@ def rules(docs: DataFrame, *, least: int = LEAST, max_covered: float = MAX_COVER
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     found = rules(common.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *FIELDS[:5], "base_failed", "kept", "n_covered", "longest_repeat")
-
-
-SQL: dict[str, str] = {}
+    return found.select("doc_id", *FIELDS[:5], "base_failed", "kept", "n_covered", (F.col("longest_repeat") > MAX_REPEAT).alias("too_long"))
+
+
+def _twice(k: int) -> str:
+    """Windows of k words with how often their text holds them."""
+    return f"""(SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, hash(array_to_string(ws[i:i + {k - 1}], ' ')) AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w WHERE len(ws) >= {k})))"""
+
+
+SQL = {
+    "op9_quality_rules": f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+three AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM {_twice(3)} WHERE c > 1) GROUP BY doc_id),
+eight AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {LEAST})) AS p FROM {_twice(LEAST)} WHERE c > 1) GROUP BY doc_id),
+long AS (SELECT DISTINCT doc_id FROM {_twice(MAX_REPEAT + 1)} WHERE c > 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(three.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(eight.n, 0) AS BIGINT) AS n_covered, long.doc_id IS NOT NULL AS too_long
+    FROM w LEFT JOIN three USING (doc_id) LEFT JOIN eight USING (doc_id) LEFT JOIN long USING (doc_id) LEFT JOIN lines USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT too_long AND n_covered <= {MAX_COVERED}::DOUBLE * n_words AS kept FROM b
+""",
+}
