@@ -8,7 +8,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.functions.dictionaries import from_icu
+from kinloom.functions.dictionaries import from_files, from_icu
 from kinloom.operators import induce, matching, metrics, nodes
 from kinloom.operators.prepare import prepare
 from kinloom.plans.resolve import resolve
@@ -26,7 +26,7 @@ def run_resolve(spark: SparkSession, a: argparse.Namespace) -> None:
     began = time.perf_counter()
     rows = shelve(records.read_records(spark, a.csv), "records")
     rules = records.read_rules(a.rules) if a.rules else None
-    found = resolve(rows, from_icu(spark), rules)
+    found = resolve(rows, _dictionaries(spark, a), rules, a.job)
     took = time.perf_counter() - began
     n = {r["phase"]: r["n"] for r in found.matches.groupBy("phase").agg(F.count("*").alias("n")).collect()}
     stats = results.statistics(spark, [("phase1", found.members.count(), 0, 0, 0.0), *((p, 0, 0, k, 0.0) for p, k in sorted(n.items())), ("total", rows.count(), 0, sum(n.values()), took)])
@@ -36,6 +36,10 @@ def run_resolve(spark: SparkSession, a: argparse.Namespace) -> None:
     metrics.precision_by_phase(judged).orderBy("phase").show(truncate=False)
 
 
+def _dictionaries(spark: SparkSession, a: argparse.Namespace):
+    return from_files(from_icu(spark), strokes=a.strokes, simplified=a.simplified, traditional=a.traditional, jyutping=a.jyutping)
+
+
 def run_match(spark: SparkSession, a: argparse.Namespace) -> None:
     """Match all records in blocks, without seed clusters; a pair is judged once."""
     d = from_icu(spark)
@@ -68,7 +72,7 @@ def main(argv: list[str] | None = None) -> None:
     commands = parser.add_subparsers(required=True)
     for name, run, options in (
         ("generate", generate, [("persons", {"type": int}), ("out", {}), ("--seed", {"type": int, "default": 42})]),
-        ("resolve", run_resolve, [("csv", {}), ("out", {}), ("--rules", {})]),
+        ("resolve", run_resolve, [("csv", {}), ("out", {}), ("--rules", {}), ("--job", {"help": "folder in which a broken run is taken up again"}), ("--strokes", {}), ("--simplified", {}), ("--traditional", {}), ("--jyutping", {})]),
         ("match", run_match, [("csv", {}), ("out", {}), ("--rules", {})]),
         ("induce", run_induce, [("csv", {}), ("out", {}), ("--sample", {"type": int}), ("--negatives", {"type": int, "default": 10000}), ("--mode", {"default": "performance", "choices": ["performance", "audit", "by-phase"]})]),
     ):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
 
@@ -84,3 +84,14 @@ def load_romanisations(path: str) -> dict[str, list[str]]:
 
 def char_matches_romanisation(char: str, word: str, romanisations: dict[str, list[str]]) -> bool:
     return word.lower() in romanisations.get(char, ())
+
+
+def from_files(base: Dictionaries, *, strokes: str | None = None, simplified: str | None = None, traditional: str | None = None, jyutping: str | None = None) -> Dictionaries:
+    """``base`` with the entries of dictionary files, which win over its own."""
+    return replace(
+        base,
+        strokes=base.strokes | (load_strokes(strokes) if strokes else {}),
+        to_simplified=base.to_simplified | (load_variants(simplified) if simplified else {}),
+        to_traditional=base.to_traditional | (load_variants(traditional) if traditional else {}),
+        jyutping=base.jyutping | (load_jyutping(jyutping) if jyutping else {}),
+    )

@@ -99,8 +99,9 @@ def compound_surname(s: Column | str) -> Column:
 
 def is_hk_surname(token: Column | str) -> Column:
     low = F.lower(text.col(token))
-    compound = sorted({r.lower().replace("-", "") for r in tables.COMPOUND_SURNAMES.values()})
-    return low.isin(*tables.HK_SURNAMES) | F.replace(low, F.lit("-"), F.lit("")).isin(*compound)
+    compound = dict.fromkeys(sorted({r.lower().replace("-", "") for r in tables.COMPOUND_SURNAMES.values()}), "1")
+    known = text.lookup(low, tables.HK_SURNAMES).isNotNull() | text.lookup(F.replace(low, F.lit("-"), F.lit("")), compound).isNotNull()
+    return F.when(low.isNotNull(), known)
 
 
 def surname_char(token: Column | str) -> Column:
@@ -162,8 +163,8 @@ def synonym_groups(token: Column | str) -> Column:
     for i, group in enumerate(tables.SYNONYM_GROUPS):
         for name in group:
             groups.setdefault(name, []).append(i)
-    table = F.create_map(*(x for name, ids in groups.items() for x in (F.lit(name), F.array(*map(F.lit, ids)))))
-    return F.coalesce(F.element_at(table, F.lower(text.col(token))), F.array().cast("array<int>"))
+    found = text.lookup(F.lower(text.col(token)), {name: ",".join(map(str, ids)) for name, ids in groups.items()})
+    return F.coalesce(F.split(found, ",").cast("array<int>"), F.array().cast("array<int>"))
 
 
 def are_synonyms(a: Column | str, b: Column | str) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from kinloom.functions.dictionaries import Dictionaries, from_icu
 from kinloom.operators import matching, seeds
 from kinloom.operators.prepare import prepare
 from kinloom.session import shelve
+from kinloom.sources import records as sources
 
 
 @dataclass
@@ -34,22 +39,35 @@ class Resolution:
         return rows.select("record_id", F.when(F.col("m"), "merged").when(F.col("c"), "unresolved").otherwise("singleton").alias("state"))
 
 
-def resolve(records: DataFrame, dictionaries: Dictionaries | None = None, json_rules: list[dict] | None = None) -> Resolution:
+def resolve(records: DataFrame, dictionaries: Dictionaries | None = None, json_rules: list[dict] | None = None, job: str | None = None) -> Resolution:
     """Seed clusters by keys, validate them, assign what is left to clusters, match the rest in blocks.
 
     Each stage's table is written once and read by the next ones, so nothing is computed twice and lineage stays
-    short. Rules are the built-in cascade unless ``json_rules`` are given.
+    short. Rules are the built-in cascade unless ``json_rules`` are given. With a ``job`` folder the stages are kept there
+    under a hash of the records and the rules: a job that was broken off goes on after its last whole stage, and one that
+    is done is read.
     """
-    d = dictionaries or from_icu(records.sparkSession)
-    prepared = shelve(prepare(records, d), "prepared")
-    seeded = shelve(seeds.seed_members(prepared), "members")
-    found = shelve(seeds.clusters(seeded, prepared), "clusters")
+    spark = records.sparkSession
+    d = dictionaries or from_icu(spark)
+    key = sources.content_hash(records) ^ zlib.crc32(json.dumps(json_rules, sort_keys=True).encode()) if job else 0
+
+    def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return sources.cached(spark, f"{job}/{name}", key, make) if job else shelve(make(), name)
+
+    prepared = stage("prepared", lambda: prepare(records, d))
+    seeded = stage("members", lambda: seeds.seed_members(prepared))
+    found = stage("clusters", lambda: seeds.clusters(seeded, prepared))
     left = prepared.join(seeded.select("idx"), "idx", "left_anti")
-    assigned = shelve(matching.assign(left, found, prepared, d, json_rules), "assigned")
+    assigned = stage("assigned", lambda: matching.assign(left, found, prepared, d, json_rules))
     members = seeded.unionByName(assigned.select("idx", "cluster_id", F.lit(0).alias("pass")))
-    rest = shelve(left.join(assigned.select("idx"), "idx", "left_anti"), "rest")
-    matches = matching.validate_members(seeded, found, prepared, d, json_rules).unionByName(matching.assigned_matches(assigned)).unionByName(matching.match_blocks(rest, d, json_rules))
-    return Resolution(prepared, members, found, shelve(matches, "matches"))
+    rest = stage("rest", lambda: left.join(assigned.select("idx"), "idx", "left_anti"))
+    phases = (
+        lambda: matching.validate_members(seeded, found, prepared, d, json_rules),
+        lambda: matching.assigned_matches(assigned),
+        lambda: matching.match_blocks(rest, d, json_rules),
+    )
+    matches = stage("matches", lambda: reduce(DataFrame.unionByName, (p() for p in phases)))
+    return Resolution(prepared, members, found, matches)
 
 
 def collision_pool(prepared: DataFrame, name_key: str = "key_romanized", field: str = "phone", most: int = 3) -> DataFrame:

@@ -1,10 +1,8 @@
-"""Scans of person records, ground truth and rules; content hashes and stage folders."""
+"""Scans of person records, ground truth and rules; content hashes and kept stages."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,18 +52,6 @@ def write_records(records: DataFrame, path: str) -> None:
     records.select(F.concat_ws(",", "record_id", "source", F.col("person_id").cast("string"), name, blank("district"), blank("phone")).alias("value")).write.text(path)
 
 
-@dataclass(frozen=True)
-class JobFolders:
-    """Where the stages of a job keep their tables. A stage is written whole or not at all, so a rerun is safe."""
-
-    root: str
-
-    def __getattr__(self, name: str) -> str:
-        if name in ("records", "clusters", "matches", "stats", "failed", "done"):
-            return str(PurePosixPath(self.root) / name)
-        raise AttributeError(name)
-
-
 def content_hash(records: DataFrame, fields: list[str] | None = None) -> int:
     """A number that does not depend on the order of rows or columns: count and xor of row hashes."""
     fields = sorted(fields or [c for c in records.columns if c != "idx"])

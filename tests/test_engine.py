@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from kinloom.functions import names, text, udfs
+from kinloom.functions.dictionaries import char_matches_romanisation, from_files, load_romanisations
 from kinloom.operators import blocking, induce, matching, nodes, rules, seeds, survivorship
 from kinloom.operators.components import connected_components
 from kinloom.operators.prepare import prepare
@@ -202,6 +203,34 @@ def test_sql_functions(spark, dictionaries):
     assert out[0] == {"score": 1.0} and "error" in out[1] and "error" in out[2]
 
 
+def test_a_job_is_taken_up_again(spark, dictionaries, tmp_path, monkeypatch):
+    from kinloom.operators import matching as steps
+
+    people, job, done = population.records(spark, SF), str(tmp_path / "job"), []
+    whole = resolve(people, dictionaries)
+    run = steps.match_blocks
+    monkeypatch.setattr(steps, "match_blocks", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):  # the last stage breaks; those before it are kept
+        resolve(people, dictionaries, job=job)
+    monkeypatch.setattr(steps, "match_blocks", run)
+    monkeypatch.setattr(seeds, "seed_members", lambda *a: done.append(1))
+    again = resolve(people, dictionaries, job=job)
+    assert not done and sorted(map(tuple, again.matches.collect())) == sorted(map(tuple, whole.matches.collect()))
+    assert sorted(map(tuple, again.members.collect())) == sorted(map(tuple, whole.members.collect()))
+
+
+def test_dictionary_files(dictionaries, tmp_path):
+    files = {"strokes": "木 1234\n李 1234521\nx\n", "simplified": "# traditional, simplified\n龍\t龙竜\n\n", "traditional": "龙\t龍\n", "jyutping": "龍:lung4,lung1\n:x\n虎:\n", "romans": "陳\tChan,CHEN\n"}
+    paths = {}
+    for name, text_ in files.items():
+        paths[name] = str(tmp_path / name)
+        (tmp_path / name).write_text(text_, encoding="utf-8")
+    known = from_files(dictionaries, **{k: v for k, v in paths.items() if k != "romans"})
+    assert known.strokes["木"] == "1234" and known.to_simplified["龍"] == "龙" and known.to_traditional["龙"] == "龍" and known.jyutping["龍"] == ["lung4", "lung1"] and "虎" not in known.jyutping
+    romans = load_romanisations(paths["romans"])
+    assert romans == {"陳": ["chan", "chen"]} and char_matches_romanisation("陳", "Chan", romans) and not char_matches_romanisation("陳", "Wong", romans)
+
+
 def test_sql_functions_agree_with_columns(spark, dictionaries):
     udfs.register(spark, dictionaries)
     raw = ["陳大文先生", "CHAN Tai Man, Peter", "Dr. Peter Q. Chan Jr.", "小明", "司徒 美玲", "山田たろうさん", "김철수씨", "", "  ", "Chan", "Mr", "阿", "Au-Yeung Wing", "Szeto, Bob. X", "王先生", "先生", "Mary-Jane O'Neil PhD MBA", "陳 David"]
