@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -103,10 +105,25 @@ def per_batch(
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 yield from step(batch.slice(at, ROWS))
+        del step
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Give memory back at the end of a task: a worker goes on to the tasks of other stages, and would keep the most that
+    any of them took."""
+    for which in _powers:
+        _powers[which] = np.ones(1, np.uint64)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 _POWER = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier: powers of it can be undone modulo 2**64
 _UNDO = np.uint64(pow(int(_POWER), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -149,7 +166,7 @@ def word_spans(flat: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tup
 
 def span_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range, from prefix sums of one polynomial over all bytes."""
-    if len(flat) > 4 * CHUNK and len(begin) > 1:  # a very long text: by blocks of words, so that memory stays small
+    if len(flat) > 2 * CHUNK and len(begin) > 1:  # a very long text: by blocks of words, so that memory stays small
         cuts = np.append(np.unique(np.searchsorted(begin, np.arange(0, len(flat), CHUNK))), len(begin))
         return np.concatenate([
             span_hashes(flat[begin[i] : end[j - 1]], begin[i:j] - begin[i], end[i:j] - begin[i]) for i, j in zip(cuts, cuts[1:]) if j > i

@@ -141,6 +141,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
         most = np.argsort(-times, kind="stable")[:TASK_HOT]
         none = np.zeros(len(most), np.int64)
         yield rows(1, token[most].astype(np.int64), times[most], none, none)
+        common.tidy()
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
@@ -311,6 +312,8 @@ def compare(dealt: DataFrame, known: DataFrame, kind: type, columns: list[str])
                 if role != QUERY:
                     held.append((i, label, mark))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        held.clear()
+        common.tidy()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 

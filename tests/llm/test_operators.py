@@ -386,7 +386,9 @@ def test_packing_goes_on_while_sequences_are_saved(spark, monkeypatch):
     monkeypatch.setattr(packing, "_round", lambda rows, n, turn, capacity: turns.append(turn) or pack_round(rows, n, turn, capacity))
     whole = packing.pack(found, part_rows=20).collect()
     assert len(whole) == 2000 and max(turns) > 4
-    assert check_packed(whole) < check_packed(packing.pack(found, part_rows=20, max_rounds=4).collect())
+    # how rows are dealt decides in which round the last sequence is saved, so rounds are compared loosely but the first
+    early, four = (check_packed(packing.pack(found, part_rows=20, max_rounds=n).collect()) for n in (1, 4))
+    assert check_packed(whole) < early and check_packed(whole) <= four <= early
 
 
 def test_bounds_and_best_fit():
