@@ -226,10 +226,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, en
 
     def make():
         encoder, end = Encoder(spec.value), np.array([end_id], "<u4").tobytes()
+        common.tidy()  # reading the vocabulary takes more than keeping it
 
         def step(batch: pa.RecordBatch):
             flat, starts = common.text_bytes(batch.column("text"))
-            for i, j in common.chunks(starts, 2 * common.CHUNK):
+            for i, j in common.chunks(starts, common.CHUNK // 2):
                 ids, counts = encoder.encode(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
                 yield cut(batch.column("row_id").slice(i, j - i).to_pylist(), ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist())
 
