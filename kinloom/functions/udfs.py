@@ -45,8 +45,9 @@ lcs = pairwise(lambda a, b: float(kernels.lcs_length(a, b)), T.DoubleType())
 romanisation = pairwise(lambda a, b: kernels.romanisation_similarity(a, b), T.DoubleType())
 
 
-def name_nodes(dictionaries: Dictionaries) -> Callable[..., Column]:
-    """Struct of the family and given-name features of (family, given, family, given)."""
+def name_nodes(dictionaries: Dictionaries, once: bool = False) -> Callable[..., Column]:
+    """Struct of the family and given-name features of (family, given, family, given). With ``once`` Spark does not copy
+    it into a filter that reads it."""
 
     def make() -> Callable:
         comparer = kernels.Comparer(dictionaries)
@@ -64,8 +65,10 @@ def name_nodes(dictionaries: Dictionaries) -> Callable[..., Column]:
         rows = [state["f"](w if isinstance(w, str) else None, some(x), y if isinstance(y, str) else None, some(z)) for w, x, y, z in zip(*(c.iloc[first] for c in (fa, ga, fb, gb)))]
         return pd.DataFrame(rows, columns=_NODE_NAMES).take(codes).reset_index(drop=True)
 
+    called = run.asNondeterministic() if once else run
+
     def column(fa: Column, ga: Column, fb: Column, gb: Column) -> Column:
-        return run(F.to_json(F.struct(fa.alias("a"), ga.alias("b"), fb.alias("c"), gb.alias("d"))), fa, ga, fb, gb)
+        return called(F.to_json(F.struct(fa.alias("a"), ga.alias("b"), fb.alias("c"), gb.alias("d"))), fa, ga, fb, gb)
 
     return column
 

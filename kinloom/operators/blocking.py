@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BLOCK = 5000
+#: A block of more records is paired in parts of about so many; any number gives the same pairs.
+PART = 1024
 #: A blocking key: an array of keys of a record.
 BlockingKey = Callable[[], Column]
 
@@ -67,6 +69,40 @@ def candidate_pairs(rows: DataFrame, distinct: bool = True) -> DataFrame:
     return a.join(b, "block").where((F.col("a_idx") < F.col("b_idx")) & (first == F.col("block"))).select("a_idx", "b_idx", "block")
 
 
+def form_pairs(rows: DataFrame, form: tuple[str, ...], facts: tuple[str, ...]) -> DataFrame:
+    """Two forms (equal values of ``form``) that meet in a block: their columns as a_* and b_*, their records in a part of
+    the block as a_members and b_members, and whether any of these has a fact, as a_has_* and b_has_*.
+
+    Records of one form are kept together, so what rests on the forms is found once and not for each pair of records. A
+    part of a large block meets all its parts, each in a group of its own, so no task gets all pairs of a large block.
+    """
+    rows = rows.withColumns({"_blocks": F.collect_set("block").over(Window.partitionBy("idx")), "parts": F.ceil(F.col("block_size") / PART)})
+    member = F.struct("idx", F.filter("_blocks", lambda x: x < F.col("block")).alias("earlier"), "record_id", *facts)
+    rows = rows.select("block", "parts", F.pmod(F.xxhash64("idx"), "parts").alias("part"), *form, member.alias("member"))
+    has = [F.bool_or(F.col(f"member.{f}").isNotNull()).alias(f"has_{f}") for f in facts]
+    # a set, as both keys of a record may be one block
+    units = rows.groupBy("block", "parts", "part", *form).agg(F.collect_set("member").alias("members"), F.min("member.idx").alias("low"), F.max("member.idx").alias("high"), *has)
+    named = [*form, "members", "low", "high", *(f"has_{f}" for f in facts)]
+    a = units.select("block", "part", *(F.col(c).alias(f"a_{c}") for c in named))
+    b = units.select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"b_{c}") for c in named))
+    return a.hint("merge").join(b, ["block", "part"]).where("a_low < b_high").drop("a_low", "a_high", "b_low", "b_high", "part")
+
+
+def record_pairs(met: DataFrame, facts: tuple[str, ...]) -> DataFrame:
+    """The pairs of records of ``form_pairs``, a before b; a pair that shares several blocks stands once, in the first."""
+    pairs = met.withColumn("a", F.explode("a_members")).drop("a_members").withColumn("b", F.explode("b_members")).drop("b_members")
+    pairs = pairs.where((F.col("a.idx") < F.col("b.idx")) & ~F.arrays_overlap("a.earlier", "b.earlier"))
+    return pairs.withColumns({f"{s}_{c}": F.col(f"{s}.{c}") for s in "ab" for c in ("record_id", *facts)}).drop("a", "b")
+
+
+def in_common_block(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a_idx, b_idx) that share a block."""
+    of = rows.groupBy("idx").agg(F.collect_set("block").alias("blocks"))
+    for s in "ab":
+        pairs = pairs.join(of.select(F.col("idx").alias(f"{s}_idx"), F.col("blocks").alias(f"{s}_blocks")).hint("merge"), f"{s}_idx")
+    return pairs.where(F.arrays_overlap("a_blocks", "b_blocks")).drop("a_blocks", "b_blocks")
+
+
 def block_statistics(rows: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
     """Blocks of two or more, the largest, those above ``most``, and pairs in the others."""
     sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where("n >= 2")

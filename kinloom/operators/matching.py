@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,18 @@ def assigned_matches(assigned: DataFrame) -> DataFrame:
 
 
 def match_blocks(left: DataFrame, dictionaries: Dictionaries, json_rules=None, most: int = blocking.MAX_BLOCK) -> DataFrame:
-    """All pairs of the remainder that share a block; possible and certain matches."""
-    pairs = blocking.candidate_pairs(blocking.blocks(left, blocking.composite_keys(), most))
-    pairs = pairs.join(nodes.side(left, "a"), "a_idx").join(nodes.side(left, "b"), "b_idx")
-    return _result(evaluate(pairs, dictionaries, json_rules).where("classification <> 'non_match'"), "stage2")
+    """All pairs of the remainder that share a block; possible and certain matches.
+
+    Names are compared for each two forms that meet in a block. Forms that no rule can call a match, whatever phones and
+    the like say, are dropped there; the others are judged for each way in which these may agree, and records are paired
+    only where that way is a match, and kept where it is theirs.
+    """
+    rows = blocking.blocks(left, blocking.composite_keys(), most)
+    met = nodes.form_nodes(blocking.form_pairs(rows, nodes.FORM, nodes.FACTS), dictionaries)
+    may = {f"{f}_match": F.col(f"a_has_{f}") & F.col(f"b_has_{f}") for f in nodes.FACTS}
+    may["any_corroboration"] = may["phone_match"] | may["email_match"] | may["dob_match"]
+    facts = rules.facts(json_rules)
+    judged = rules.decide(nodes.fact_cases(met.where(rules.reachable(json_rules, may)), facts), json_rules).where(F.col("confidence") >= rules.MEDIUM)
+    judged = judged.select("a_members", "b_members", "confidence", "rule", "score", "classification", *(F.col(f).alias(f"case_{f}") for f in facts))
+    pairs = nodes.corroborated(blocking.record_pairs(judged, nodes.FACTS))
+    return _result(pairs.where(reduce(lambda x, y: x & y, (F.col(f"case_{f}") == F.col(f) for f in facts), F.lit(True))), "stage2")

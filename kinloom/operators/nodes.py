@@ -10,6 +10,8 @@ from kinloom.functions.dictionaries import Dictionaries
 
 #: What a side of a pair carries into the comparison.
 SIDE = ("record_id", "idx", "source", "name", "family", "given", "title", "suffix", "phone", "email", "dob", "district")
+#: The form of a name, and what corroborates it: all that a decision rests on.
+FORM, FACTS = ("family", "given", "title", "suffix"), ("phone", "email", "dob", "district")
 
 
 def side(prepared: DataFrame, prefix: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -28,16 +30,37 @@ def phone_match(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & ((a == b) | near), F.lit(False))
 
 
+def corroborated(pairs: DataFrame) -> DataFrame:
+    """The features of phones, emails, dates of birth and districts."""
+    found = pairs.withColumns({
+        "phone_match": phone_match(F.col("a_phone"), F.col("b_phone")), "email_match": _same("email"), "dob_match": _same("dob", fold=False), "district_match": _same("district"),
+    })
+    return found.withColumn("any_corroboration", F.col("phone_match") | F.col("email_match") | F.col("dob_match"))
+
+
 def native_nodes(pairs: DataFrame) -> DataFrame:
     """The features that are plain expressions: corroboration, titles, exact names."""
     fa, fb, ga, gb = F.col("a_family"), F.col("b_family"), F.col("a_given"), F.col("b_given")
     lower = lambda g: F.transform(g, lambda x: F.lower(x))
-    found = pairs.withColumns({
-        "title_match": _same("title"), "suffix_match": _same("suffix"), "phone_match": phone_match(F.col("a_phone"), F.col("b_phone")),
-        "email_match": _same("email"), "dob_match": _same("dob", fold=False), "district_match": _same("district"),
-        "family_exact": F.lower(fa).eqNullSafe(F.lower(fb)), "given_exact": F.coalesce(lower(ga) == lower(gb), F.lit(False)),
-    })
-    return found.withColumn("any_corroboration", F.col("phone_match") | F.col("email_match") | F.col("dob_match"))
+    found = corroborated(pairs.withColumns({"title_match": _same("title"), "suffix_match": _same("suffix")}))
+    return found.withColumns({"family_exact": F.lower(fa).eqNullSafe(F.lower(fb)), "given_exact": F.coalesce(lower(ga) == lower(gb), F.lit(False))})
+
+
+def fact_cases(met: DataFrame, facts: list[str]) -> DataFrame:
+    """Each two forms (``blocking.form_pairs``) once for every way in which ``facts`` (phone_match, ...) may hold between
+    their records; other facts are false."""
+    for f in FACTS:
+        both = F.col(f"a_has_{f}") & F.col(f"b_has_{f}")
+        may = F.when(both, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+        met = met.withColumn(f"{f}_match", F.explode(may) if f"{f}_match" in facts else F.lit(False))
+    return met.withColumn("any_corroboration", F.col("phone_match") | F.col("email_match") | F.col("dob_match"))
+
+
+def form_nodes(pairs: DataFrame, dictionaries: Dictionaries) -> DataFrame:
+    """The features that rest on the forms of two names alone, each pair compared once although a filter may follow."""
+    nodes = udfs.name_nodes(dictionaries, once=True)(F.col("a_family"), F.col("a_given"), F.col("b_family"), F.col("b_given"))
+    found = pairs.withColumns({"title_match": _same("title"), "suffix_match": _same("suffix"), "_n": nodes})
+    return found.select("*", "_n.*").drop("_n")
 
 
 def all_nodes(pairs: DataFrame, dictionaries: Dictionaries) -> DataFrame:
@@ -45,4 +68,3 @@ def all_nodes(pairs: DataFrame, dictionaries: Dictionaries) -> DataFrame:
     found = native_nodes(pairs).drop("family_exact", "given_exact")
     nodes = udfs.name_nodes(dictionaries)(F.col("a_family"), F.col("a_given"), F.col("b_family"), F.col("b_given"))
     return found.withColumn("_n", nodes).select("*", "_n.*").drop("_n")
-

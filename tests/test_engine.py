@@ -200,6 +200,53 @@ def test_blocking(spark, dictionaries):
     assert blocking.candidate_pairs(blocking.blocks(p, blocking.composite_keys(), most=2)).count() == 0
 
 
+def made_rows(found):
+    """The most rows that a node of a plan made, after it ran."""
+    found.collect()
+    most, left = 0, [found._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        made = node.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        kind = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        left += below or [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_blocks_pair_only_records_whose_names_may_match(spark, dictionaries):
+    names_ = ("CHAN Tai Man", "CHAN Wing Sze", "CHAN Ka Ho", "CHAN Yuk Fan")
+    rows = [(i, f"R{i}", "crm", names_[i % 4]) for i in range(400)]
+    p = shelve(prepare(spark.createDataFrame(rows, "idx long, record_id string, source string, name string"), dictionaries), "p")
+    none = matching.match_blocks(p, dictionaries, [{"condition": "family_match && given_exact && phone_match", "confidence": "high"}])
+    assert none.count() == 0 and made_rows(none) < 5000  # of 79,800 pairs
+    assert matching.match_blocks(p, dictionaries).count() == 4 * 100 * 99 // 2
+
+
+ODD_RULES = [
+    {"condition": "family_exact && !phone_match && given_exact && district_match", "confidence": "Definite"}, {"condition": "email_match && !dob_match", "confidence": "review"},
+    {"condition": "dob_match && given_jw > 0.85", "confidence": "medium"}, {"condition": "!district_match && given_partial", "confidence": "high"}, {"condition": "email_match", "confidence": "medium"},
+]
+
+
+@pytest.mark.parametrize("json_rules", [None, ODD_RULES, catalog.JSON_RULES, []], ids=["cascade", "odd", "json", "none"])
+def test_blocks_agree_with_all_their_pairs(spark, dictionaries, monkeypatch, json_rules):
+    import random
+
+    draw = random.Random(7).choice
+    names_ = ["陳大文先生", "陈大文", "CHAN Tai Man, Peter", "Dr. Chan Tai", "Peter Chan", "CHAN Tai Wai", "Chan", "", None, "Mr. Bob Chan Jr.", "Robert Chan", "梁志明", "LEUNG Chi Ming", "陳文"]
+    # a district may look like the end of a phone, and both keys of a record then are one block
+    rows = [(i, f"R{i * 37 % 101:03}", "crm", draw(names_), draw(["91234567", "91234568", "61234567", "", None]), draw(["a@b.c", "A@b.c", None]), draw(["1990", "1991", None]), draw(["ph:4567", "Sha Tin", "sha tin", None])) for i in range(100)]
+    p = shelve(prepare(spark.createDataFrame(rows, "idx long, record_id string, source string, name string, phone string, email string, dob string, district string"), dictionaries), "p")
+    monkeypatch.setattr(blocking, "PART", 16)
+    for most in (None, 30):
+        pairs = blocking.candidate_pairs(blocking.blocks(p, blocking.composite_keys(), most)).join(nodes.side(p, "a"), "a_idx").join(nodes.side(p, "b"), "b_idx")
+        every = matching.evaluate(pairs, dictionaries, json_rules)
+        want = every.where("classification <> 'non_match'").select("a_record_id", "b_record_id", "score", F.lit("stage2"), "rule", "classification").collect()
+        assert sorted(map(tuple, matching.match_blocks(p, dictionaries, json_rules, most).collect())) == sorted(map(tuple, want))
+        assert bool(want) == (json_rules != [])
+
+
 def test_sql_functions(spark, dictionaries):
     udfs.register(spark, dictionaries)
     r = spark.sql("SELECT jaro_winkler('martha', 'marhta') AS j, has_cjk('a陳') AS c, compare_exact(' A b', 'a  B') AS e, compare_cjk('陳', '陈', 'max') AS s").first()
