@@ -78,3 +78,10 @@ def match_blocks(left: DataFrame, dictionaries: Dictionaries, json_rules=None, m
     judged = judged.select("a_members", "b_members", "confidence", "rule", "score", "classification", *(F.col(f).alias(f"case_{f}") for f in facts))
     pairs = nodes.corroborated(blocking.record_pairs(judged, nodes.FACTS))
     return _result(pairs.where(reduce(lambda x, y: x & y, (F.col(f"case_{f}") == F.col(f) for f in facts), F.lit(True))), "stage2")
+
+
+def match_pairs(pairs: DataFrame, prepared: DataFrame, dictionaries: Dictionaries, json_rules=None) -> DataFrame:
+    """What ``match_blocks`` says of ``pairs`` (a_idx, b_idx) that share a block."""
+    for s in "ab":
+        pairs = pairs.join(nodes.side(prepared, s).hint("merge"), f"{s}_idx")
+    return _result(evaluate(pairs, dictionaries, json_rules).where(F.col("confidence") >= rules.MEDIUM), "stage2")

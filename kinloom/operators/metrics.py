@@ -53,7 +53,7 @@ def missed(truth: DataFrame, predicted: DataFrame, candidates: DataFrame, record
     key = ["left_id", "right_id"]
     lost = truth.join(predicted.select(*key).distinct(), key, "left_anti")
     lost = lost.join(candidates.select(*key).distinct().withColumn("seen", F.lit(True)), key, "left")
-    side = lambda p: records.select(F.col("record_id").alias(f"{p}_id"), text.contains_cjk("name").alias(f"{p}_cjk"), F.col("phone").alias(f"{p}_phone"))
+    side = lambda p: records.select(F.col("record_id").alias(f"{p}_id"), text.contains_cjk("name").alias(f"{p}_cjk"), F.col("phone").alias(f"{p}_phone")).hint("merge")
     lost = lost.join(side("left"), "left_id").join(side("right"), "right_id")
     script = F.when(F.col("left_cjk") != F.col("right_cjk"), "cross").when(F.col("left_cjk"), "cjk").otherwise("latin")
     return lost.groupBy(F.when(F.col("seen"), "threshold").otherwise("blocking").alias("reason"), script.alias("scripts")).agg(F.count("*").alias("pairs"), F.count_if(F.expr("left_phone = right_phone")).alias("same_phone"))

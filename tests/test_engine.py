@@ -247,6 +247,16 @@ def test_blocks_agree_with_all_their_pairs(spark, dictionaries, monkeypatch, jso
         assert bool(want) == (json_rules != [])
 
 
+def test_missed_pairs_look_at_no_other_pairs(spark, tmp_path):
+    # one surname and one district: a block of 600 records
+    spark.range(300).select((F.col("id") * 1520).alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    found = catalog.QUERIES["missed_pairs"](spark, str(tmp_path))
+    assert made_rows(found) < 5000  # of 179,700 pairs
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalog.SQL["missed_pairs"]).fetchall())
+
+
 def test_sql_functions(spark, dictionaries):
     udfs.register(spark, dictionaries)
     r = spark.sql("SELECT jaro_winkler('martha', 'marhta') AS j, has_cjk('a陳') AS c, compare_exact(' A b', 'a  B') AS e, compare_cjk('陳', '陈', 'max') AS s").first()
