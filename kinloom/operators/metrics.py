@@ -15,7 +15,7 @@ def truth_pairs(records: DataFrame) -> DataFrame:
     """All pairs of records of one person; a person has few records, the join is on the person."""
     r = records.select("person_id", "record_id")
     a, b = r.withColumnRenamed("record_id", "left_id"), r.withColumnRenamed("record_id", "right_id")
-    return a.join(b, "person_id").where("left_id < right_id").select("left_id", "right_id")
+    return a.hint("merge").join(b, "person_id").where("left_id < right_id").select("left_id", "right_id")
 
 
 def with_truth(matches: DataFrame, records: DataFrame) -> DataFrame:
@@ -51,8 +51,8 @@ def missed(truth: DataFrame, predicted: DataFrame, candidates: DataFrame, record
     from kinloom.functions import text
 
     key = ["left_id", "right_id"]
-    lost = truth.join(predicted.select(*key).distinct(), key, "left_anti")
-    lost = lost.join(candidates.select(*key).distinct().withColumn("seen", F.lit(True)), key, "left")
+    lost = truth.join(predicted.select(*key).distinct().hint("merge"), key, "left_anti")
+    lost = lost.join(candidates.select(*key).distinct().withColumn("seen", F.lit(True)).hint("merge"), key, "left")
     side = lambda p: records.select(F.col("record_id").alias(f"{p}_id"), text.contains_cjk("name").alias(f"{p}_cjk"), F.col("phone").alias(f"{p}_phone")).hint("merge")
     lost = lost.join(side("left"), "left_id").join(side("right"), "right_id")
     script = F.when(F.col("left_cjk") != F.col("right_cjk"), "cross").when(F.col("left_cjk"), "cjk").otherwise("latin")
