@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BLOCK = 5000
-#: A block of more records is paired in parts of about so many; any number gives the same pairs.
+#: A block of more records is paired in parts, the square root of its size over this; any number gives the same pairs.
 PART = 1024
 #: A blocking key: an array of keys of a record.
 BlockingKey = Callable[[], Column]
@@ -69,28 +69,49 @@ def candidate_pairs(rows: DataFrame, distinct: bool = True) -> DataFrame:
     return a.join(b, "block").where((F.col("a_idx") < F.col("b_idx")) & (first == F.col("block"))).select("a_idx", "b_idx", "block")
 
 
-def form_pairs(rows: DataFrame, form: tuple[str, ...], facts: tuple[str, ...]) -> DataFrame:
-    """Two forms (equal values of ``form``) that meet in a block: their columns as a_* and b_*, their records in a part of
-    the block as a_members and b_members, and whether any of these has a fact, as a_has_* and b_has_*.
+def form_units(rows: DataFrame, form: tuple[str, ...], facts: dict[str, Column]) -> DataFrame:
+    """The records of a block that have one form (equal values of ``form``), as members: block, parts, part, form, members,
+    their lowest and highest idx, and whether any of them has a fact, as has_*. ``rows`` have the blocks of their record as
+    ``_blocks``.
 
-    Records of one form are kept together, so what rests on the forms is found once and not for each pair of records. A
-    part of a large block meets all its parts, each in a group of its own, so no task gets all pairs of a large block.
+    Records of one form are kept together, so what rests on the forms is found once and not for each pair of records. The
+    records of a large block are dealt out in parts.
     """
-    rows = rows.withColumns({"_blocks": F.collect_set("block").over(Window.partitionBy("idx")), "parts": F.ceil(F.col("block_size") / PART)})
-    member = F.struct("idx", F.filter("_blocks", lambda x: x < F.col("block")).alias("earlier"), "record_id", *facts)
-    rows = rows.select("block", "parts", F.pmod(F.xxhash64("idx"), "parts").alias("part"), *form, member.alias("member"))
+    rows = rows.withColumn("parts", F.ceil(F.sqrt(F.col("block_size") / PART)))
+    member = F.struct("idx", F.filter("_blocks", lambda x: x < F.col("block")).alias("earlier"), "record_id", *(k.alias(f) for f, k in facts.items()))
+    rows = rows.select("block", "parts", F.pmod(F.xxhash64("idx"), "parts").alias("part"), F.struct(*form).alias("form"), member.alias("member"))
     has = [F.bool_or(F.col(f"member.{f}").isNotNull()).alias(f"has_{f}") for f in facts]
     # a set, as both keys of a record may be one block
-    units = rows.groupBy("block", "parts", "part", *form).agg(F.collect_set("member").alias("members"), F.min("member.idx").alias("low"), F.max("member.idx").alias("high"), *has)
-    named = [*form, "members", "low", "high", *(f"has_{f}" for f in facts)]
-    a = units.select("block", "part", *(F.col(c).alias(f"a_{c}") for c in named))
-    b = units.select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"b_{c}") for c in named))
-    return a.hint("merge").join(b, ["block", "part"]).where("a_low < b_high").drop("a_low", "a_high", "b_low", "b_high", "part")
+    return rows.groupBy("block", "parts", "part", "form").agg(F.collect_set("member").alias("members"), F.min("member.idx").alias("low"), F.max("member.idx").alias("high"), *has)
 
 
-def record_pairs(met: DataFrame, facts: tuple[str, ...]) -> DataFrame:
-    """The pairs of records of ``form_pairs``, a before b; a pair that shares several blocks stands once, in the first."""
-    pairs = met.withColumn("a", F.explode("a_members")).drop("a_members").withColumn("b", F.explode("b_members")).drop("b_members")
+def _meeting(units: DataFrame, a: list[str], b: list[str]) -> DataFrame:
+    """Each two of ``units`` in a block whose members are not all in the wrong order, with their columns as a_* and b_*.
+
+    Each part of a block meets all its parts, each two in a group of their own, so no task gets all pairs of a large block.
+    """
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    left = units.select("block", F.col("part").alias("i"), every.alias("j"), "low", *(F.col(c).alias(f"a_{c}") for c in a))
+    right = units.select("block", every.alias("i"), F.col("part").alias("j"), "high", *(F.col(c).alias(f"b_{c}") for c in b))
+    return left.hint("merge").join(right, ["block", "i", "j"]).where("low < high").drop("block", "i", "j", "low", "high")
+
+
+def forms_met(units: DataFrame, facts: list[str]) -> DataFrame:
+    """(a_form_id, b_form_id) of any two forms that meet in a block, a before b, and whether records of both that meet may
+    have a fact in common, as may_*."""
+    has = [f"has_{f}" for f in facts]
+    whole = units.groupBy("block", "parts", "form_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), *(F.bool_or(c).alias(c) for c in has))
+    met = _meeting(whole.withColumn("part", F.pmod(F.xxhash64("form_id"), "parts")), ["form_id", *has], ["form_id", *has])
+    return met.groupBy("a_form_id", "b_form_id").agg(F.count("*").alias("times"), *(F.bool_or(F.col(f"a_has_{f}") & F.col(f"b_has_{f}")).alias(f"may_{f}") for f in facts))
+
+
+def record_pairs(units: DataFrame, said: DataFrame, facts: list[str]) -> DataFrame:
+    """Pairs of records, a before b, of forms of which something is said; a pair that shares several blocks stands once, in
+    the first. ``units`` have for their form a map ``about`` from other forms to the ``said_id`` of what is said of both."""
+    met = _meeting(units, ["about", "members"], ["form_id", "members"])
+    met = met.withColumn("said_id", F.try_element_at("a_about", F.col("b_form_id"))).where("said_id IS NOT NULL").drop("a_about", "b_form_id")
+    pairs = met.join(said, "said_id").drop("said_id")
+    pairs = pairs.withColumn("a", F.explode("a_members")).drop("a_members").withColumn("b", F.explode("b_members")).drop("b_members")
     pairs = pairs.where((F.col("a.idx") < F.col("b.idx")) & ~F.arrays_overlap("a.earlier", "b.earlier"))
     return pairs.withColumns({f"{s}_{c}": F.col(f"{s}.{c}") for s in "ab" for c in ("record_id", *facts)}).drop("a", "b")
 

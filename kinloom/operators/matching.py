@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.dictionaries import Dictionaries
 from kinloom.operators import blocking, nodes, rules
+from kinloom.session import shelve
 
 RESULT = ["left_id", "right_id", "score", "phase", "rule", "classification"]
 
@@ -62,22 +61,38 @@ def assigned_matches(assigned: DataFrame) -> DataFrame:
     return _result(assigned, "phase2b", "phase2_")
 
 
-def match_blocks(left: DataFrame, dictionaries: Dictionaries, json_rules=None, most: int = blocking.MAX_BLOCK) -> DataFrame:
-    """All pairs of the remainder that share a block; possible and certain matches.
+def match_blocks(left: DataFrame, dictionaries: Dictionaries, json_rules=None, most: int | None = None) -> DataFrame:
+    """All pairs of the remainder that share a block; possible and certain matches. Only a caller that gives ``most`` leaves
+    out the blocks of more records.
 
-    Names are compared for each two forms that meet in a block. Forms that no rule can call a match, whatever phones and
-    the like say, are dropped there; the others are judged for each way in which these may agree, and records are paired
-    only where that way is a match, and kept where it is theirs.
+    Names are compared once for each two forms that meet in any block. Forms that no rule can call a match, whatever phones
+    and the like say, are dropped there; the others are judged for each way in which these may agree, and records are paired
+    only where one of these ways is a match, and kept where it is theirs. What is said of two forms is numbered, so the
+    records of a block meet with numbers, and neither names nor labels are shuffled with them.
     """
-    rows = blocking.blocks(left, blocking.composite_keys(), most)
-    met = nodes.form_nodes(blocking.form_pairs(rows, nodes.FORM, nodes.FACTS), dictionaries)
-    may = {f"{f}_match": F.col(f"a_has_{f}") & F.col(f"b_has_{f}") for f in nodes.FACTS}
+    keys, facts = blocking.composite_keys(), [f.removesuffix("_match") for f in rules.facts(json_rules)]
+    rows = blocking.blocks(left, keys, most)
+    rows = rows.withColumn("_blocks", keys if most is None else F.collect_set("block").over(Window.partitionBy("idx")))
+    units = shelve(blocking.form_units(rows, nodes.FORM, {f: nodes.fact_key(f) for f in facts}), "units")
+    forms = shelve(units.select("form").distinct().withColumn("form_id", F.monotonically_increasing_id()), "forms")
+    met = blocking.forms_met(units.join(forms.hint("merge"), "form"), facts)
+    for s in "ab":
+        met = met.join(forms.select(F.col("form_id").alias(f"{s}_form_id"), *(F.col(f"form.{c}").alias(f"{s}_{c}") for c in nodes.FORM)).hint("merge"), f"{s}_form_id")
+    may = {f"{f}_match": F.col(f"may_{f}") if f in facts else F.lit(False) for f in nodes.FACTS}
     may["any_corroboration"] = may["phone_match"] | may["email_match"] | may["dob_match"]
-    facts = rules.facts(json_rules)
-    judged = rules.decide(nodes.fact_cases(met.where(rules.reachable(json_rules, may)), facts), json_rules).where(F.col("confidence") >= rules.MEDIUM)
-    judged = judged.select("a_members", "b_members", "confidence", "rule", "score", "classification", *(F.col(f).alias(f"case_{f}") for f in facts))
-    pairs = nodes.corroborated(blocking.record_pairs(judged, nodes.FACTS))
-    return _result(pairs.where(reduce(lambda x, y: x & y, (F.col(f"case_{f}") == F.col(f) for f in facts), F.lit(True))), "stage2")
+    found = nodes.form_nodes(met, dictionaries).where(rules.reachable(json_rules, may))
+    judged = rules.decide(nodes.fact_cases(found, facts), json_rules).where(F.col("confidence") >= rules.MEDIUM)
+    ways = F.sort_array(F.collect_list(F.struct("case", "rule", "score", "classification")))
+    judged = shelve(judged.groupBy("a_form_id", "b_form_id").agg(ways.alias("ways")), "judged")
+    said = shelve(judged.select("ways").distinct().withColumn("said_id", F.monotonically_increasing_id()), "said")
+    about = F.map_from_entries(F.collect_list(F.struct("b_form_id", "said_id"))).alias("about")
+    about = judged.join(said, "ways").groupBy(F.col("a_form_id").alias("form_id")).agg(about)
+    forms = shelve(forms.hint("merge").join(about, "form_id", "left"), "forms")
+    said = said.select("said_id", F.map_from_arrays("ways.case", "ways").alias("ways"))
+    # labels are few, however many the records are
+    pairs = blocking.record_pairs(units.join(forms.hint("merge"), "form"), F.broadcast(said), facts)
+    pairs = pairs.withColumn("_d", F.try_element_at("ways", nodes.fact_case(facts))).where("_d IS NOT NULL")
+    return _result(pairs.select("a_record_id", "b_record_id", "_d.*"), "stage2")
 
 
 def match_pairs(pairs: DataFrame, prepared: DataFrame, dictionaries: Dictionaries, json_rules=None) -> DataFrame:

@@ -46,14 +46,27 @@ def native_nodes(pairs: DataFrame) -> DataFrame:
     return found.withColumns({"family_exact": F.lower(fa).eqNullSafe(F.lower(fb)), "given_exact": F.coalesce(lower(ga) == lower(gb), F.lit(False))})
 
 
+def fact_key(fact: str) -> Column:
+    """A text that is equal in two records if and only if the fact (phone, ...) matches; null if it matches none."""
+    value = F.nullif(F.col(fact), F.lit(""))
+    if fact == "phone":  # a short phone is shorter than any of these keys
+        return F.when(F.octet_length(value) >= 7, F.concat(F.octet_length(value), F.lit(":"), F.substring(value, 1, 7))).otherwise(value)
+    return value if fact == "dob" else F.lower(value)
+
+
+def fact_case(facts: list[str]) -> Column:
+    """The facts whose keys a pair has in common, as a number: the first counts 1, the second 2, the third 4."""
+    return sum((F.when(F.col(f"a_{f}") == F.col(f"b_{f}"), 1 << i).otherwise(0) for i, f in enumerate(facts)), F.lit(0))
+
+
 def fact_cases(met: DataFrame, facts: list[str]) -> DataFrame:
-    """Each two forms (``blocking.form_pairs``) once for every way in which ``facts`` (phone_match, ...) may hold between
-    their records; other facts are false."""
+    """Each two forms (``blocking.forms_met``) once for every way in which ``facts`` may match between their records, with
+    the number of ``fact_case``; other facts do not match."""
     for f in FACTS:
-        both = F.col(f"a_has_{f}") & F.col(f"b_has_{f}")
-        may = F.when(both, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-        met = met.withColumn(f"{f}_match", F.explode(may) if f"{f}_match" in facts else F.lit(False))
-    return met.withColumn("any_corroboration", F.col("phone_match") | F.col("email_match") | F.col("dob_match"))
+        may = F.when(F.col(f"may_{f}"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))) if f in facts else None
+        met = met.withColumn(f"{f}_match", F.lit(False) if may is None else F.explode(may))
+    case = sum((F.when(F.col(f"{f}_match"), 1 << i).otherwise(0) for i, f in enumerate(facts)), F.lit(0))
+    return met.withColumns({"any_corroboration": F.col("phone_match") | F.col("email_match") | F.col("dob_match"), "case": case})
 
 
 def form_nodes(pairs: DataFrame, dictionaries: Dictionaries) -> DataFrame:

@@ -125,6 +125,7 @@ _EDGES = "e0 AS (SELECT 2 * CAST(o_orderkey AS BIGINT) AS a, 2 * CAST(o_custkey
 
 _CHARS = "".join(sorted({c for c in population.SURNAMES + population.GIVEN if re.match(CJK, c)}))
 _BLOCK_PAIRS = "f AS (SELECT * FROM b WHERE block IN (SELECT block FROM b GROUP BY block HAVING count(*) BETWEEN 2 AND 5000)), pairs AS (SELECT DISTINCT x.idx AS a_idx, y.idx AS b_idx FROM f x JOIN f y ON x.block = y.block AND x.idx < y.idx)"
+_ALL_BLOCK_PAIRS = "pairs AS (SELECT DISTINCT x.idx AS a_idx, y.idx AS b_idx FROM b x JOIN b y ON x.block = y.block AND x.idx < y.idx)"
 _PERSONS = "pairs AS (SELECT a.idx AS a_idx, b.idx AS b_idx FROM r a JOIN (SELECT idx, person_id, unnest([person_id, person_id + 1]) AS other FROM r) b ON a.person_id = b.other WHERE a.person_id <> b.person_id OR a.idx < b.idx)"
 
 
@@ -148,7 +149,7 @@ def _matching() -> dict[str, str]:
     return {
         "rule_decisions": q("SELECT a_id AS a_record_id, b_id AS b_record_id, confidence, rule, score, classification, family_romanization, given_romanization, round(given_jw, 6) AS given_jw FROM dec", *persons),
         "json_rule_decisions": q("SELECT rule, confidence, classification, count(*) AS n FROM dec GROUP BY ALL", _PARTS, *_judge(_PERSONS, oracle_rules.json_cascade(JSON_RULES))),
-        "block_matches": q(found, *blocks),
+        "block_matches": q(found, _PARTS, _KEYS, _BLOCKS, *_judge(_ALL_BLOCK_PAIRS, rules)),
         "missed_pairs": q(f"""SELECT CASE WHEN s.left_id IS NOT NULL THEN 'threshold' ELSE 'blocking' END AS reason, CASE WHEN {script('x')} <> {script('y')} THEN 'cross' WHEN {script('x')} THEN 'cjk' ELSE 'latin' END AS scripts,
     count(*) AS pairs, count(*) FILTER (x.phone = y.phone) AS same_phone FROM truth t LEFT JOIN seen_pairs s USING (left_id, right_id) JOIN r x ON x.record_id = t.left_id JOIN r y ON y.record_id = t.right_id
     WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.left_id = t.left_id AND f.right_id = t.right_id) GROUP BY 1, 2""", *blocks, truth, f"found AS ({ordered} FROM ({found}))", f"seen_pairs AS ({ordered} FROM (SELECT a_id AS left_id, b_id AS right_id FROM dec))"),

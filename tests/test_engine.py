@@ -247,6 +247,13 @@ def test_blocks_agree_with_all_their_pairs(spark, dictionaries, monkeypatch, jso
         assert bool(want) == (json_rules != [])
 
 
+def test_a_block_of_any_size_is_matched_whole(spark, dictionaries):
+    rows = [(i, f"R{i}", "crm", "CHAN Tai Man", "Sha Tin", f"{i // 2}@b.c" if i < 6 else None) for i in range(blocking.MAX_BLOCK + 1)]
+    p = shelve(prepare(spark.createDataFrame(rows, "idx long, record_id string, source string, name string, district string, email string"), dictionaries), "p")
+    found = matching.match_blocks(p, dictionaries, [{"condition": "family_match && given_exact && email_match", "confidence": "high"}])
+    assert sorted((r.left_id, r.right_id) for r in found.collect()) == [("R0", "R1"), ("R2", "R3"), ("R4", "R5")]
+
+
 def test_missed_pairs_look_at_no_other_pairs(spark, tmp_path):
     # one surname and one district: a block of 600 records
     spark.range(300).select((F.col("id") * 1520).alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
