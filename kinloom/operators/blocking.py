@@ -111,9 +111,10 @@ def record_pairs(units: DataFrame, said: DataFrame, facts: list[str]) -> DataFra
     met = _meeting(units, ["about", "members"], ["form_id", "members"])
     met = met.withColumn("said_id", F.try_element_at("a_about", F.col("b_form_id"))).where("said_id IS NOT NULL").drop("a_about", "b_form_id")
     pairs = met.join(said, "said_id").drop("said_id")
-    pairs = pairs.withColumn("a", F.explode("a_members")).drop("a_members").withColumn("b", F.explode("b_members")).drop("b_members")
-    pairs = pairs.where((F.col("a.idx") < F.col("b.idx")) & ~F.arrays_overlap("a.earlier", "b.earlier"))
-    return pairs.withColumns({f"{s}_{c}": F.col(f"{s}.{c}") for s in "ab" for c in ("record_id", *facts)}).drop("a", "b")
+    for s in "ab":
+        rest = [c for c in pairs.columns if c != f"{s}_members"]
+        pairs = pairs.select(*rest, F.inline(f"{s}_members")).withColumnsRenamed({c: f"{s}_{c}" for c in ("idx", "earlier", "record_id", *facts)})
+    return pairs.where((F.col("a_idx") < F.col("b_idx")) & ~F.arrays_overlap("a_earlier", "b_earlier"))
 
 
 def in_common_block(pairs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -88,11 +88,11 @@ def match_blocks(left: DataFrame, dictionaries: Dictionaries, json_rules=None, m
     about = F.map_from_entries(F.collect_list(F.struct("b_form_id", "said_id"))).alias("about")
     about = judged.join(said, "ways").groupBy(F.col("a_form_id").alias("form_id")).agg(about)
     forms = shelve(forms.hint("merge").join(about, "form_id", "left"), "forms")
-    said = said.select("said_id", F.map_from_arrays("ways.case", "ways").alias("ways"))
+    of_case = F.transform(F.sequence(F.lit(0), F.lit((1 << len(facts)) - 1)), lambda i: F.filter("ways", lambda w: w["case"] == i))
     # labels are few, however many the records are
-    pairs = blocking.record_pairs(units.join(forms.hint("merge"), "form"), F.broadcast(said), facts)
-    pairs = pairs.withColumn("_d", F.try_element_at("ways", nodes.fact_case(facts))).where("_d IS NOT NULL")
-    return _result(pairs.select("a_record_id", "b_record_id", "_d.*"), "stage2")
+    pairs = blocking.record_pairs(units.join(forms.hint("merge"), "form"), F.broadcast(said.select("said_id", of_case.alias("ways"))), facts)
+    # one way or none, found once and not for each of its columns
+    return _result(pairs.select("a_record_id", "b_record_id", F.inline(F.get("ways", nodes.fact_case(facts)))), "stage2")
 
 
 def match_pairs(pairs: DataFrame, prepared: DataFrame, dictionaries: Dictionaries, json_rules=None) -> DataFrame:
