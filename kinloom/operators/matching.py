@@ -18,7 +18,7 @@ def evaluate(pairs: DataFrame, dictionaries: Dictionaries, json_rules: list[dict
 
 
 def _result(pairs: DataFrame, phase: str, prefix: str = "") -> DataFrame:
-    return pairs.select(F.col("a_record_id").alias("left_id"), F.col("b_record_id").alias("right_id"), "score", F.lit(phase).alias("phase"), F.concat(F.lit(prefix), "rule").alias("rule"), "classification")
+    return pairs.select(F.col("a_record_id").alias("left_id"), F.col("b_record_id").alias("right_id"), "score", F.lit(phase).alias("phase"), (F.concat(F.lit(prefix), "rule") if prefix else F.col("rule")).alias("rule"), "classification")
 
 
 def validate_members(members: DataFrame, clusters: DataFrame, prepared: DataFrame, dictionaries: Dictionaries, json_rules=None) -> DataFrame:
